@@ -70,3 +70,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             return pairs.select(F.col("v").alias("id"), F.col("u").alias("component"))
         before = now
     raise RuntimeError(f"components: no end after {max_rounds} rounds")
+
+
+def store(uri: str):
+    """(file system, path) of a shared folder, for whole files that tasks write and read."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def put_file(files, path: str, content: bytes, attempt: str) -> None:
+    """Writes under a name of its own and moves it: a second attempt of a task leaves one whole file."""
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(f"{path}.{attempt}") as out:
+        out.write(content)
+    files.move(f"{path}.{attempt}", path)

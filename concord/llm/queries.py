@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, simhash
+from . import linededup, packing, simhash, tokenfiles
 from .common import table
 
 
@@ -37,5 +37,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_simhash": op3_simhash}
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_token_files": op9_token_files}
 SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
