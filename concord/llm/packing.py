@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokens import encoder
 
-END_ID, CAPACITY, GROUPS, SALTS = 2, 1024, 128, 1024
+END_ID, CAPACITY, GROUPS, SALTS = 2, 1024, 512, 1024
+#: Lengths over this part of the capacity are large. The small ones must be able to fill what rounding leaves open.
+LARGE = 0.4
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -59,32 +61,45 @@ class Bins:
         return head
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, float]]:
-    """Sets of sizes that fit, and how often each is used, by column generation: the cheapest fractional cover."""
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 3000, gap: float = 5e-4) -> list[tuple[np.ndarray, float]]:
+    """Sets of sizes that fit, and how often each is used, by column generation: the cheapest fractional cover,
+    or one within `gap` of it."""
     w, d, m = np.array(sizes), np.array(demand, float), len(sizes)
     columns = np.diag(capacity // w).astype(float)
     x = d / np.diag(columns)
-    for _ in range(rounds):
-        value = np.linalg.solve(columns.T, np.ones(m))
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(w.min()), capacity + 1):
-            gain = np.where(w <= c, value + best[np.maximum(c - w, 0)], -1.0)
-            k = int(gain.argmax())
-            best[c], pick[c] = (gain[k], k) if gain[k] > best[c - 1] + 1e-12 else (best[c - 1], -1)
-        if best[capacity] <= 1 + 1e-7:
+    inverse = np.diag(1 / np.diag(columns))
+    reach = np.maximum(np.arange(capacity + 1)[:, None] - w, -1)  # room left by each size, -1: none
+    most = capacity // int(w.min())
+    for n in range(1, rounds):
+        value = inverse.sum(0)
+        best, picks = np.zeros(capacity + 2), []  # the last entry is that of room -1
+        best[-1] = -np.inf
+        for _ in range(most):
+            gain = best[reach] + value
+            k = gain.argmax(1)
+            now = gain[np.arange(capacity + 1), k]
+            picks.append(np.where(now > best[:-1] + 1e-12, k, -1))
+            if (picks[-1] < 0).all():
+                break
+            best[:-1] = np.maximum(best[:-1], now)
+        if best[capacity] <= 1 + gap:
             break
         new, c = np.zeros(m), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
+        for pick in reversed(picks):
+            if pick[c] >= 0:
                 new[pick[c]] += 1
                 c -= int(w[pick[c]])
-        step = np.linalg.solve(columns, new)
+        step = inverse @ new
         ratio = np.where(step > 1e-9, x / np.maximum(step, 1e-9), np.inf)
         out = int(ratio.argmin())
         x = np.maximum(x - ratio[out] * step, 0)
         columns[:, out], x[out] = new, ratio[out]
+        if n % 100:
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+        else:
+            inverse = np.linalg.inv(columns)
     return [(columns[:, k].astype(int), float(x[k])) for k in range(m)]
 
 
@@ -92,14 +107,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     """Sequences for so many documents of each length (1 to capacity). Size and time follow capacity and groups,
     not the number of documents.
 
-    Lengths over an eighth of the capacity are large. Sorted, they fall into groups of equal numbers of
+    Lengths over LARGE of the capacity are large. Sorted, they fall into groups of equal numbers of
     documents and count as their group's largest length; configurations of these few lengths are chosen, the group's
     documents take their places at their own lengths, and what is left, then the small ones, goes largest first
     to the sequence with the least room that takes it.
     """
     bins = [Bins(counts[capacity], 0, [(capacity, 0)])] if counts.get(capacity) else []
     free = {n: [0, c] for n, c in counts.items() if 0 < n < capacity and c > 0}  # the next rank, how many are left
-    large = sorted((n for n in free if n > capacity // 8), reverse=True)
+    large = sorted((n for n in free if n > capacity * LARGE), reverse=True)
     share = -(-sum(free[n][1] for n in large) // groups) or 1
     members: dict[int, list[list[int]]] = {}  # by rounded length: [length, first rank, number]
     used, top = share, 0
@@ -131,7 +146,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
                     placed += [b] if b.count else []
                 open_bins = placed
             bins += [b for b in open_bins if b.items]
-    left: list[list[int]] = [r for rows in members.values() for r in rows] + [[n, 0, free[n][1]] for n in free if n <= capacity // 8]
+    left: list[list[int]] = [r for rows in members.values() for r in rows] + [[n, 0, free[n][1]] for n in free if n <= capacity * LARGE]
     by_room: list[list[Bins]] = [[] for _ in range(capacity + 1)]
     for b in bins:
         by_room[b.room].append(b)

@@ -11,8 +11,11 @@ import numpy as np
 
 #: Characters on whose classes all libraries agree: Latin and common punctuation.
 UNSURE = re.compile("[^\x00-ɏ‐-‧€]")
+#: A single sign after a letter and before white space or the end: a word of its own.
+LONE_SIGN = re.compile(r"(?<=[A-Za-zß-öø-ÿ])([,.;:!?])(?=[ \n]|$)")
 #: Chunks remembered, twice over.
-KEEP = 300_000
+KEEP = 500_000
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 def _load(path: str):
@@ -46,28 +49,38 @@ class WordEncoder:
     blanks and line ends. Chunks are encoded once and remembered while they keep coming back."""
 
     def __init__(self, path: str, keep: int = KEEP):
-        self._tokenizer, _ = _load(path)
+        self._tokenizer, special = _load(path)
+        self._mark = special[0][:2]
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(len(vocabulary), bool)
+        self._ends[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
         self._keep, self._of, self._older = keep, {"": b""}, {}
 
     def _learn(self, chunks: list[str]) -> None:
         if len(self._of) > self._keep:
             self._older, self._of = self._of, {"": b""}
-        new, size = [], 0
+        words, others = [], []
         for c in dict.fromkeys(chunks):
-            if c in self._of:
-                continue
-            if c in self._older:
-                self._of[c] = self._older[c]
-            else:
-                new.append(c)
-                size += len(c)
-                if size > 20_000:
-                    self._encode(new)
-                    new, size = [], 0
-        if new:
-            self._encode(new)
-
-    def _encode(self, chunks: list[str]) -> None:
+            if c not in self._of:
+                if c in self._older:
+                    self._of[c] = self._older[c]
+                else:
+                    (words if PLAIN(c) else others).append(c)
+        for at in range(0, len(words), 4096):
+            self._encode_words(words[at : at + 4096])
+        if others:
+            self._encode_others(others)
+
+    def _encode_words(self, words: list[str]) -> None:
+        """All at once: each is one word to the tokenizer, and its last id is a word end."""
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        cut = [0, *((np.flatnonzero(self._ends[ids]) + 1) * 2).tolist()]
+        if len(cut) != len(words) + 1:
+            raise ValueError("a word without its one word end")
+        raw = ids.tobytes()
+        self._of.update((w, raw[a:b]) for w, a, b in zip(words, cut, cut[1:], strict=False))
+
+    def _encode_others(self, chunks: list[str]) -> None:
         """All at once; offsets tell which id is of which chunk."""
         e = self._tokenizer.encode(" ".join(chunks), add_special_tokens=False)
         ids = array("H", e.ids).tobytes()
@@ -77,6 +90,8 @@ class WordEncoder:
         self._of.update((c, ids[a:b]) for c, a, b in zip(chunks, cut, cut[1:], strict=False))
 
     def encode(self, text: str) -> bytes:
+        if self._mark not in text and not UNSURE.search(text):  # the file's normalizer lower-cases as well
+            text = LONE_SIGN.sub(r" \1", text.lower())
         chunks = text.replace("\n", " ").split(" ")
         try:
             return b"".join([self._of[c] for c in chunks])
