@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, simhash, tokenfiles, toxicity, warc
+from . import linededup, packing, simhash, spans, tokenfiles, toxicity, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.summary(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
@@ -60,5 +64,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_repeated_spans": op7_repeated_spans, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
