@@ -15,7 +15,7 @@ from .common import known
 #: Bytes of a window, and from one window's start to the next.
 WINDOW, STRIDE = 96, 64
 #: Labelled rows fitted on, of each label; bytes of what both dictionaries share and of what each has alone.
-ROWS, SHARED, OWN = 3000, 8192, 4096
+ROWS, SHARED, OWN = 2500, 8192, 4096
 #: A passage is one label's own if it is this many times as frequent there, in at least this part of its texts.
 ODDS, LEAST = 30.0, 0.02
 #: Shortest and longest start of a word looked at, in bytes.
@@ -153,10 +153,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     only limit; the rows are those with the smallest hash of doc_id). doc_id, lang and source are no inputs.
     A document labelled both ways counts as toxic; labels without a text are passed over."""
     known_labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = docs.where("doc_id is not null and text is not null").where(fold() != 0).select("doc_id", "text")
-    met = own.join(known_labels, "doc_id").select("text", "toxic", F.xxhash64(known("doc_id")).alias("h"))
-    texts = [[r.text for r in met.where(F.col("toxic") == k).orderBy("h", "text").limit(rows).collect()] for k in (1, 0)]
-    return Model.fit(*texts)
+    own = docs.where(F.col("doc_id").isNotNull() & (fold() != 0))
+    # Which rows, by their ids alone; then their texts, through a broadcast of at most 2 * rows ids.
+    met = own.select("doc_id").distinct().join(known_labels, "doc_id").select("doc_id", "toxic", F.xxhash64(known("doc_id")).alias("h"))
+    chosen = {r.doc_id: r.toxic for k in (1, 0) for r in met.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(rows).collect()}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    texts = own.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()
+    texts.sort(key=lambda r: (r.doc_id, r.text))
+    return Model.fit(*([r.text for r in texts if chosen[r.doc_id] == k] for k in (1, 0)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
