@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import itq, linededup, packing, simhash, spans, tokenfiles, toxicity, warc
+from . import decontam, itq, linededup, packing, simhash, spans, tokenfiles, toxicity, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -68,5 +72,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_simhash": op3_simhash, "op4_embedding_dedup": op4_embedding_dedup, "op5_packing": op5_packing, "op7_repeated_spans": op7_repeated_spans, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embedding_dedup": op4_embedding_dedup, "op5_packing": op5_packing, "op7_repeated_spans": op7_repeated_spans, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
