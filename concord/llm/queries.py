@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, itq, linededup, packing, simhash, spans, tokenfiles, toxicity, warc
+from . import decontam, itq, linededup, packing, quality, simhash, spans, tokenfiles, toxicity, warc
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.summary(table(spark, sf_dir, "documents"))
 
@@ -72,5 +77,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embedding_dedup": op4_embedding_dedup, "op5_packing": op5_packing, "op7_repeated_spans": op7_repeated_spans, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embedding_dedup": op4_embedding_dedup, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_repeated_spans": op7_repeated_spans, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
