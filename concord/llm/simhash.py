@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, known, shuffle_partitions, written
@@ -130,3 +130,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
         F.when(~unknown, F.col("smallest")).alias("component_id"),
         (known("doc_id") == F.col("smallest")).alias("kept"),
     )
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of docs, with their own columns, that near_duplicates() keeps: of a group, those of its smallest
+    doc_id; of rows that share this doc_id, those with the smallest text."""
+    kept = near_duplicates(docs, shingle).where("kept").groupBy(known("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
+    rows = docs.join(kept, known("doc_id") == F.col("kept_id"))
+    several = Window.partitionBy("kept_id").orderBy("text")
+    one = rows.where("copies > 1").withColumn("kept_rank", F.row_number().over(several)).where("kept_rank = 1")
+    return rows.where("copies = 1").select(*docs.columns).union(one.select(*docs.columns))

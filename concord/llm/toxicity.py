@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import known
 
 #: Bytes of a window, and from one window's start to the next.
-WINDOW, STRIDE = 96, 64
+WINDOW, STRIDE = 96, 48
 #: Labelled rows fitted on, of each label; bytes of what both dictionaries share and of what each has alone.
 ROWS, SHARED, OWN = 2500, 8192, 4096
 #: A passage is one label's own if it is this many times as frequent there, in at least this part of its texts.
@@ -21,6 +21,8 @@ ODDS, LEAST = 30.0, 0.02
 #: Shortest and longest start of a word looked at, in bytes.
 STEM = 4, 12
 BEST = 6
+#: What all toxic documents weigh against all others in the calibration: a clean document lost costs more.
+TOXIC, PENALTY = 0.35, 0.5
 LEVEL, SIGNS = 3, b".,;:!?\"'()"
 
 
@@ -50,7 +52,7 @@ class Dictionaries:
             self._by = []
             for raw in self.raw:
                 d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                how = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=4, strategy=zstandard.STRATEGY_BTOPT)
+                how = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=3, strategy=zstandard.STRATEGY_BTOPT)
                 d.precompute_compress(compression_params=how)
                 self._by.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
         return self._by
@@ -66,8 +68,10 @@ class Dictionaries:
         """What a document is judged by: the gains of its best windows, largest first, and how many windows had a chance."""
         g = self.gains(windows(text))
         best = np.zeros(BEST)
-        best[: min(BEST, len(g))] = np.sort(g)[::-1][:BEST]
-        return [*best.tolist(), float(np.log(len(g)))]
+        best[: min(BEST, len(g))] = np.clip(np.sort(g)[::-1][:BEST], 0, 8)
+        clear = int((g >= 3).sum())  # few bytes may be chance
+        size = float(np.log(len(g)))
+        return [*best.tolist(), float((best >= 2).sum()), float((best >= 3).sum()), float(np.log1p(clear)), 10 * clear / len(g), size, size**2 / 10]
 
 
 def _stems(text: str) -> set[bytes]:
@@ -79,14 +83,15 @@ def _stems(text: str) -> set[bytes]:
 def _own(mine: Counter, other: Counter, n_mine: int, n_other: int) -> bytes:
     """The stems that one label's texts have much more often than the other's, the most telling last
     (a compressor reaches the end of a dictionary most cheaply). Of a stem and its extensions one is taken."""
-    odds = {w: (c / n_mine) / ((other[w] + 0.5) / n_other) for w, c in mine.items() if c >= max(3, LEAST * n_mine)}
+    odds = {w: (c / n_mine) / ((other[w] + 0.5) / n_other) for w, c in mine.items() if c >= max(4, LEAST * n_mine)}
     taken: list[bytes] = []
     longest = {w: w for w, x in odds.items() if x >= ODDS}
     for w in sorted(longest, key=len, reverse=True):  # the longest stem that nearly as many texts have
         if w[:-1] in longest and mine[longest[w]] >= 0.9 * mine[w[:-1]]:
             longest[w[:-1]] = longest[w]
-    for w in sorted(set(longest.values()), key=lambda w: (-mine[w] * np.log(odds[w]), w)):
-        if sum(map(len, taken)) > OWN:
+    worth = {w: mine[w] * np.log(odds[w]) for w in longest.values()}
+    for w in sorted(worth, key=lambda w: (-worth[w], w)):
+        if sum(map(len, taken)) > OWN or worth[w] < max(worth.values()) / 12:
             break
         if not any(w.startswith(t) or t.startswith(w) for t in taken):
             taken.append(w)
@@ -95,15 +100,16 @@ def _own(mine: Counter, other: Counter, n_mine: int, n_other: int) -> bytes:
 
 def train(toxic: list[str], ordinary: list[str]) -> Dictionaries:
     """Both dictionaries end in the same content, trained by zstandard on ordinary text, so that they compress
-    ordinary windows alike; before it each has what is its label's own."""
+    ordinary windows alike. Before it, one has the stems that are toxic text's own, the other as much more ordinary text."""
     import zstandard
 
     seen = [Counter(w for t in texts for w in _stems(t)) for texts in (toxic, ordinary)]
     parts = [w for t in ordinary for w in windows(t)]
     few = sum(map(len, parts)) < 8 * SHARED or len(parts) < 64
     shared = b"".join(parts)[-SHARED:] if few else zstandard.train_dictionary(SHARED, parts, k=64, d=8).as_bytes()
-    own = _own(seen[0], seen[1], len(toxic), len(ordinary)), _own(seen[1], seen[0], len(ordinary), len(toxic))
-    return Dictionaries(own[0] + shared, own[1] + shared)
+    own = _own(seen[0], seen[1], len(toxic), len(ordinary))
+    more = b" ".join(ordinary[k % len(ordinary)].encode("utf-8", "surrogatepass").lower()[:64] for k in range(len(own) // 8 + 1))
+    return Dictionaries(own + shared, (more + bytes(len(own)))[: len(own)] + shared)
 
 
 class Model:
@@ -129,14 +135,14 @@ class Model:
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic weights of 1 and the columns of x, both labels weighing the same, by Newton steps."""
+    """Logistic weights of 1 and the columns of x by Newton steps, the labels weighing TOXIC to 1 - TOXIC."""
     a = np.c_[np.ones(len(x)), x]
-    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    each = np.where(y == 1, TOXIC / max(1, (y == 1).sum()), (1 - TOXIC) / max(1, (y == 0).sum())) * len(y)
     w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (each * (p - y)) + 1e-2 * w
-        hess = (a * (each * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
+        grad = a.T @ (each * (p - y)) + PENALTY * w
+        hess = (a * (each * p * (1 - p))[:, None]).T @ a + PENALTY * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if abs(step).max() < 1e-8:
@@ -174,3 +180,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = ["doc_id", "held_out", "score", "predicted"]
     rows = docs.select(F.col("doc_id").cast("long"), (fold() == 0).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(each, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with their own columns, that the model does not reject."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.score(t.as_py()) < 0.5 for t in b.column("text")], pa.bool_()))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(each, docs.schema)
