@@ -136,7 +136,7 @@ def first_of_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of docs, with their own columns, that near_duplicates() keeps: of a group, those of its smallest
     doc_id; of rows that share this doc_id, those with the smallest text."""
     kept = near_duplicates(docs, shingle).where("kept").groupBy(known("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
-    rows = docs.join(kept, known("doc_id") == F.col("kept_id"))
-    several = Window.partitionBy("kept_id").orderBy("text")
-    one = rows.where("copies > 1").withColumn("kept_rank", F.row_number().over(several)).where("kept_rank = 1")
-    return rows.where("copies = 1").select(*docs.columns).union(one.select(*docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), known("doc_id").alias("kept_id")).join(kept, "kept_id")
+    several = Window.partitionBy("kept_id").orderBy("row.text")
+    one = rows.where("copies > 1").withColumn("rank", F.row_number().over(several)).where("rank = 1")
+    return rows.where("copies = 1").select("row.*").union(one.select("row.*"))
