@@ -6,7 +6,9 @@ anchor), the second its whole surroundings, the last the window itself. Each pas
 before left in a group with others:
   1. anchors by gram: an anchor that no other shares ends here;
   2. in a gram's group, by surroundings: all but the first of equal surroundings are repeats, whole;
-  3. first ones whose gram has other surroundings too: window by window.
+  3. first ones whose gram has other surroundings too: by the bytes on either side of the gram in quarter steps,
+     since a window's two ends must both be shared;
+  4. what these leave: window by window.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import known, shuffle_partitions, written
+from .common import NO_ID, known, shuffle_partitions, written
 
-WINDOW, GRAM = 100, 24
+WINDOW, GRAM, STEPS = 100, 24, 4
 #: Bytes looked at in one go.
 CHUNK = 1 << 20
 _C = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -123,7 +125,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _judged(dealt: DataFrame) -> DataFrame:
-    """Anchors that repeat or share their gram: (doc, th, a, z, repeat), window starts from a to z. dealt: by gram, sorted by gram."""
+    """Anchors that repeat or share their gram: (doc, th, a, z, repeat, at, gram), window starts from a to z. dealt: by gram, sorted by gram."""
 
     def groups(cols: list[np.ndarray]) -> pa.RecordBatch:
         doc, th, at, first, last, gram, around = cols
@@ -136,7 +138,7 @@ def _judged(dealt: DataFrame) -> DataFrame:
         repeat = (doc != doc[start][both]) | (at != at[start][both])
         kinds = np.bincount(grams, weights=new_both)
         keep = repeat | (kinds[grams] > 1)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, th, at - first, at + last, repeat)], ["doc", "th", "a", "z", "repeat"])
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, th, at - first, at + last, repeat, at, np.where(repeat, 0, gram))], ["doc", "th", "a", "z", "repeat", "at", "gram"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -150,7 +152,63 @@ def _judged(dealt: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield groups(held)
 
-    return dealt.mapInArrow(each, "doc long, th long, a long, z long, repeat boolean")
+    return dealt.mapInArrow(each, "doc long, th long, a long, z long, repeat boolean, at long, gram long")
+
+
+def _sides(met: DataFrame, window: int) -> DataFrame:
+    """(gram, doc, th, at, a, z, sides): hashes of the bytes left and right of the gram, a quarter of the window's rest more
+    each time, 0 where the text ends before. met: (doc, th, b, ask array of (a, z, at, gram))."""
+    steps = [(window - GRAM) * k // STEPS for k in range(1, STEPS + 1)]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[] for _ in range(7)]
+            for d, t, text, ask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                view = memoryview(text.as_py())
+                for r in ask:
+                    p, e = r["at"], r["at"] + GRAM
+                    left = [xxhash.xxh3_64_intdigest(view[p - k : p]) if p >= k else 0 for k in steps]
+                    right = [xxhash.xxh3_64_intdigest(view[e : e + k]) if e + k <= len(view) else 0 for k in steps]
+                    for c, x in zip(rows, (r["gram"], d, t, p, r["a"], r["z"], np.array(left + right, np.uint64).view(np.int64)), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:6]), pa.array(rows[6], pa.list_(pa.int64()))], ["gram", "doc", "th", "at", "a", "z", "sides"])
+
+    return met.mapInArrow(each, "gram long, doc long, th long, at long, a long, z long, sides array<long>")
+
+
+def _narrowed(dealt: DataFrame, window: int) -> DataFrame:
+    """(doc, th, a, z): the window starts left, where another anchor of the gram shares both ends up to a step. dealt: by gram."""
+    rest = window - GRAM
+    steps = np.array([rest * k // STEPS for k in range(STEPS + 1)])
+    reach = np.r_[steps[1:-1] - 1, steps[-1] - 1, rest]  # how far windows go whose first unshared step is the next
+
+    def groups(gram: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, a: np.ndarray, z: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
+        far = []
+        for side in (sides[:, :STEPS], sides[:, STEPS:]):
+            shared = np.zeros((len(gram), STEPS + 1), bool)
+            for k in range(STEPS):
+                order = np.lexsort((side[:, k], gram))
+                same = (gram[order][1:] == gram[order][:-1]) & (side[order, k][1:] == side[order, k][:-1])
+                shared[order, k] = (np.r_[False, same] | np.r_[same, False]) & (side[order, k] != 0)
+            far.append(reach[np.argmin(shared, axis=1)])
+        low, high = np.maximum(a, at - far[0]), np.minimum(z, at - (rest - far[1]))
+        ok = low <= high
+        return pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (doc, th, low, high)], ["doc", "th", "a", "z"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            cols = [c.to_numpy() for c in b.columns[:6]]
+            cols.append(b.column(6).flatten().to_numpy().reshape(-1, 2 * STEPS))
+            held = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut:
+                yield groups(*(c[:cut] for c in held))
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield groups(*held)
+
+    return dealt.mapInArrow(each, "doc long, th long, a long, z long")
 
 
 def _windows(met: DataFrame, window: int) -> DataFrame:
@@ -175,6 +233,28 @@ def _windows(met: DataFrame, window: int) -> DataFrame:
     return met.mapInArrow(each, "w1 long, w2 long, doc long, th long, a long")
 
 
+def _later(dealt: DataFrame) -> DataFrame:
+    """(doc, th, a, z) of the windows that are not their text's first. dealt: by w1, sorted by w1, w2, doc and a; a
+    group is read past its first row without being held."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w1, w2, doc, th, at = (c.to_numpy() for c in b.columns)
+            new = np.r_[last is None or (w1[0], w2[0]) != last[:2], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(w1)), -1))
+            old = (0, 0) if last is None else last[2:]
+            first_doc = np.where(first < 0, old[0], doc[first])
+            first_at = np.where(first < 0, old[1], at[first])
+            late = (doc > first_doc) | ((doc == first_doc) & (at > first_at))
+            last = (w1[-1], w2[-1], first_doc[-1], first_at[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[late]) for c in (doc, th, at, at)], ["doc", "th", "a", "z"])
+
+    return dealt.mapInArrow(each, "doc long, th long, a long, z long")
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of [start, end) spans; spans that touch are one run."""
     order = np.argsort(starts, kind="stable")
@@ -183,29 +263,34 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], e[np.r_[new[1:], len(s)] - 1] if len(s) else e
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs' own columns with kept (binary) and spans (array of (start, end)): the bytes of the text that are covered
-    by a string of `window` bytes that also starts earlier, in a smaller doc_id or before in the same text, are removed.
+def _based(docs: DataFrame) -> DataFrame:
+    """(doc, th, b, row): each text's bytes and what it is known by."""
+    return docs.select(known("doc_id").alias("doc"), F.xxhash64("text").alias("th"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("b"), F.struct(*docs.columns).alias("row"))
 
-    Null or empty text has no bytes. A null doc_id counts as the smallest. Rows that share a doc_id are texts of
-    their own that start at the same places: neither is earlier than the other at an equal start.
-    """
-    n = shuffle_partitions(docs.sparkSession)
-    own = [c for c in docs.columns if c not in ("kept", "spans")]
-    rows = docs.select(F.struct(*own).alias("row"), known("doc_id").alias("doc"), F.xxhash64("text").alias("th"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("b"))
-    judged = written(_judged(_anchors(rows, window).repartition(n, "gram").sortWithinPartitions("gram")))
-    asked = judged.where("not repeat").groupBy("doc", "th").agg(F.collect_set(F.struct("a", "z")).alias("ask"))
-    single = written(_windows(rows.select("doc", "th", "b").join(asked, ["doc", "th"]).select("doc", "th", "b", "ask"), window))
-    place = F.struct("doc", "a")
-    first = single.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("w1", "w2", "first")
-    late = single.join(first, ["w1", "w2"]).where(F.struct("doc", "a") > F.col("first")).select("doc", "th", "a", F.col("a").alias("z"))
+
+def _gone(texts: DataFrame, window: int) -> DataFrame:
+    """(doc, th, gone array of (a, z)): window starts whose window starts earlier elsewhere. texts: (doc, th, b), joined twice
+    in one plan, so that their exchange is used again."""
+    n = shuffle_partitions(texts.sparkSession)
+    judged = written(_judged(_anchors(texts, window).repartition(n, "gram").sortWithinPartitions("gram")))
+    asked = judged.where("not repeat").groupBy("doc", "th").agg(F.collect_set(F.struct("a", "z", "at", "gram")).alias("ask"))
+    sides = _sides(texts.join(asked, ["doc", "th"]).select("doc", "th", "b", "ask"), window)
+    narrow = _narrowed(sides.repartition(n, "gram").sortWithinPartitions("gram"), window)
+    ask = narrow.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "z")).alias("ask"))
+    single = _windows(texts.join(ask, ["doc", "th"]).select("doc", "th", "b", "ask"), window)
+    late = _later(single.repartition(n, "w1").sortWithinPartitions("w1", "w2", "doc", "a"))
     spans = judged.where("repeat").select("doc", "th", "a", "z").union(late)
-    gone = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "z")).alias("gone"))
-    met = rows.join(gone, ["doc", "th"], "left")
+    return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "z")).alias("gone"))
+
+
+def _applied(met: DataFrame, window: int) -> DataFrame:
+    """met's first column, (b, gone) taken, with kept and spans."""
+    first = met.columns[0]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, spans = [], []
+            size = [len(x.as_py()) for x in b.column(1)]
             for text, gone in zip(b.column(1), b.column(2), strict=True):
                 raw, runs = text.as_py(), []
                 if gone.is_valid:
@@ -216,16 +301,27 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     raw = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True))
                 kept.append(raw)
                 spans.append([{"start": x, "end": y} for x, y in runs])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["row", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [first, "n_bytes", "kept", "spans"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    out = met.select("row", "b", "gone").mapInArrow(each, f"row {kind}, kept binary, spans array<struct<start:bigint,end:bigint>>")
-    return out.select("row.*", "kept", "spans")
+    kind = met.schema[first].dataType.simpleString()
+    return met.select(first, "b", "gone").mapInArrow(each, f"{first} {kind}, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
 
 
-def summary(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    done = repeats(docs.select("doc_id", "text"), window)
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return done.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs' own columns with kept (binary) and spans (array of (start, end)): the bytes of the text that are covered
+    by a string of `window` bytes that also starts earlier, in a smaller doc_id or before in the same text, are removed.
 
+    Null or empty text has no bytes. A null doc_id counts as the smallest. Rows that share a doc_id are texts of
+    their own that start at the same places: neither is earlier than the other at an equal start.
+    """
+    rows = _based(docs.select(*[c for c in docs.columns if c not in ("kept", "spans")]))
+    met = rows.join(_gone(rows.select("doc", "th", "b"), window), ["doc", "th"], "left")
+    return _applied(met.select("row", "b", "gone"), window).select("row.*", "kept", "spans")
+
+
+def summary(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document, by the rules of repeats()."""
+    texts = _based(docs.select("doc_id", "text")).select("doc", "th", "b")
+    done = _applied(texts.join(_gone(texts, window), ["doc", "th"], "left").select("doc", "b", "gone"), window)
+    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id")
+    return done.select(doc_id, "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
