@@ -37,6 +37,11 @@ def known(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def text_key() -> Column:
+    """128-bit hash of the text, empty for null: with the doc_id it tells rows apart whose doc_id is null or shared."""
+    return F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import known
-
 #: Words of a block; a passage is two blocks, so passages overlap by half.
 BLOCK = 24
 PASSAGE = 2 * BLOCK
@@ -204,18 +202,9 @@ def _answer(text: str) -> list[str]:
     return parts[-1] if len(parts) > 1 else []
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> DataFrame:
-    """(doc_id, item_id, similarity, answer): the documents that hold an item of the benchmark, or nearly so.
-
-    similarity: the longest common subsequence of words, as a part of the item's words, LCS or more; or LCS_ANSWER or more
-    with the item's answer (its last sentence, if that has four words) beside it. Items of fewer than five
-    words, null items and null texts hold nothing. Documents with a null doc_id are judged like others; rows that
-    share a doc_id or item_id are one. The benchmark is handled in slices of ITEMS items, each held by every task.
-    """
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, similarity double, answer boolean"
+def _models(docs: DataFrame, benchmark: DataFrame, sample: int, rank: int) -> Iterator[Retrieval]:
+    """What finds the items of each slice of the benchmark, fitted on docs."""
     n_docs, n_items = docs.count(), benchmark.count()
-    found = spark.createDataFrame([], schema)
     slices = max(1, math.ceil(n_items / (ITEMS * 0.8))) if n_items > ITEMS else 1
     for k in range(slices):
         rows = benchmark.where("text is not null and item_id is not null").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).select("item_id", "text").collect()
@@ -236,20 +225,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, rank: int
         shell = Retrieval(Ids(vocabulary), idf[:, None].astype(np.float32), items, np.zeros((0, 1)), np.zeros(0))
         latent = _latent(docs, n_docs, shell, idf, sample, min(max(rank, len(items) + rank // 4), HIGHEST_RANK))
         queries = np.array([latent[item.ids].sum(0) for item in items])
-        model = Retrieval(Ids(vocabulary), latent, items, queries, np.sqrt((queries**2).sum(1)))
+        yield Retrieval(Ids(vocabulary), latent, items, queries, np.sqrt((queries**2).sum(1)))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> DataFrame:
+    """(doc_id, item_id, similarity, answer): the documents that hold an item of the benchmark, or nearly so.
+
+    similarity: the longest common subsequence of words, as a part of the item's words, LCS or more; or LCS_ANSWER or more
+    with the item's answer (its last sentence, if that has four words) beside it. Items of fewer than five
+    words, null items and null texts hold nothing. Documents with a null doc_id are judged like others; rows that
+    share a doc_id or item_id are one. The benchmark is handled in slices of ITEMS items, each held by every task.
+    """
+    schema = "doc_id long, item_id long, similarity double, answer boolean"
+    names, kinds = ["doc_id", "item_id", "similarity", "answer"], [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+    found = docs.sparkSession.createDataFrame([], schema)
+    for model in _models(docs, benchmark, sample, rank):
 
         def each(batches: Iterator[pa.RecordBatch], model: Retrieval = model) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in model.leaks(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], names)
 
-        names, kinds = ["doc_id", "item_id", "similarity", "answer"], [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
         found = found.union(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, schema))
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("answer").alias("answer"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold an item."""
-    gone = leaks(docs, benchmark).select(known("doc_id").alias("leaking_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), known("doc_id").alias("leaking_id"))
-    return rows.join(gone, "leaking_id", "left_anti").select("row.*")
+def clean(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> DataFrame:
+    """docs without the rows that hold an item. Each row is judged by its own text, whatever its doc_id."""
+    left = docs
+    for model in _models(docs, benchmark, sample, rank):
+
+        def each(batches: Iterator[pa.RecordBatch], model: Retrieval = model) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not model.leaks(t.as_py()) for t in b.column("text")], pa.bool_()))
+
+        left = left.withColumn("text", F.col("text").cast("string")).mapInArrow(each, docs.schema)
+    return left

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, known, shuffle_partitions, written
+from .common import components, known, shuffle_partitions, text_key, written
 
 SEED = 42
 #: Four blocks of 16 bits; the other 48 bits are four blocks of 12. Two words that differ in at most
@@ -32,15 +32,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(whole), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long): one row per document."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp long): one row per document; keyed: with a hash of its text, text_key."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, fp long")
+    more = ["text_key"] if keyed else []
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(text_key().alias(m) for m in more))
+    return rows.mapInArrow(each, "doc_id long, fp long" + "".join(f", {m} string" for m in more))
 
 
 def forest(words: np.ndarray, most: int = MAX_DISTANCE) -> list[tuple[int, int]]:
@@ -108,6 +110,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(each, "a long, b long").distinct()
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, fp, ...) with their group: root, one fingerprint for all of it, and its smallest known doc_id."""
+    classes = rows.groupBy("fp").agg(F.min(known("doc_id")).alias("least"))
+    linked = components(links(classes.select("fp")))
+    groups = classes.join(linked.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    least = groups.groupBy("root").agg(F.min("least").alias("smallest"))
+    return rows.join(groups.join(least, "root").select("fp", "root", "smallest"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept): one row per row of docs.
 
@@ -117,14 +128,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Repeated rows give repeated rows. kept: whether the row has its group's smallest doc_id.
     Documents with one fingerprint are one class: only distinct fingerprints go to the blocks.
     """
-    rows = written(fingerprints(docs, shingle))
-    classes = rows.groupBy("fp").agg(F.min(known("doc_id")).alias("least"))
-    linked = components(links(classes.select("fp")))
-    groups = classes.join(linked.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = groups.groupBy("root").agg(F.min("least").alias("smallest"))
-    of = groups.join(least, "root").select("fp", "smallest")
     unknown = F.col("smallest") == F.lit(-(2**63))
-    return rows.join(of, "fp").select(
+    return grouped(written(fingerprints(docs, shingle))).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(~unknown, F.col("smallest")).alias("component_id"),
@@ -133,10 +138,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of docs, with their own columns, that near_duplicates() keeps: of a group, those of its smallest
-    doc_id; of rows that share this doc_id, those with the smallest text."""
-    kept = near_duplicates(docs, shingle).where("kept").groupBy(known("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), known("doc_id").alias("kept_id")).join(kept, "kept_id")
-    several = Window.partitionBy("kept_id").orderBy("row.text")
+    """One row of docs, with its own columns, for each group of near_duplicates(): of the rows with the group's
+    smallest doc_id (null is smallest) the one with the smallest hash of its text. A row is known by both, so rows
+    of other groups with the same doc_id, or none, stay for their own."""
+    own = grouped(written(fingerprints(docs, shingle, keyed=True))).groupBy("root", known("doc_id").alias("kept_id"), "text_key").agg(F.count("*").alias("copies"))
+    first = own.groupBy("root").agg(F.min(F.struct("kept_id", "text_key", "copies")).alias("first")).select("first.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), known("doc_id").alias("kept_id"), text_key().alias("text_key")).join(first, ["kept_id", "text_key"])
+    several = Window.partitionBy("kept_id", "text_key").orderBy(F.to_json("row"))
     one = rows.where("copies > 1").withColumn("rank", F.row_number().over(several)).where("rank = 1")
     return rows.where("copies = 1").select("row.*").union(one.select("row.*"))

@@ -57,3 +57,13 @@ def test_empty(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(prose(20)))], "item_id long, text string")
     assert decontam.leaks(docs(), bench).count() == 0
     assert decontam.leaks(docs((1, "a b")), bench.limit(0)).count() == 0
+
+
+def test_clean_drops_rows_not_ids(spark, docs):
+    item, texts = prose(30), [" ".join(prose(80)) for _ in range(4)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    leak = " ".join(prose(40) + item + prose(40))
+    d = docs((None, texts[0]), (None, leak), (None, texts[1]), (5, leak), (5, texts[2]), (6, texts[3]), (None, None))
+    left = [(r.doc_id, r.text) for r in decontam.clean(d, bench).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (6, texts[3]), (None, None)]
+    assert sorted(left, key=str) == sorted(want, key=str) and decontam.clean(d, bench).columns == d.columns

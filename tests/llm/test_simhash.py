@@ -64,3 +64,11 @@ def test_every_close_pair_shares_a_block(spark, flips):
     fps = spark.createDataFrame([(x,) for pair in rows for x in pair], "fp long")
     found = {tuple(sorted((r.a, r.b))) for r in simhash.links(fps).collect()}
     assert found == {tuple(sorted(p)) for p in rows}
+
+
+def test_first_of_groups_keeps_rows_by_id_and_text(docs):
+    a, b, c = (" ".join(f"{x}{n}" for n in range(40)) for x in "abc")
+    rows = docs((None, a), (None, b), (None, b), (7, c), (7, "other words"), (8, c), (3, "x y z"), (9, "x y z"), (9, "own text here"), (None, None), (4, ""))
+    out = [(r.doc_id, r.text) for r in simhash.first_of_groups(rows).collect()]
+    want = [(None, a), (None, b), (7, c), (7, "other words"), (3, "x y z"), (9, "own text here"), (None, None)]
+    assert sorted(out, key=str) == sorted(want, key=str)
