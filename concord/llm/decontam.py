@@ -65,6 +65,11 @@ def lcs_words(masks: dict[int, int], n: int, region: list[int]) -> int:
     return n - s.bit_count()
 
 
+def span(n: int) -> int:
+    """Words of a document that an item of n words is looked for in."""
+    return max(n + n // 4, n + 2)
+
+
 @dataclass
 class Item:
     item_id: int
@@ -76,14 +81,13 @@ class Item:
         for k, w in enumerate(self.ids):
             self.masks[w] = self.masks.get(w, 0) | 1 << k
 
-    def check(self, ids: np.ndarray, start: int) -> tuple[float, bool]:
-        """(best part of the item in common order, whether its answer is there) near the passage at start."""
+    def check(self, ids: np.ndarray, low: int, high: int) -> tuple[float, bool]:
+        """(best part of the item in common order, whether its answer is there) between two places of a document."""
         n = len(self.ids)
-        low, high = max(0, start - n), min(len(ids), start + PASSAGE + n)
-        near = ids[low:high].tolist()
+        near = ids[max(0, low) : high].tolist()
         if lcs_words(self.masks, n, near) < LCS_ANSWER * n:  # no part of a region has more in common
             return 0.0, False
-        size, best = max(n + n // 4, n + 2), 0
+        size, best = span(n), 0
         for o in range(0, max(1, len(near) - size + 1 + n // 4), max(1, n // 8)):
             best = max(best, lcs_words(self.masks, n, near[o : o + size]))
         m = len(self.answer)
@@ -123,12 +127,68 @@ class Retrieval:
         sizes = np.array([len(i.ids) for i in self.items]) if len(self.lengths) else np.zeros(0)
         self.least = (COSINE * self.lengths).astype(np.float32)
         self.cover = np.maximum(COVER * np.minimum(1.0, PASSAGE / np.maximum(sizes, 1)) * self.lengths**2, 1e-9).astype(np.float32)
+        self._gate()
+
+    def _gate(self) -> None:
+        """Words that tell where an item can be. Of n words a text with LCS of them lacks n - LCS * n at most, so it has
+        all but so many of any choice of them: of those that are not common, or of all where that leaves fewer than two."""
+        self.need, self.span = (np.zeros(len(self.items), np.int64) for _ in range(2))
+        keys: dict[int, list[int]] = {}
+        self.anchors: dict[int, list[tuple[int, int]]] = {}
+        uses = np.zeros(len(self.latent), np.int64)
+        for item in self.items:
+            uses[item.ids] += 1
+        for k, item in enumerate(self.items):
+            n = len(item.ids)
+            lacks = n - math.ceil(LCS * n - 1e-9)
+            own = [w for w in item.ids if self.weighty[w]]
+            if len(own) - lacks < 2:
+                own = item.ids
+            self.need[k], self.span[k] = len(own) - lacks, span(n)
+            for w in set(own):
+                keys.setdefault(w, []).append(k)
+            if len(item.answer) >= ANSWER_WORDS:
+                rarest = min(range(len(item.answer)), key=lambda j: (not self.weighty[item.answer[j]], uses[item.answer[j]]))
+                self.anchors.setdefault(item.answer[rarest], []).append((k, rarest))
+        self.posts = np.array([len(keys.get(w, ())) for w in range(len(self.latent))], np.int64)
+        self.first = np.cumsum(self.posts) - self.posts
+        self.post = np.array([k for w in range(len(self.latent)) for k in keys.get(w, ())], np.int64)
+        self.anchored = np.zeros(len(self.latent), bool)
+        self.anchored[list(self.anchors)] = True
+
+    def places(self, ids: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item, low, high): no part of the document outside these has LCS of an item, or LCS_ANSWER beside its answer."""
+        out: set[tuple[int, int, int]] = set()
+        at = np.flatnonzero(ids >= 0)
+        own = ids[at]
+        n = self.posts[own]
+        total = int(n.sum())
+        if total:
+            item = self.post[np.repeat(self.first[own] - np.cumsum(n) + n, n) + np.arange(total)]
+            order = np.argsort(item, kind="stable")
+            item, place = item[order], np.repeat(at, n)[order]
+            last = np.arange(total) + self.need[item] - 1  # the hit that completes the number needed
+            ends = np.minimum(last, total - 1)
+            full = (last < total) & (item[ends] == item) & (place[ends] - place < self.span[item])
+            for k, block in set(zip(item[full].tolist(), (place[full] // BLOCK).tolist(), strict=True)):
+                size = int(self.span[k])
+                out.add((k, block * BLOCK - size, (block + 1) * BLOCK + size))
+        for p in at[self.anchored[own]].tolist():
+            for k, j in self.anchors[int(ids[p])]:
+                answer, o, size = self.items[k].answer, p - j, PASSAGE + 2 * len(self.items[k].ids)
+                if o >= 0 and ids[o : o + len(answer)].tolist() == answer:
+                    out.add((k, o + len(answer) - size, o + size))
+        return out
 
     def leaks(self, text: str | None) -> list[tuple[int, float, bool]]:
-        ids = self.ids.of(text)
+        return self.leaking(self.ids.of(text))
+
+    def leaking(self, ids: np.ndarray) -> list[tuple[int, float, bool]]:
+        """(item_id, similarity, answer) of the items that a document holds: candidates by cosine, and the places that
+        the words' numbers leave, where a paraphrase without an item's rarest words has too small a cosine or cover."""
         if len(ids) < LEAST_WORDS or not len(self.items):
             return []
-        best: dict[int, tuple[float, bool]] = {}
+        places = self.places(ids)
         for o in range(0, len(ids), 2000 * BLOCK):
             part = ids[o : o + 2000 * BLOCK + BLOCK]
             v = self.passages(part, self.latent)
@@ -137,9 +197,13 @@ class Retrieval:
             near = dots >= self.cover
             near &= dots >= norms * self.least
             for p, k in zip(*np.nonzero(near), strict=True):
-                have, there = self.items[k].check(ids, o + int(p) * BLOCK)
-                old = best.get(int(k), (0.0, False))
-                best[int(k)] = max(old[0], have), old[1] or (there and have >= LCS_ANSWER)
+                start, n = o + int(p) * BLOCK, len(self.items[k].ids)
+                places.add((int(k), start - n, start + PASSAGE + n))
+        best: dict[int, tuple[float, bool]] = {}
+        for k, low, high in places:
+            have, there = self.items[k].check(ids, low, high)
+            old = best.get(k, (0.0, False))
+            best[k] = max(old[0], have), old[1] or (there and have >= LCS_ANSWER)
         return [(self.items[k].item_id, x, y) for k, (x, y) in best.items() if x >= LCS or (x >= LCS_ANSWER and y)]
 
 

@@ -67,3 +67,23 @@ def test_clean_drops_rows_not_ids(spark, docs):
     left = [(r.doc_id, r.text) for r in decontam.clean(d, bench).collect()]
     want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (6, texts[3]), (None, None)]
     assert sorted(left, key=str) == sorted(want, key=str) and decontam.clean(d, bench).columns == d.columns
+
+
+def test_paraphrases_without_the_rarest_words(spark, docs):
+    rng = random.Random(8)
+    usual = [f"u{n}" for n in range(60)]  # each in less than a fifth of the documents
+    for n_docs in (200, 3000):
+        rows = [(k, " ".join(rng.choice(usual) if rng.random() < 0.14 else rng.choice(RARE) for _ in range(80))) for k in range(n_docs)]
+        items, want = [], set()
+        for k in range(12):
+            own = rng.sample(usual, 24)
+            item, answer = own[:20] + [f"r{k}x{n}" for n in range(4)], own[20:] if k % 2 else []
+            rng.shuffle(item)
+            items.append(" ".join(item) + (". " + " ".join(answer) if answer else ""))
+            gone = set(own[:6]) if answer else set()  # 18 of 28 are left with the answer, 20 of 24 without
+            changed = [f"other{n}" if w in gone or w[0] == "r" else w for n, w in enumerate(item)]
+            rows.append((10_000 + k, " ".join([*prose(40), *changed, *answer, *prose(40)])))
+            want.add((10_000 + k, k))
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(*rows), bench).collect()}
+        assert found == want, (n_docs, len(found))
