@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shuffle_partitions, written
+
 #: Words of a block; a passage is two blocks, so passages overlap by half.
 BLOCK = 24
 PASSAGE = 2 * BLOCK
-#: Latent dimensions at least and at most (between them, one for each item and some more: fewer than items blur them
-#: together, and candidates multiply); documents that the decomposition is fitted on at most; items handled in one pass.
-RANK, HIGHEST_RANK, SAMPLE, ITEMS = 256, 512, 2000, 20_000
+#: Latent dimensions at least (one for each item and some more: fewer than items blur them together, and candidates
+#: multiply); items handled in one pass, about.
+RANK, ITEMS = 256, 400
 #: Words that a larger part of the documents has say nothing and are left out of the vectors.
 COMMON = 0.2
 #: Least cosine of a candidate, and least part of an item's latent length that the passage must cover.
@@ -97,7 +99,7 @@ class Item:
 
 @dataclass
 class Retrieval:
-    """What tasks need: the vocabulary, the words' latent vectors and the items'. Bounded by ITEMS and RANK."""
+    """What tasks need: the vocabulary, the words' latent vectors and the items'. Bounded by ITEMS."""
 
     ids: Ids
     latent: np.ndarray
@@ -207,55 +209,95 @@ class Retrieval:
         return [(self.items[k].item_id, x, y) for k, (x, y) in best.items() if x >= LCS or (x >= LCS_ANSWER and y)]
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+def _tokens(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, ids): each document as word numbers, written once for all passes over it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(vocabulary)
+        for b in batches:
+            own = [ids.of(t.as_py()) for t in b.column(1)]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            flat = np.concatenate(own).astype(np.int32) if own else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, ids array<int>"))
+
+
+def _each_ids(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word numbers of each document of a batch."""
+    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return (flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
+
+def _document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
     """How many documents have each word of the vocabulary, over all documents."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = Ids(vocabulary), np.zeros(len(vocabulary), np.int64)
+        counts = np.zeros(size, np.int64)
         for b in batches:
-            for t in b.column(0):
-                own = np.unique(ids.of(t.as_py()))
+            for ids in _each_ids(b.column(0)):
+                own = np.unique(ids)
                 counts[own[own >= 0]] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["word", "n"])
 
-    out = np.zeros(len(vocabulary))
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(size)
+    for r in tokens.select("ids").mapInArrow(each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[r.word] = r.n
     return out
 
 
-def _latent(docs: DataFrame, n_docs: int, shell: Retrieval, idf: np.ndarray, sample: int, rank: int) -> np.ndarray:
-    """Word vectors: idf times the leading right singular vectors of the TF-IDF passages, by a randomised
-    decomposition with one power step, on at most about `sample` documents (by hash of their id) and all items.
-    A task sums its passages' part; eight tasks at most send one vocabulary-by-rank matrix each."""
+def _latent(tokens: DataFrame, items: list[Item], idf: np.ndarray, rank: int) -> np.ndarray:
+    """Word vectors: idf times the leading right singular vectors of the TF-IDF passages of all documents and all
+    items, by a randomised decomposition with one power step. A task sends the rows (word, sum over its passages);
+    they are added by word, so the driver receives one vocabulary-by-rank matrix."""
     size = len(idf)
     rank = min(rank, size)
-    every = max(1, -(-n_docs // sample))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("string").alias("text")).coalesce(8)
-    own = np.zeros((len(shell.items), size))
-    for row, item in zip(own, shell.items, strict=True):
+    own = np.zeros((len(items), size))
+    for row, item in zip(own, items, strict=True):
         np.add.at(row, item.ids, idf[item.ids])
+    weight, schema = idf.astype(np.float32), "word int, m binary"
+
+    def rows_of(words: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array([x.tobytes() for x in m], pa.binary())], ["word", "m"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for w, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(m, np.float32)
+                total[w] = total[w] + x if w in total else x.astype(np.float64)
+        if total:
+            yield rows_of(np.array(list(total)), np.array(list(total.values()), np.float32))
+
     q = np.random.default_rng(11).standard_normal((size, rank))
     for _ in range(2):
 
-        def each(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch], q: np.ndarray = q.astype(np.float32)) -> Iterator[pa.RecordBatch]:
             total = np.zeros((size, q.shape[1]), np.float32)
             for b in batches:
-                for t in b.column(0):
-                    ids = shell.ids.of(t.as_py())
+                for ids in _each_ids(b.column(0)):
                     at = np.flatnonzero(ids >= 0)
-                    if len(at):
-                        u, column = np.unique(ids[at], return_inverse=True)
-                        a = np.zeros((-(-len(ids) // BLOCK) + 1, len(u)), np.float32)
-                        np.add.at(a, (at // BLOCK + 1, column), idf[ids[at]].astype(np.float32))
-                        a = a[1:] + a[:-1]  # passages, and the document's ends
-                        total[u] += a.T @ (a @ q[u].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+                    at = at[weight[ids[at]] > 0]
+                    for o in range(0, len(at), 4096):  # a long document by parts of its words; their passages overlap
+                        first = at[o] // BLOCK - 1
+                        stop = at[min(o + 4096, len(at)) - 1] // BLOCK + 1  # blocks whose words are this part's
+                        near = at[np.searchsorted(at, max(0, first) * BLOCK) : np.searchsorted(at, (stop + 1) * BLOCK)]
+                        u, column = np.unique(ids[near], return_inverse=True)
+                        a = np.zeros((stop - first + 2, len(u)), np.float32)
+                        np.add.at(a, (near // BLOCK - first, column), weight[ids[near]])
+                        whole = a[1:] + a[:-1]  # passages, and the document's ends
+                        mine = np.zeros_like(a)
+                        part = slice(np.searchsorted(near, at[o]), np.searchsorted(near, at[min(o + 4096, len(at)) - 1]) + 1)
+                        np.add.at(mine, (near[part] // BLOCK - first, column[part]), weight[ids[near[part]]])
+                        total[u] += (mine[1:] + mine[:-1]).T @ (whole @ q[u])
+            met = np.flatnonzero(np.abs(total).sum(1))
+            yield rows_of(met, total[met])
 
         y = 100.0 * own.T @ (own @ q)
-        for r in some.mapInArrow(each, "m binary").collect():
-            y += np.frombuffer(r.m, np.float32).reshape(size, -1)
+        parts = tokens.select("ids").mapInArrow(each, schema).repartition(shuffle_partitions(tokens.sparkSession), "word")
+        for r in parts.mapInArrow(added, schema).collect():
+            y[r.word] += np.frombuffer(r.m, np.float32)
         q, _ = np.linalg.qr(y)
     return (idf[:, None] * q).astype(np.float32)
 
@@ -266,8 +308,8 @@ def _answer(text: str) -> list[str]:
     return parts[-1] if len(parts) > 1 else []
 
 
-def _models(docs: DataFrame, benchmark: DataFrame, sample: int, rank: int) -> Iterator[Retrieval]:
-    """What finds the items of each slice of the benchmark, fitted on docs."""
+def _models(docs: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[tuple[Retrieval, DataFrame]]:
+    """What finds the items of each slice of the benchmark, fitted on all docs, and the docs as its word numbers."""
     n_docs, n_items = docs.count(), benchmark.count()
     slices = max(1, math.ceil(n_items / (ITEMS * 0.8))) if n_items > ITEMS else 1
     for k in range(slices):
@@ -281,43 +323,43 @@ def _models(docs: DataFrame, benchmark: DataFrame, sample: int, rank: int) -> It
             for w in own:
                 vocabulary.setdefault(w, len(vocabulary))
         items = [Item(i, [vocabulary[w] for w in own], [vocabulary[w] for w in answer]) for i, own, answer in texts]
-        df = _document_frequencies(docs, vocabulary)
+        tokens = _tokens(docs, vocabulary)
+        df = _document_frequencies(tokens, len(vocabulary))
         idf = np.where(df > COMMON * n_docs, 0.0, np.log((n_docs + 1) / (df + 1)) + 1)
         for item in items:  # an item of common words alone keeps them
             if not idf[item.ids].any():
                 idf[item.ids] = 1.0
-        shell = Retrieval(Ids(vocabulary), idf[:, None].astype(np.float32), items, np.zeros((0, 1)), np.zeros(0))
-        latent = _latent(docs, n_docs, shell, idf, sample, min(max(rank, len(items) + rank // 4), HIGHEST_RANK))
+        latent = _latent(tokens, items, idf, max(rank, len(items) + rank // 4))
         queries = np.array([latent[item.ids].sum(0) for item in items])
-        yield Retrieval(Ids(vocabulary), latent, items, queries, np.sqrt((queries**2).sum(1)))
+        yield Retrieval(Ids(vocabulary), latent, items, queries, np.sqrt((queries**2).sum(1))), tokens
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, similarity, answer): the documents that hold an item of the benchmark, or nearly so.
 
     similarity: the longest common subsequence of words, as a part of the item's words, LCS or more; or LCS_ANSWER or more
     with the item's answer (its last sentence, if that has four words) beside it. Items of fewer than five
     words, null items and null texts hold nothing. Documents with a null doc_id are judged like others; rows that
-    share a doc_id or item_id are one. The benchmark is handled in slices of ITEMS items, each held by every task.
+    share a doc_id or item_id are one. The benchmark is handled in slices of about ITEMS items at most, each held by every task.
     """
     schema = "doc_id long, item_id long, similarity double, answer boolean"
     names, kinds = ["doc_id", "item_id", "similarity", "answer"], [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
     found = docs.sparkSession.createDataFrame([], schema)
-    for model in _models(docs, benchmark, sample, rank):
+    for model, tokens in _models(docs, benchmark, rank):
 
         def each(batches: Iterator[pa.RecordBatch], model: Retrieval = model) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in model.leaks(t.as_py())]
+                rows = [(i, *x) for i, ids in zip(b.column(0).to_pylist(), _each_ids(b.column(1)), strict=True) for x in model.leaking(ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], names)
 
-        found = found.union(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, schema))
+        found = found.union(tokens.mapInArrow(each, schema))
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("answer").alias("answer"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """docs without the rows that hold an item. Each row is judged by its own text, whatever its doc_id."""
     left = docs
-    for model in _models(docs, benchmark, sample, rank):
+    for model, _ in _models(docs, benchmark, rank):
 
         def each(batches: Iterator[pa.RecordBatch], model: Retrieval = model) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from concord.llm import decontam
 
 RNG = random.Random(5)
@@ -87,3 +89,37 @@ def test_paraphrases_without_the_rarest_words(spark, docs):
         bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
         found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(*rows), bench).collect()}
         assert found == want, (n_docs, len(found))
+
+
+def test_decomposition_of_all_documents(spark, docs):
+    """The span of the word vectors is that of the plain sum over all passages, with hot null ids and more documents than 2,000."""
+    rng, vocabulary = random.Random(4), {f"v{n}": n for n in range(30)}
+    texts = [" ".join(rng.choice([*vocabulary, "x", "y"]) for _ in range(rng.choice([3, 40, 90]))) for _ in range(2500)]
+    texts += [" ".join(rng.choice(list(vocabulary)) for _ in range(9000))]
+    idf, item = np.linspace(1, 3, 30), decontam.Item(1, [0, 3, 5, 7, 9], [])
+    q = np.random.default_rng(11).standard_normal((30, 6))
+    own = np.zeros((1, 30))
+    own[0, item.ids] = idf[item.ids]
+    rows = []
+    for t in texts:
+        ids = decontam.Ids(vocabulary).of(t)
+        block = np.zeros((-(-len(ids) // 24) + 2, 30))
+        for n, w in enumerate(ids):
+            if w >= 0:
+                block[n // 24 + 1, w] += idf[w]
+        rows.append(block[1:] + block[:-1])
+    a = np.concatenate(rows)
+    for _ in range(2):
+        q, _ = np.linalg.qr(100 * own.T @ (own @ q) + a.T @ (a @ q))
+    tokens = decontam._tokens(docs(*((k if k % 3 else None, t) for k, t in enumerate(texts))), vocabulary)
+    got = decontam._latent(tokens, [item], idf, 6) / idf[:, None]
+    assert np.allclose(got @ got.T, q @ q.T, atol=1e-2)
+
+
+def test_benchmark_in_slices(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEMS", 5)
+    items = [prose(20) for _ in range(14)]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    d = docs(*((k, " ".join(prose(40) + i + prose(40))) for k, i in enumerate(items)), (99, " ".join(prose(90))))
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, bench).collect()} == {(k, k) for k in range(14)}
+    assert [r.doc_id for r in decontam.clean(d, bench).collect()] == [99]
