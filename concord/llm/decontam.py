@@ -173,8 +173,12 @@ class Retrieval:
             ends = np.minimum(last, total - 1)
             full = (last < total) & (item[ends] == item) & (place[ends] - place < self.span[item])
             for k, block in set(zip(item[full].tolist(), (place[full] // BLOCK).tolist(), strict=True)):
-                size = int(self.span[k])
-                out.add((k, block * BLOCK - size, (block + 1) * BLOCK + size))
+                size, masks = int(self.span[k]), self.items[k].masks
+                low, high = block * BLOCK - size, (block + 1) * BLOCK + size
+                # a word that is not there is at least one of those that may be lacking
+                lacking = len(masks) - len(masks.keys() & set(ids[max(0, low) : high].tolist()))
+                if lacking <= len(self.items[k].ids) - math.ceil(LCS * len(self.items[k].ids) - 1e-9):
+                    out.add((k, low, high))
         for p in at[self.anchored[own]].tolist():
             for k, j in self.anchors[int(ids[p])]:
                 answer, o, size = self.items[k].answer, p - j, PASSAGE + 2 * len(self.items[k].ids)
