@@ -72,3 +72,26 @@ def test_first_of_groups_keeps_rows_by_id_and_text(docs):
     out = [(r.doc_id, r.text) for r in simhash.first_of_groups(rows).collect()]
     want = [(None, a), (None, b), (7, c), (7, "other words"), (3, "x y z"), (9, "own text here"), (None, None)]
     assert sorted(out, key=str) == sorted(want, key=str)
+
+
+def test_texts_of_similarity_above_the_limit_are_found(docs):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    sets = lambda t: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))}
+    rows, alike, apart = [], [], []
+    for n in range(300):
+        a = [word() for _ in range(rng.choice([30, 100, 400, 2000]))]
+        b, goal = list(a), rng.choice([0.85, 0.68])
+        while True:
+            old = list(b)
+            b[rng.randrange(len(b))] = word()
+            x = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+            if x < goal:
+                break
+        if goal > 0.8:
+            b = old  # the last one that was still within the goal
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b).upper())]
+        (alike if goal > 0.8 else apart).append(2 * n + 1)
+    kept = {r.doc_id for r in simhash.first_of_groups(docs(*rows)).collect()}
+    assert sum(i in kept for i in alike) <= 0.03 * len(alike) and sum(i not in kept for i in apart) <= 0.03 * len(apart)
+    assert all(2 * n in kept for n in range(300))
