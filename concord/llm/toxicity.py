@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,20 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import known
-
 #: Bytes of a window, and from one window's start to the next.
 WINDOW, STRIDE = 96, 48
-#: Labelled rows fitted on, of each label; bytes of what both dictionaries share and of what each has alone.
-ROWS, SHARED, OWN = 2500, 8192, 4096
-#: A passage is one label's own if it is this many times as frequent there, in at least this part of its texts.
-ODDS, LEAST = 30.0, 0.02
-#: Shortest and longest start of a word looked at, in bytes.
-STEM = 4, 12
+#: Labelled rows fitted on, of each label, and the bytes of their texts together at most; bytes of what both dictionaries
+#: share and of what each has alone.
+ROWS, BYTES, SHARED, OWN = 2500, 12 << 20, 24576, 1024
+#: Bytes of a gram; toxic windows have grams that are this many times as frequent there, in at least this part of the texts.
+GRAM, ODDS, LEAST = 4, 30.0, 0.02
+#: Bytes of an ordinary window that the ordinary dictionary's own part is trained on.
+SHORT = 24
 BEST = 6
 #: What all toxic documents weigh against all others in the calibration: a clean document lost costs more.
 TOXIC, PENALTY = 0.35, 0.5
-LEVEL, SIGNS = 3, b".,;:!?\"'()"
+LEVEL = 3
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -74,42 +72,61 @@ class Dictionaries:
         return [*best.tolist(), float((best >= 2).sum()), float((best >= 3).sum()), float(np.log1p(clear)), 10 * clear / len(g), size, size**2 / 10]
 
 
-def _stems(text: str) -> set[bytes]:
-    """Starts of the text's words with the blank before them, the whole word at most."""
-    words = {x.strip(SIGNS) for x in text.encode("utf-8", "surrogatepass").lower().split()}
-    return {b" " + w[:k] for w in words for k in range(STEM[0], min(len(w), STEM[1]) + 1)}
-
-
-def _own(mine: Counter, other: Counter, n_mine: int, n_other: int) -> bytes:
-    """The stems that one label's texts have much more often than the other's, the most telling last
-    (a compressor reaches the end of a dictionary most cheaply). Of a stem and its extensions one is taken."""
-    odds = {w: (c / n_mine) / ((other[w] + 0.5) / n_other) for w, c in mine.items() if c >= max(4, LEAST * n_mine)}
-    taken: list[bytes] = []
-    longest = {w: w for w, x in odds.items() if x >= ODDS}
-    for w in sorted(longest, key=len, reverse=True):  # the longest stem that nearly as many texts have
-        if w[:-1] in longest and mine[longest[w]] >= 0.9 * mine[w[:-1]]:
-            longest[w[:-1]] = longest[w]
-    worth = {w: mine[w] * np.log(odds[w]) for w in longest.values()}
-    for w in sorted(worth, key=lambda w: (-worth[w], w)):
-        if sum(map(len, taken)) > OWN or worth[w] < max(worth.values()) / 12:
-            break
-        if not any(w.startswith(t) or t.startswith(w) for t in taken):
-            taken.append(w)
-    return b"".join(reversed(taken))[-OWN:]
+def _grams(text: bytes) -> np.ndarray:
+    """The GRAM bytes from each place on, as integers."""
+    b = np.frombuffer(text, np.uint8).astype(np.uint32)
+    n = max(0, len(b) - GRAM + 1)
+    out = np.zeros(n, np.uint32)
+    for k in range(GRAM):
+        out = out << np.uint32(8) | b[k : k + n]
+    return out
+
+
+def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of the texts and in how many of them each is."""
+    every = [np.unique(_grams(t)) for t in texts]
+    return np.unique(np.concatenate(every), return_counts=True)
+
+
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The stretches of toxic texts made of grams that at least LEAST of them have, and ODDS times as often as ordinary
+    ones: the windows that the toxic dictionary is trained on. What both kinds of text have would take its place."""
+    grams, n = _counts(toxic)
+    other, m = _counts(ordinary)
+    seen = np.zeros(len(grams))
+    at = np.searchsorted(other, grams)
+    there = np.flatnonzero(other[np.minimum(at, len(other) - 1)] == grams) if len(other) else np.zeros(0, int)
+    seen[there] = m[at[there]]
+    own = grams[(n >= max(4, LEAST * len(toxic))) & (n / len(toxic) >= ODDS * (seen + 0.5) / len(ordinary))]
+    out = []
+    for t in toxic:
+        at = np.flatnonzero(np.isin(_grams(t), own))
+        if len(at):
+            new = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + GRAM])
+            out += [t[x : y + GRAM] for x, y in zip(at[new].tolist(), at[np.r_[new[1:], len(at)] - 1].tolist(), strict=True)]
+    return out
+
+
+def trained(parts: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A zstandard dictionary of that size. The trainer wants more than the few samples of a small corpus: these repeat."""
+    import zstandard
 
+    parts = [p for p in parts if len(p) >= GRAM]
+    if not parts:
+        return bytes(size)
+    often = -(-20 * size // sum(map(len, parts))), -(-64 // len(parts)), 1
+    return zstandard.train_dictionary(size, parts * max(often), k=k, d=d).as_bytes()[-size:].rjust(size, b"\0")
 
-def train(toxic: list[str], ordinary: list[str]) -> Dictionaries:
-    """Both dictionaries end in the same content, trained by zstandard on ordinary text, so that they compress
-    ordinary windows alike. Before it, one has the stems that are toxic text's own, the other as much more ordinary text."""
-    import zstandard
 
-    seen = [Counter(w for t in texts for w in _stems(t)) for texts in (toxic, ordinary)]
-    parts = [w for t in ordinary for w in windows(t)]
-    few = sum(map(len, parts)) < 8 * SHARED or len(parts) < 64
-    shared = b"".join(parts)[-SHARED:] if few else zstandard.train_dictionary(SHARED, parts, k=64, d=8).as_bytes()
-    own = _own(seen[0], seen[1], len(toxic), len(ordinary))
-    more = b" ".join(ordinary[k % len(ordinary)].encode("utf-8", "surrogatepass").lower()[:64] for k in range(len(own) // 8 + 1))
-    return Dictionaries(own + shared, (more + bytes(len(own)))[: len(own)] + shared)
+def train(toxic: list[str], ordinary: list[str]) -> Dictionaries:
+    """One dictionary is trained by zstandard on the telling windows of toxic texts, the other as long on windows of
+    ordinary ones. Both end in the same content, trained on other ordinary texts, so that they compress ordinary windows
+    nearly alike (a compressor reaches the end of a dictionary most cheaply)."""
+    bad, good = ([t.encode("utf-8", "surrogatepass").lower() for t in texts] for texts in (toxic, ordinary))
+    shared = trained([w for t in ordinary[::2] for w in windows(t)], SHARED, 64, 8)
+    own = trained(telling(bad, good), OWN, 24, 6)
+    more = trained([t[k : k + SHORT] for t in good[1::2] for k in range(0, len(t), SHORT)], OWN, 24, 6)
+    return Dictionaries(own + shared, more + shared)
 
 
 class Model:
@@ -122,7 +139,7 @@ class Model:
     def fit(cls, toxic: list[str], ordinary: list[str]) -> Model:
         if not toxic or not ordinary:
             return cls(None, np.array([5.0 if toxic else -5.0]))
-        # Passages and calibration from different halves: how well a dictionary fits its own texts says little.
+        # Dictionaries and calibration from different halves: how well a dictionary fits its own texts says little.
         half, middle = -(-len(toxic) // 2), -(-len(ordinary) // 2)
         d = train(toxic[:half], ordinary[:middle])
         held = (toxic[half:], ordinary[middle:]) if len(toxic) > 1 and len(ordinary) > 1 else (toxic, ordinary)
@@ -154,17 +171,26 @@ def fold() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """A model from the labelled documents outside fold 0, `rows` of each label at most (the bound is the sample's
-    only limit; the rows are those with the smallest hash of doc_id). doc_id, lang and source are no inputs.
-    A document labelled both ways counts as toxic; labels without a text are passed over."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: int = BYTES) -> Model:
+    """A model from the labelled documents outside fold 0: of each label `rows` at most, and as many of these as have
+    `most_bytes` together (both bounds are the sample's only limits; the rows are those with the smallest hashes of doc_id
+    and text). doc_id, lang and source are no inputs. A document labelled both ways counts as toxic; labels without a
+    text are passed over, repeated rows are one."""
     known_labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = docs.where(F.col("doc_id").isNotNull() & (fold() != 0))
-    # Which rows, by their ids alone; then their texts, through a broadcast of at most 2 * rows ids.
-    met = own.select("doc_id").distinct().join(known_labels, "doc_id").select("doc_id", "toxic", F.xxhash64(known("doc_id")).alias("h"))
+    own = docs.where(F.col("doc_id").isNotNull() & (fold() != 0)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # Which documents, by their ids alone; then their rows, by hash and length; then the texts. All three are bounded.
+    met = own.select("doc_id").distinct().join(known_labels, "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
     chosen = {r.doc_id: r.toxic for k in (1, 0) for r in met.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(rows).collect()}
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    texts = own.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()
+    spark = docs.sparkSession
+    ids = spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int")
+    keyed = own.where("text is not null").withColumn("th", F.xxhash64("text"))
+    sizes = keyed.join(F.broadcast(ids), "doc_id").select("toxic", F.xxhash64("doc_id").alias("h"), "doc_id", "th", F.octet_length("text").alias("n")).distinct()
+    taken = []
+    for k in (1, 0):
+        found = sizes.where(F.col("toxic") == k).orderBy("h", "doc_id", "th").limit(rows).collect()
+        taken += [(r.doc_id, r.th) for r, total in zip(found, np.cumsum([r.n for r in found]), strict=True) if total <= most_bytes]
+    some = spark.createDataFrame(taken, "doc_id long, th long")
+    texts = keyed.join(F.broadcast(some), ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("text").alias("text")).collect()
     texts.sort(key=lambda r: (r.doc_id, r.text))
     return Model.fit(*([r.text for r in texts if chosen[r.doc_id] == k] for k in (1, 0)))
 

@@ -1,5 +1,8 @@
 import random
 import zlib
+from collections import Counter
+
+import zstandard
 
 from concord.llm import toxicity
 
@@ -42,3 +45,38 @@ def test_without_labels_or_rows(spark, docs):
     d, labels = data(spark, docs, 30)
     assert {r.predicted for r in toxicity.score(d, toxicity.fit(d, labels.where("toxic = 0"))).collect()} == {0}
     assert toxicity.score(docs(), toxicity.fit(docs(), labels)).count() == 0
+
+
+def test_gains_are_plain_compressed_lengths():
+    toxic, ordinary = [text(1) for _ in range(60)], [text(0) for _ in range(120)]
+    d = toxicity.train(toxic, ordinary)
+    assert d.raw[0][toxicity.OWN :] == d.raw[1][toxicity.OWN :] and len(d.raw[0]) == toxicity.OWN + toxicity.SHARED
+    assert all(w in d.raw[0] and w not in d.raw[1] for w in (b"zorgling", b"quaxxer", b"vilebrut"))  # the trainer took them from toxic text
+    part = toxicity.windows(toxic[0])[0]
+
+    def size(raw):
+        how = zstandard.ZstdCompressionParameters.from_level(3, min_match=3, strategy=zstandard.STRATEGY_BTOPT)
+        own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=own, compression_params=how).compress(part))
+
+    assert d.gains([part]).tolist() == [size(d.raw[1]) - size(d.raw[0])]
+
+
+def test_telling_windows_against_plain_counting():
+    toxic, ordinary = [text(k % 2, 60).encode() for k in range(40)], [text(0, 60).encode() for _ in range(60)]
+    cut = lambda t: {t[k : k + 4] for k in range(len(t) - 3)}
+    n, m = (Counter(g for t in x for g in cut(t)) for x in (toxic, ordinary))
+    own = {g for g, c in n.items() if c >= max(4, 0.02 * len(toxic)) and c / len(toxic) >= 30 * (m[g] + 0.5) / len(ordinary)}
+    covered = {(t, k + j) for t in toxic for k in range(len(t) - 3) if t[k : k + 4] in own for j in range(4)}
+    out = toxicity.telling(toxic, ordinary)
+    assert sum(map(len, out)) == len(covered) and all(any(p in t for t in toxic) for p in out)
+
+
+def test_repeated_ids_and_rows(spark, docs):
+    d, labels = data(spark, docs)
+    more = d.union(d.where("doc_id < 50")).union(d.where("doc_id = 7").selectExpr("doc_id", "concat(text, ' again') AS text", *d.columns[2:]))
+    out = toxicity.score(more, toxicity.fit(more, labels)).collect()
+    assert len(out) == more.count() and len({(r.doc_id, r.score) for r in out if r.doc_id == 1}) == 1
+    few = toxicity.fit(d, labels, most_bytes=20_000)  # fewer rows by their bytes
+    assert isinstance(few, toxicity.Model) and toxicity.score(d, few).count() == 244
