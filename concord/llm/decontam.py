@@ -16,9 +16,9 @@ from .common import shuffle_partitions, written
 #: Words of a block; a passage is two blocks, so passages overlap by half.
 BLOCK = 24
 PASSAGE = 2 * BLOCK
-#: Latent dimensions at least (one for each item and some more: fewer than items blur them together, and candidates
-#: multiply); items handled in one pass, about.
-RANK, ITEMS = 256, 400
+#: Leading directions of the passages that the latent space has beside the items' own (a space without these would blur
+#: the items of rare words together, the more the larger the corpus is); items handled in one pass, about.
+RANK, ITEMS = 64, 400
 #: Words that a larger part of the documents has say nothing and are left out of the vectors.
 COMMON = 0.2
 #: Least cosine of a candidate, and least part of an item's latent length that the passage must cover.
@@ -107,30 +107,37 @@ class Retrieval:
     queries: np.ndarray
     lengths: np.ndarray
 
-    def passages(self, ids: np.ndarray, latent: np.ndarray) -> np.ndarray:
-        """The vectors of a document's passages, one for each block that starts one."""
-        n = max(1, -(-len(ids) // BLOCK))
-        at = np.flatnonzero(ids >= 0)
-        own = ids[at]
-        useful = self.weighty[own]
-        at, own = at[useful], own[useful]
-        out = np.zeros((n, latent.shape[1]), np.float32)
-        if len(at):
-            block = at // BLOCK
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            out[block[first]] = np.add.reduceat(latent[own], first)
-        if n > 1:
-            out[:-1] += out[1:]
-            out = out[:-1]
-        return out
-
     def __post_init__(self):
         self.weighty = np.abs(self.latent).sum(1) > 0
         sizes = np.array([len(i.ids) for i in self.items]) if len(self.lengths) else np.zeros(0)
-        self.least = (COSINE * self.lengths).astype(np.float32)
-        self.cover = np.maximum(COVER * np.minimum(1.0, PASSAGE / np.maximum(sizes, 1)) * self.lengths**2, 1e-9).astype(np.float32)
+        self.cover = np.maximum(COVER * np.minimum(1.0, PASSAGE / np.maximum(sizes, 1)) * self.lengths**2, 1e-9)
+        # What a word adds to an item's dot product. All that a passage leaves out is 5 % of the least that counts.
+        dots = self.latent @ self.queries.T if len(self.items) else np.zeros((len(self.latent), 0))
+        word, self.dot_item = np.nonzero(np.abs(dots) > 1e-3 * self.cover)
+        self.dot = dots[word, self.dot_item]
+        self.dots = np.bincount(word, minlength=len(self.latent))
+        self.dot_first = np.cumsum(self.dots) - self.dots
         self._gate()
 
+    def near(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(block, item) of the passages whose cosine with an item is COSINE or more and that cover enough of it. A passage
+        begins at each block but the last; a short document is one."""
+        n, k = max(1, -(-len(ids) // BLOCK)), len(self.items)
+        at = np.flatnonzero(ids >= 0)
+        own = ids[at]
+        many = self.dots[own]
+        post = np.repeat(self.dot_first[own] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        sums = np.bincount(np.repeat(at // BLOCK, many) * k + self.dot_item[post], self.dot[post], n * k).reshape(n, k)
+        sums = sums[:-1] + sums[1:] if n > 1 else sums
+        out, length = [], {}
+        for p, i in zip(*(x.tolist() for x in np.nonzero(sums >= self.cover)), strict=True):
+            if p not in length:
+                part = ids[p * BLOCK : p * BLOCK + PASSAGE]
+                length[p] = float(np.linalg.norm(self.latent[part[part >= 0]].sum(0)))
+            if sums[p, i] >= COSINE * self.lengths[i] * length[p]:
+                out.append((p, i))
+        return out
+
     def _gate(self) -> None:
         """Words that tell where an item can be. Of n words a text with LCS of them lacks n - LCS * n at most, so it has
         all but so many of any choice of them: of those that are not common, or of all where that leaves fewer than two."""
@@ -196,15 +203,9 @@ class Retrieval:
             return []
         places = self.places(ids)
         for o in range(0, len(ids), 2000 * BLOCK):
-            part = ids[o : o + 2000 * BLOCK + BLOCK]
-            v = self.passages(part, self.latent)
-            dots = v @ self.queries.T
-            norms = np.sqrt((v * v).sum(1))[:, None]
-            near = dots >= self.cover
-            near &= dots >= norms * self.least
-            for p, k in zip(*np.nonzero(near), strict=True):
-                start, n = o + int(p) * BLOCK, len(self.items[k].ids)
-                places.add((int(k), start - n, start + PASSAGE + n))
+            for p, k in self.near(ids[o : o + 2000 * BLOCK + BLOCK]):
+                start, n = o + p * BLOCK, len(self.items[k].ids)
+                places.add((k, start - n, start + PASSAGE + n))
         best: dict[int, tuple[float, bool]] = {}
         for k, low, high in places:
             have, there = self.items[k].check(ids, low, high)
@@ -252,15 +253,15 @@ def _document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
 
 
 def _latent(tokens: DataFrame, items: list[Item], idf: np.ndarray, rank: int) -> np.ndarray:
-    """Word vectors: idf times the leading right singular vectors of the TF-IDF passages of all documents and all
-    items, by a randomised decomposition with one power step. A task sends the rows (word, sum over its passages);
-    they are added by word, so the driver receives one vocabulary-by-rank matrix."""
+    """Word vectors: idf times right singular vectors of the TF-IDF passages of all documents, the `rank` leading ones by a
+    randomised decomposition with one power step, and the items' own directions. A task sends the rows (word, sum over
+    its passages); they are added by word, so the driver receives one vocabulary-by-rank matrix."""
     size = len(idf)
     rank = min(rank, size)
-    own = np.zeros((len(items), size))
-    for row, item in zip(own, items, strict=True):
-        np.add.at(row, item.ids, idf[item.ids])
     weight, schema = idf.astype(np.float32), "word int, m binary"
+    own = np.zeros((len(items), size), np.float32)
+    for row, item in zip(own, items, strict=True):
+        np.add.at(row, item.ids, weight[item.ids])
 
     def rows_of(words: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array([x.tobytes() for x in m], pa.binary())], ["word", "m"])
@@ -274,10 +275,10 @@ def _latent(tokens: DataFrame, items: list[Item], idf: np.ndarray, rank: int) ->
         if total:
             yield rows_of(np.array(list(total)), np.array(list(total.values()), np.float32))
 
-    q = np.random.default_rng(11).standard_normal((size, rank))
+    q = np.random.default_rng(11).standard_normal((size, rank), np.float32)
     for _ in range(2):
 
-        def each(batches: Iterator[pa.RecordBatch], q: np.ndarray = q.astype(np.float32)) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
             total = np.zeros((size, q.shape[1]), np.float32)
             for b in batches:
                 for ids in _each_ids(b.column(0)):
@@ -298,12 +299,14 @@ def _latent(tokens: DataFrame, items: list[Item], idf: np.ndarray, rank: int) ->
             met = np.flatnonzero(np.abs(total).sum(1))
             yield rows_of(met, total[met])
 
-        y = 100.0 * own.T @ (own @ q)
+        y = np.zeros((size, rank), np.float32)
         parts = tokens.select("ids").mapInArrow(each, schema).repartition(shuffle_partitions(tokens.sparkSession), "word")
-        for r in parts.mapInArrow(added, schema).collect():
-            y[r.word] += np.frombuffer(r.m, np.float32)
+        for r in parts.mapInArrow(added, schema).toLocalIterator():
+            y[r.word] = np.frombuffer(r.m, np.float32)
         q, _ = np.linalg.qr(y)
-    return (idf[:, None] * q).astype(np.float32)
+    q, r = np.linalg.qr(np.hstack([own.T, q]))
+    q = q[:, np.abs(np.diag(r)) > 1e-4 * np.abs(np.diag(r)).max()]  # directions that others have already are noise
+    return weight[:, None] * q
 
 
 def _answer(text: str) -> list[str]:
@@ -333,7 +336,7 @@ def _models(docs: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[tuple[
         for item in items:  # an item of common words alone keeps them
             if not idf[item.ids].any():
                 idf[item.ids] = 1.0
-        latent = _latent(tokens, items, idf, max(rank, len(items) + rank // 4))
+        latent = _latent(tokens, items, idf, rank)
         queries = np.array([latent[item.ids].sum(0) for item in items])
         yield Retrieval(Ids(vocabulary), latent, items, queries, np.sqrt((queries**2).sum(1))), tokens
 
