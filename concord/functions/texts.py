@@ -1,7 +1,12 @@
-"""Acceptance rules and text functions as columns. Arrow UDFs only for what Spark has no exact form of."""
+"""Acceptance rules and text functions as columns.
+
+Ordinary texts (ASCII, plain numbers) are judged by Spark's own functions. What Spark has no exact form of (other
+scripts' letters, odd spellings of numbers, dates) goes to one Arrow UDF, which gets nulls for all other rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 from decimal import Context, Decimal, InvalidOperation
 
@@ -14,7 +19,11 @@ from ..config import Rule
 
 # The characters that Python's str.strip() removes.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# The kinds of change, as reports name them.
+TO_VALUE, TO_BLANK, SPACE, CASE, CASE_SPACE, NUMBER, OTHER = "Blank → value", "Value → blank", "Whitespace only", "Case only", "Case and whitespace", "Numeric formatting", "Other value change"
 PLAIN_NUMBER = r"^[+-]?\d{1,18}(\.\d{1,18})?$"
+#: Every ASCII text that Python's Decimal reads as a finite number is made of these.
+NUMBER_CHARACTERS = r"^[0-9_.eE+\-\s\x1c-\x1f]+$"
 NULL_SHOWN = "[NULL]"
 _EXACT = Context(prec=4000)
 
@@ -23,20 +32,10 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-@F.pandas_udf(T.StringType())
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x.casefold() if x is not None else None)
-
-
 def ascii_only(c: Column) -> Column:
     return F.octet_length(c) == F.char_length(c)
 
 
-def folded(c: Column) -> Column:
-    """Python's casefold(): by lower() on ASCII texts, which then reach the UDF as nulls."""
-    return F.when(ascii_only(c), F.lower(c)).otherwise(_casefold(F.when(~ascii_only(c), c)))
-
-
 def number(text: str | None) -> Decimal | None:
     """A finite decimal of at most 1000 characters with exponents within 1000, or None."""
     if text is None or len(text) > 1000:
@@ -48,58 +47,111 @@ def number(text: str | None) -> Decimal | None:
     return d if d.is_finite() and abs(d.adjusted()) <= 1000 and abs(int(d.as_tuple().exponent)) <= 1000 else None
 
 
-def _within(tolerance: str):
-    limit = Decimal(tolerance)
-
-    @F.pandas_udf(T.BooleanType())
-    def within(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            x, y = number(x), number(y)
-            return x is not None and y is not None and abs(_EXACT.subtract(x, y)) <= limit
+def near(x: str | None, y: str | None, limit: Decimal) -> bool:
+    a, b = number(x), number(y)
+    return a is not None and b is not None and abs(_EXACT.subtract(a, b)) <= limit
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    return within
+def _moment(text: str, form: str) -> datetime | None:
+    try:
+        return datetime.strptime(text, form)
+    except ValueError:
+        return None
 
 
-def close(a: Column, b: Column, tolerance: str) -> Column:
-    """|a - b| <= tolerance, exactly: in Spark's decimals where both are plain numbers, else in Python's."""
+def accepts(rule: Rule, x: str | None, y: str | None) -> bool:
+    """Whether the rule makes two texts equal; a null is equal to a null only. What accepted_by() must agree with."""
+    if x is None or y is None:
+        return x is y
+    if rule.trim:
+        x, y = x.strip(), y.strip()
+    if rule.ignore_case:
+        x, y = x.casefold(), y.casefold()
+    if x == y:
+        return True
+    if rule.left_date_format:
+        at = _moment(x, rule.left_date_format)
+        return at is not None and at == _moment(y, rule.right_date_format or "")
+    return rule.tolerance is not None and near(x, y, Decimal(rule.tolerance))
+
+
+def change_kind(x: str, y: str) -> str:
+    """The kind of change between two shown texts, the first that fits. What pattern() must agree with."""
+    a, b = x.strip(), y.strip()
+    if bool(a) != bool(b):
+        return TO_BLANK if a else TO_VALUE
+    if a == b:
+        return SPACE
+    if x.casefold() == y.casefold():
+        return CASE
+    if a.casefold() == b.casefold():
+        return CASE_SPACE
+    return NUMBER if near(a, b, Decimal(0)) else OTHER
+
+
+def _plain_close(a: Column, b: Column, tolerance: str) -> tuple[Column, Column]:
+    """(decidable, result) of |a - b| <= tolerance by Spark's decimals: of two plain numbers, or where one text is none."""
     t = Decimal(tolerance)
     plain = a.rlike(PLAIN_NUMBER) & b.rlike(PLAIN_NUMBER)
-    fits = t == t.quantize(Decimal(1).scaleb(-18), context=_EXACT) and t < Decimal(10) ** 18
-    if not fits:
-        return _within(tolerance)(a, b)
-    fast = F.abs(a.try_cast("decimal(36,18)") - b.try_cast("decimal(36,18)")) <= F.lit(str(t)).cast("decimal(37,18)")
-    return F.when(plain, fast).otherwise(_within(tolerance)(F.when(~plain, a), F.when(~plain, b)))
+    no_number = ascii_only(a) & ascii_only(b) & ~(a.rlike(NUMBER_CHARACTERS) & b.rlike(NUMBER_CHARACTERS))
+    if t != t.quantize(Decimal(1).scaleb(-18), context=_EXACT) or t >= Decimal(10) ** 18:
+        return no_number, F.lit(False)
+    gap = F.abs(a.try_cast("decimal(36,18)") - b.try_cast("decimal(36,18)"))
+    return plain | no_number, plain & F.coalesce(gap <= F.lit(str(t)).cast("decimal(37,18)"), F.lit(False))
 
 
-def same_date(a: Column, b: Column, left_format: str, right_format: str) -> Column:
-    @F.pandas_udf(T.BooleanType())
-    def same(x: pd.Series, y: pd.Series) -> pd.Series:
-        def parsed(text, form):
-            try:
-                return datetime.strptime(text, form) if text is not None else None
-            except ValueError:
-                return None
+def close(a: Column, b: Column, tolerance: str) -> Column:
+    """|a - b| <= tolerance, exactly. False where one is no number."""
+    limit = Decimal(tolerance)
+    decidable, result = _plain_close(a, b, tolerance)
 
-        pairs = [(parsed(p, left_format), parsed(q, right_format)) for p, q in zip(x, y, strict=True)]
-        return pd.Series([p is not None and p == q for p, q in pairs], dtype=bool)
+    @F.pandas_udf(T.BooleanType())
+    def rest(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([near(p, q, limit) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    return same(a, b)
+    rare = a.isNotNull() & b.isNotNull() & ~decidable
+    return F.when(a.isNull() | b.isNull(), False).when(decidable, result).otherwise(rest(F.when(rare, a), F.when(rare, b)))
 
 
-def accepted_by(rule: Rule, a: Column, b: Column) -> Column:
-    """Whether the rule makes two texts equal. A null is equal to a null only."""
+def _plain_rule(rule: Rule, a: Column, b: Column) -> tuple[Column, Column]:
+    """(decidable, result) of a rule by Spark's functions; both texts are there."""
+    decidable = F.lit(True)
     if rule.trim:
         a, b = trimmed(a), trimmed(b)
     if rule.ignore_case:
-        a, b = folded(a), folded(b)
+        decidable = ascii_only(a) & ascii_only(b)
+        a, b = F.lower(a), F.lower(b)
     same = a == b
     if rule.left_date_format:
-        same = same | same_date(a, b, rule.left_date_format, rule.right_date_format or "")
-    elif rule.tolerance is not None:
-        same = same | close(a, b, rule.tolerance)
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.coalesce(same, F.lit(False)))
+        return same, same
+    if rule.tolerance is not None:
+        known, near_by = _plain_close(a, b, rule.tolerance)
+        return decidable & (same | known), same | near_by
+    return decidable, same
+
+
+def accepted_by(rules: Sequence[Rule], column: Column, a: Column, b: Column) -> Column:
+    """Whether a cell's rule makes its two texts equal: never null, false for columns without a rule."""
+    if not rules:
+        return F.lit(False)
+    known, same = [], []
+    for r in rules:
+        of = column == r.column
+        for cases, value in zip((known, same), _plain_rule(r, F.when(of, a), F.when(of, b)), strict=True):
+            cases.append(F.when(of, value))
+    decidable, result = F.coalesce(*known, F.lit(True)), F.coalesce(*same, F.lit(False))
+    both = a.isNotNull() & b.isNotNull()
+    plain = F.when(both, result).otherwise(F.coalesce(column.isin([r.column for r in rules]), F.lit(False)) & a.isNull() & b.isNull())
+    if not any(r.ignore_case or r.left_date_format or r.tolerance is not None for r in rules):
+        return plain
+    by_column = {r.column: r for r in rules}
+
+    @F.pandas_udf(T.BooleanType())
+    def rest(name: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([n is not None and accepts(by_column[n], p, q) for n, p, q in zip(name, x, y, strict=True)], dtype=bool)
+
+    rare = both & ~decidable
+    return F.when(rare, rest(F.when(rare, column), F.when(rare, a), F.when(rare, b))).otherwise(plain)
 
 
 def shown(c: Column) -> Column:
@@ -107,19 +159,26 @@ def shown(c: Column) -> Column:
     return F.when(c.isNull(), NULL_SHOWN).when(c == NULL_SHOWN, NULL_SHOWN + " (text)").otherwise(c)
 
 
+@F.pandas_udf(T.StringType())
+def _rare_kind(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else change_kind(p, q) for p, q in zip(x, y, strict=True)], dtype=object)
+
+
 def pattern(a: Column, b: Column) -> Column:
     """The kind of change between two shown texts, the first that fits."""
-    blank = lambda c: trimmed(c) == ""
-    plain_a, plain_b = trimmed(a), trimmed(b)
-    return (
-        F.when(blank(a) & ~blank(b), "Blank → value")
-        .when(~blank(a) & blank(b), "Value → blank")
-        .when(plain_a == plain_b, "Whitespace only")
-        .when(folded(a) == folded(b), "Case only")
-        .when(folded(plain_a) == folded(plain_b), "Case and whitespace")
-        .when(close(plain_a, plain_b, "0"), "Numeric formatting")
-        .otherwise("Other value change")
+    left, right = trimmed(a), trimmed(b)
+    known, same = _plain_close(left, right, "0")
+    decidable = ascii_only(a) & ascii_only(b) & known
+    plain = (
+        F.when((left == "") & (right != ""), TO_VALUE)
+        .when((left != "") & (right == ""), TO_BLANK)
+        .when(left == right, SPACE)
+        .when(F.lower(a) == F.lower(b), CASE)
+        .when(F.lower(left) == F.lower(right), CASE_SPACE)
+        .when(same, NUMBER)
+        .otherwise(OTHER)
     )
+    return F.when(decidable, plain).otherwise(_rare_kind(F.when(~decidable, a), F.when(~decidable, b)))
 
 
 def shortened(c: Column, limit: int) -> Column:
@@ -128,3 +187,24 @@ def shortened(c: Column, limit: int) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, 100.0 * part / whole)
+
+
+def percent_text(value: Column) -> Column:
+    """A percentage with four digits, N/A for null."""
+    return F.coalesce(F.format_string("%.4f%%", value), F.lit("N/A"))
+
+
+def difference_text(x: str | None, y: str | None) -> str:
+    """x - y as an exact decimal, '' where one is no number."""
+    a, b = number(x), number(y)
+    return "" if a is None or b is None else str(_EXACT.subtract(a, b))
+
+
+def numeric_difference(a: Column, b: Column) -> Column:
+    """left - right as an exact decimal text, '' where one is no number. For samples and pages; not used to compare."""
+
+    @F.pandas_udf(T.StringType())
+    def delta(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difference_text(p, q) for p, q in zip(x, y, strict=True)], dtype=object)
+
+    return delta(a, b)

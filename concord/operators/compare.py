@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CompareConfig, align_headers, check, rename
@@ -17,8 +17,17 @@ def key_json(keys: tuple[str, ...] | list[str]) -> Column:
     return F.to_json(F.array(*[F.col(f"`{k}`") for k in keys]))
 
 
+#: Changed keys that are broadcast to the sources when their payloads are fetched (some 100 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 100_000
+
+
 class Comparison:
-    """A comparison as lazy DataFrames. Grouping and join both deal by key_json, so each side is shuffled once."""
+    """A comparison as lazy DataFrames.
+
+    Keys travel alone first: each row becomes its key, its source order and 128 bits of hash of its compared columns,
+    so duplicates, the full join and all totals of keys shuffle narrow rows only. The columns themselves are read again
+    for keys whose hashes differ, and only their rows are shuffled, compared cell by cell and judged.
+    """
 
     def __init__(self, left: DataFrame, right: DataFrame, config: CompareConfig):
         self.config, self.spark = config, left.sparkSession
@@ -39,27 +48,51 @@ class Comparison:
         df = self.spark.createDataFrame(rows, "k array<string>, container string, reason string")
         return df.select(F.to_json("k").alias("key_json"), "container", "reason")
 
-    def _keyed(self, df: DataFrame) -> DataFrame:
-        payload = F.array(*[F.col(f"`{c}`") for c in self.columns]) if self.columns else F.array().cast("array<string>")
+    @property
+    def exclusion_audit(self) -> DataFrame:
+        """(container, reason, key_json, left_rows, right_rows): what each membership takes out of either side."""
+        out = self.exclusions
+        for side, df in (("left", self.left), ("right", self.right)):
+            rows = df.select(key_json(self.config.keys).alias("key_json")).groupBy("key_json").agg(F.count("*").alias(f"{side}_rows"))
+            out = out.join(rows, "key_json", "left").withColumn(f"{side}_rows", F.coalesce(f"{side}_rows", F.lit(0)))
+        return out.select("container", "reason", "key_json", "left_rows", "right_rows")
+
+    def _keyed(self, df: DataFrame, *columns: Column) -> DataFrame:
+        """(key_json, ord, columns) of the rows that take part."""
         empty = F.lit(False)
         for k in self.config.keys:
             empty = empty | F.coalesce(F.col(f"`{k}`") == "", F.lit(True))
-        rows = df.select(key_json(self.config.keys).alias("key_json"), payload.alias("v"), F.col(ORDER).alias("ord"), empty.alias("bad"))
+        rows = df.select(key_json(self.config.keys).alias("key_json"), F.col(ORDER).alias("ord"), empty.alias("bad"), *columns)
         rows = rows if not self.config.containers else rows.join(self.exclusions.select("key_json").distinct(), "key_json", "left_anti")
         if not self.config.allow_empty_keys:
             rows = rows.where(F.assert_true(~F.col("bad"), F.lit("a key part is empty")).isNull())
-        return rows.select("key_json", "v", "ord")
+        return rows.drop("bad")
+
+    def _hashes(self) -> tuple[Column, Column]:
+        """128 bits of the compared columns. Nulls change no hash, so which columns are null is hashed as well."""
+        own = [F.col(f"`{c}`") for c in self.columns]
+        nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in own]) if own else F.lit("")
+        return F.xxhash64(*own, nulls).alias("h1"), F.xxhash64(F.lit(1), *own, nulls).alias("h2")
 
     def _unique(self, df: DataFrame) -> DataFrame:
-        pick = F.min_by if self.config.duplicate_policy == "first" else F.max_by
-        return self._keyed(df).groupBy("key_json").agg(pick("v", "ord").alias("v"), F.count("*").alias("n"))
+        """(key_json, n, at, h1, h2): occurrences of a key, and the order and hashes of the row that counts."""
+        first = self.config.duplicate_policy == "first"
+        pick, end = (F.min_by, F.min) if first else (F.max_by, F.max)
+        return self._keyed(df, *self._hashes()).groupBy("key_json").agg(F.count("*").alias("n"), end("ord").alias("at"), pick("h1", "ord").alias("h1"), pick("h2", "ord").alias("h2"))
 
     @cached_property
     def joined(self) -> DataFrame:
-        """(key_json, lv, ln, rv, rn): payload and occurrences of each side, null where a side lacks the key."""
-        left = self._unique(self.left).select("key_json", F.col("v").alias("lv"), F.col("n").alias("ln"))
-        right = self._unique(self.right).select("key_json", F.col("v").alias("rv"), F.col("n").alias("rn"))
-        return left.join(right, "key_json", "full")
+        """(key_json, ln, lat, lh1, lh2, rn, ...): what is known of a key on each side, null where a side lacks it."""
+        sides = [self._unique(df).withColumnsRenamed({c: s + c for c in ("n", "at", "h1", "h2")}) for s, df in (("l", self.left), ("r", self.right))]
+        return sides[0].join(sides[1], "key_json", "full")
+
+    def _payload(self, side: str, changed: DataFrame, small: bool) -> DataFrame:
+        """(key_json, the side's values as an array) of the changed keys, from the row that counts."""
+        values = F.array(*[F.col(f"`{c}`") for c in self.columns]) if self.columns else F.array().cast("array<string>")
+        rows = self._keyed(self.left if side == "l" else self.right, values.alias(f"{side}v"))
+        wanted = changed.select("key_json", F.col(f"{side}n").alias("n"), F.col(f"{side}at").alias("at"))
+        met = rows.join(F.broadcast(wanted) if small else wanted, "key_json")
+        return met.where("n = 1 or ord = at").select("key_json", f"{side}v")
 
     @property
     def matched_keys(self) -> DataFrame:
@@ -75,12 +108,21 @@ class Comparison:
 
     @cached_property
     def raw_differences(self) -> DataFrame:
-        """(key_json, column, left_value, right_value): every unequal cell of a matched key. Equal rows go before any
-        cell is made."""
+        """(key_json, column, left_value, right_value): every unequal cell of a matched key. Finds the changed keys at once
+        and keeps them (release() lets them go): their number decides how their payloads are fetched."""
+        differ = F.col("ln").isNotNull() & F.col("rn").isNotNull() & ((F.col("lh1") != F.col("rh1")) | (F.col("lh2") != F.col("rh2")))
+        self._changed = self.joined.where(differ).select("key_json", "ln", "lat", "rn", "rat").persist()
+        small = self._changed.count() <= BROADCAST_KEYS
+        both = self._payload("l", self._changed, small).join(self._payload("r", self._changed, small), "key_json")
         cells = F.posexplode(F.zip_with("lv", "rv", lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("pos", "c")
-        changed = self.joined.where("ln is not null and rn is not null and not (lv <=> rv)").select("key_json", cells)
         names = F.array(*[F.lit(c) for c in self.columns]) if self.columns else F.array(F.lit(""))
-        return changed.where("not (c.a <=> c.b)").select("key_json", names[F.col("pos")].alias("column"), F.col("c.a").alias("left_value"), F.col("c.b").alias("right_value"))
+        return both.select("key_json", cells).where("not (c.a <=> c.b)").select("key_json", names[F.col("pos")].alias("column"), F.col("c.a").alias("left_value"), F.col("c.b").alias("right_value"))
+
+    def release(self) -> None:
+        """Lets go of what raw_differences has kept."""
+        if "raw_differences" in self.__dict__:
+            self._changed.unpersist()
+            del self.__dict__["raw_differences"]
 
     def judged(self, raw: DataFrame | None = None, config: CompareConfig | None = None) -> DataFrame:
         """raw_differences with accepted: 'override', 'rule' or null. Overrides come first."""
@@ -91,11 +133,7 @@ class Comparison:
             raw = raw.join(F.broadcast(pairs.withColumn("by_override", F.lit(True))), ["column", "left_value", "right_value"], "left")
         else:
             raw = raw.withColumn("by_override", F.lit(None).cast("boolean"))
-        rule = F.lit(False)
-        for r in config.rules:
-            of = column == r.column
-            rule = rule | (of & accepted_by(r, F.when(of, a), F.when(of, b)))
-        how = F.when(F.col("by_override"), "override").when(rule, "rule")
+        how = F.when(F.col("by_override"), "override").when(accepted_by(config.rules, column, a, b), "rule")
         return raw.withColumn("accepted", how).select("key_json", "column", "left_value", "right_value", "accepted")
 
     @property
@@ -111,6 +149,20 @@ class Comparison:
         kept = F.lit(1).cast("long") if self.config.duplicate_policy == "first" else F.col("occurrences")
         return every.select("side", "key_json", "occurrences", (F.col("occurrences") - 1).alias("skipped_rows"), kept.alias("kept_occurrence"))
 
+    @property
+    def first_duplicates(self) -> DataFrame:
+        """(side, key_json, occurrences, place, values): of each side's smallest repeated key the first three rows, of
+        20 columns at most, each value shown and cut to 500 characters."""
+        out = []
+        names = self.columns[:20]
+        for side, n, df in (("left", "ln", self.left), ("right", "rn", self.right)):
+            first = self.joined.where(f"{n} > 1").select("key_json", F.col(n).alias("occurrences")).orderBy("key_json").limit(1)
+            values = F.array(*[F.substring(shown(F.col(f"`{c}`")), 1, 500) for c in names]) if names else F.array().cast("array<string>")
+            rows = self._keyed(df, values.alias("values")).join(F.broadcast(first), "key_json")  # one row
+            top = rows.orderBy("ord").limit(3)
+            out.append(top.select(F.lit(side).alias("side"), "key_json", "occurrences", F.row_number().over(Window.orderBy("ord")).alias("place"), "values"))  # of three rows
+        return out[0].union(out[1])
+
     @property
     def column_counts(self) -> DataFrame:
         """(column, mismatches), columns without any included."""

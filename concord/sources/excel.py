@@ -44,7 +44,7 @@ def _column(ref: str) -> int:
 
 
 def rows(content: bytes, part: str) -> Iterator[list[str]]:
-    """The header and then each data row that is not blank, as the stored texts."""
+    """The header (row 1) and then each data row that is not blank, as the stored texts."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = [_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []
         header: list[str] | None = None
@@ -58,6 +58,8 @@ def rows(content: bytes, part: str) -> Iterator[list[str]]:
                     at = _column(c.get("r")) if c.get("r") else at + 1  # type: ignore[arg-type]
                     v, kind = c.find(f"{MAIN}v"), c.get("t")
                     raw = (v.text or "") if v is not None else ""
+                    if c.find(f"{MAIN}f") is not None and (v is None or (not raw and kind != "str")):
+                        raise ValueError("a formula has no saved result")
                     if kind == "inlineStr":
                         raw = _text(c.find(f"{MAIN}is"))  # type: ignore[arg-type]
                     elif kind == "s" and raw:
@@ -65,14 +67,15 @@ def rows(content: bytes, part: str) -> Iterator[list[str]]:
                     elif kind == "b":
                         raw = {"1": "TRUE", "0": "FALSE"}.get(raw, raw)
                     cells[at] = raw
+                number = row.get("r")
                 row.clear()
+                if any(k >= MAX_COLUMNS for k in cells):
+                    raise ValueError("too many columns")
                 if header is None:
-                    if not any(cells.values()):
-                        continue
-                    if max(cells) >= MAX_COLUMNS:
-                        raise ValueError("too many columns")
+                    if number not in (None, "1") or not any(cells.values()):
+                        raise ValueError("the first row must hold the headers")
                     header = [cells.get(k, "") for k in range(max(k for k, v in cells.items() if v) + 1)]
-                    if not all(header) or len({h.casefold() for h in header}) < len(header):
+                    if not all(header) or len(set(header)) < len(header):
                         raise ValueError("headers are blank or repeated")
                     yield header
                 elif any(cells.values()):

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import normalize_headers
+from .csvcheck import check_csv
 
 ORDER = "__source_order"
+#: Characters of a CSV field at most.
+MAX_FIELD = 64 << 20
 
 
 @F.pandas_udf(T.StringType())
@@ -67,13 +70,14 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return text_table(df.select("*", order.alias(ORDER)).toDF(*names, ORDER))
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A CSV source as text: the first record is the header, an empty field is '' and never null. Rows of another
-    width are errors (the width is checked only while no column is pruned, hence the setting)."""
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", strict: bool = True) -> DataFrame:
+    """A CSV source as text: the first record is the header, an empty field is '' and never null. Rows of another width
+    are errors when they are read; strict: so are, at once, blank lines and bad quotes, for one more pass over the lines."""
     if len(delimiter) != 1 or delimiter in '\r\n\0"':
         raise ValueError("the delimiter is one character, no line end and no quote")
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    options = {"sep": delimiter, "encoding": encoding, "escape": '"', "multiLine": True, "mode": "FAILFAST", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if strict:
+        check_csv(spark, path, delimiter, encoding)
+    options = {"sep": delimiter, "encoding": encoding, "escape": '"', "multiLine": True, "mode": "FAILFAST", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxCharsPerColumn": MAX_FIELD, "columnPruning": False}
     first = spark.read.options(**options, header=False).csv(path).first()
     names = normalize_headers(list(first or []))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
