@@ -2,28 +2,49 @@
 
 import json
 import os
+import tempfile
 import time
 
 os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH", "")])
 
-from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from concord.config import CompareConfig  # noqa: E402
 from concord.operators.compare import Comparison  # noqa: E402
+from concord.plans import more  # noqa: E402, F401  registers its queries
 from concord.plans.queries import QUERIES  # noqa: E402
+from concord.sources.texts import read  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-HEADLINE = ["summary_totals", "column_mismatch_counts", "raw_differences", "dedup_first", "duplicate_audit", "rules_combined_summary", "pattern_classification", "value_pair_share", "key_status_index", "samples_top20", "revision_counters", "json_diff_props"]
+HEADLINE = [
+    "summary_totals", "column_mismatch_counts", "raw_differences", "dedup_first", "duplicate_audit", "rules_combined_summary", "pattern_classification",
+    "value_pair_share", "key_status_index", "samples_top20", "revision_counters", "json_diff_props", "json_keyed", "csv_roundtrip",
+]
 
 
-def wide(spark: SparkSession, rows: int = 100_000, columns: int = 694) -> Comparison:
-    """A wide pair: 97 repeating values, the right side shuffled, one changed column in every tenth key."""
-    cell = lambda k: (F.col("id") % 97 * 1000 + k).cast("string")
+def cell(k: int) -> Column:
+    return (F.col("id") % 97 * 1000 + k).cast("string")
+
+
+def written_pair(spark: SparkSession, folder: str, rows: int, columns: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """A wide pair as files: 97 repeating values, the right side shuffled, one changed column in every tenth key."""
     left = spark.range(rows).select(F.col("id").cast("string").alias("key"), *[cell(k).alias(f"c{k}") for k in range(columns)])
     changed = F.when(F.col("id") % 10 == 0, F.concat(cell(0), F.lit("x"))).otherwise(cell(0))
-    right = spark.range(rows).select(F.xxhash64("id").alias("h"), F.col("id")).orderBy("h").select(F.col("id").cast("string").alias("key"), changed.alias("c0"), *[cell(k).alias(f"c{k}") for k in range(1, columns)])
-    return Comparison(left, right, CompareConfig(("key",)))
+    shuffled = spark.range(rows).select(F.xxhash64("id").alias("h"), F.col("id")).orderBy("h")
+    right = shuffled.select(F.col("id").cast("string").alias("key"), changed.alias("c0"), *[cell(k).alias(f"c{k}") for k in range(1, columns)])
+    sides = []
+    for name, df in ((f"left.{kind}", left), (f"right.{kind}", right)):
+        df.write.options(**({"header": True} if kind == "csv" else {})).format(kind).save(f"{folder}/{rows}x{columns}/{name}")
+        sides.append(read(spark, f"{folder}/{rows}x{columns}/{name}", **({"strict": False} if kind == "csv" else {})))
+    return tuple(sides)
+
+
+def dense_pair(spark: SparkSession, rows: int = 2_000, columns: int = 1_780) -> tuple[DataFrame, DataFrame]:
+    """Three cells of five differ."""
+    left = spark.range(rows).select(F.col("id").cast("string").alias("key"), *[cell(k).alias(f"c{k}") for k in range(columns)])
+    right = spark.range(rows).select(F.col("id").cast("string").alias("key"), *[(F.concat(cell(k), F.lit("x")) if k % 5 < 3 else cell(k)).alias(f"c{k}") for k in range(columns)])
+    return left, right
 
 
 def main() -> None:
@@ -39,10 +60,16 @@ def main() -> None:
         began = time.time()
         QUERIES[q](spark, SF).write.format("noop").mode("overwrite").save()
         times[q] = round(time.time() - began, 3)
+    with tempfile.TemporaryDirectory(prefix="bench-") as folder:
+        for name, rows, columns, kind in (("wide_100000x694", 100_000, 694, "parquet"), ("csv_100000x1780", 100_000, 1_780, "csv")):
+            pair = written_pair(spark, folder, rows, columns, kind)
+            began = time.time()
+            s = Comparison(*pair, CompareConfig(("key",))).summary.first()
+            times[name] = round(time.time() - began, 3)
+            assert (s.matched_keys, s.changed_cells) == (rows, rows // 10)
     began = time.time()
-    s = wide(spark).summary.first()
-    times["wide_100000x694"] = round(time.time() - began, 3)
-    assert (s.matched_keys, s.changed_cells) == (100_000, 10_000)
+    assert Comparison(*dense_pair(spark), CompareConfig(("key",))).summary.first().changed_cells == 2_000 * 1_068
+    times["dense_2000x1780"] = round(time.time() - began, 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": SF}))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.texts import pattern, percent, shortened
+from ..functions.texts import numeric_difference, pattern, percent, percent_text, shortened  # noqa: F401
 from .compare import Comparison
 
 
@@ -15,12 +15,31 @@ def patterns(differences: DataFrame) -> DataFrame:
 
 
 def pattern_counts(differences: DataFrame) -> DataFrame:
-    """(column, pattern, left_value, right_value, occurrences)."""
-    return patterns(differences).groupBy("column", "pattern", "left_value", "right_value").agg(F.count("*").alias("occurrences"))
+    """(column, pattern, left_value, right_value, occurrences). Each pair of values is classified once."""
+    pairs = differences.groupBy("column", "left_value", "right_value").agg(F.count("*").alias("occurrences"))
+    return patterns(pairs).select("column", "pattern", "left_value", "right_value", "occurrences")
 
 
 def pattern_totals(differences: DataFrame) -> DataFrame:
-    return patterns(differences).groupBy("pattern").agg(F.count("*").alias("occurrences"))
+    return pattern_counts(differences).groupBy("pattern").agg(F.sum("occurrences").alias("occurrences"))
+
+
+def patterns_by_column(differences: DataFrame) -> DataFrame:
+    """(column, pattern, occurrences)."""
+    return pattern_counts(differences).groupBy("column", "pattern").agg(F.sum("occurrences").alias("occurrences"))
+
+
+def pattern_page(differences: DataFrame, column: str | None = None, offset: int = 0, rows: int = 50) -> DataFrame:
+    """A page of pattern_counts(), the most frequent first, with the number of all (total)."""
+    own = differences if column is None else differences.where(F.col("column") == column)
+    counts = pattern_counts(own).withColumns({f"{s}_hash": F.sha2(f"{s}_value", 256) for s in ("left", "right")})
+    ranked = counts.orderBy(F.desc("occurrences"), "column", "pattern", "left_hash", "right_hash").offset(offset).limit(rows)
+    return ranked.crossJoin(F.broadcast(counts.agg(F.count("*").alias("total"))))  # one row
+
+
+def ranked_examples(differences: DataFrame, n: int = 3) -> DataFrame:
+    """examples() with the occurrences of their column and pattern, by which reports order them."""
+    return examples(differences, n).join(F.broadcast(patterns_by_column(differences)), ["column", "pattern"])  # seven rows a column at most
 
 
 def pair_counts(differences: DataFrame) -> DataFrame:
@@ -49,6 +68,24 @@ def match_rates(c: Comparison) -> DataFrame:
     return rows.select("column", "mismatches", wrong.alias("mismatch_percent"), (100.0 - wrong).alias("match_percent"))
 
 
+def overall_match(c: Comparison) -> DataFrame:
+    """(overall_match_percent, mean_match_percent): of all compared cells, and the mean of the columns' percentages."""
+    rates = match_rates(c)
+    counts = rates.agg(F.sum("mismatches").alias("changed"), F.count("*").alias("columns"), F.avg("match_percent").alias("mean_match_percent"))
+    both = counts.crossJoin(F.broadcast(c.matched_keys.agg(F.count("*").alias("matched"))))  # one row
+    cells = F.col("matched") * F.col("columns")
+    return both.select(F.when(cells > 0, 100.0 * (1 - F.col("changed") / cells)).alias("overall_match_percent"), "mean_match_percent")
+
+
+def key_shares(c: Comparison) -> DataFrame:
+    """(outcome, keys, share): equal, changed, left_only and right_only keys, in percent of all."""
+    s = c.summary
+    parts = {"equal": "equal_rows", "changed": "changed_rows", "left_only": "left_only", "right_only": "right_only"}
+    rows = s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("outcome"), F.col(v).alias("keys")) for k, v in parts.items()])).alias("r")).select("r.*")
+    total = Window.partitionBy(F.lit(0))  # of four rows
+    return rows.select("outcome", "keys", percent(F.col("keys"), F.sum("keys").over(total)).alias("share"))
+
+
 def match_bands(c: Comparison) -> DataFrame:
     """(band, columns): columns by mismatches, in whole numbers so that no rounding decides."""
     matched = c.matched_keys.agg(F.count("*").alias("matched"))
@@ -96,6 +133,13 @@ def comments(differences: DataFrame, annotations: DataFrame) -> DataFrame:
     return out.select(*differences.columns, F.concat_ws("\n", "on_column", "on_key", "on_cell").alias("comment"))
 
 
+def scoped(annotations: DataFrame, differences: DataFrame, columns: list[str]) -> DataFrame:
+    """The remarks that belong to chosen columns: on one of them, or on a key that has a difference there."""
+    keys = differences.where(F.col("column").isin(columns)).select("key_json").distinct()
+    own = annotations.where(F.col("column").isNull() | F.col("column").isin(columns))
+    return own.where("key_json is null").unionByName(own.where("key_json is not null").join(keys, "key_json", "left_semi").select(own.columns))
+
+
 def supporting_fields(source: DataFrame, keys: list[str], sampled: DataFrame, fields: list[str], order: str, policy: str = "first", limit: int = 300) -> DataFrame:
     """(key_json, field, value, is_null, length) of other fields of the sampled keys, by the duplicate policy."""
     from .compare import key_json

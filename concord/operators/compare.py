@@ -31,6 +31,7 @@ class Comparison:
 
     def __init__(self, left: DataFrame, right: DataFrame, config: CompareConfig):
         self.config, self.spark = config, left.sparkSession
+        self._changed: DataFrame | None = None
         names = [[c for c in df.columns if c != ORDER] for df in (left, right)]
         self.header_changes: list[list[tuple[int, str, str]]] = [[], []]
         if config.header_layout:
@@ -118,11 +119,22 @@ class Comparison:
         names = F.array(*[F.lit(c) for c in self.columns]) if self.columns else F.array(F.lit(""))
         return both.select("key_json", cells).where("not (c.a <=> c.b)").select("key_json", names[F.col("pos")].alias("column"), F.col("c.a").alias("left_value"), F.col("c.b").alias("right_value"))
 
+    def store(self, folder: str) -> None:
+        """Writes the joined keys and the unequal cells as Parquet below the folder, once; from then on everything is
+        derived from these files instead of the sources."""
+        for name in ("joined", "raw_differences"):
+            df = getattr(self, name)
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            if name == "raw_differences":
+                self.release()
+            setattr(self, name, self.spark.read.schema(df.schema).parquet(f"{folder}/{name}"))
+
     def release(self) -> None:
         """Lets go of what raw_differences has kept."""
-        if "raw_differences" in self.__dict__:
+        if self._changed is not None:
             self._changed.unpersist()
-            del self.__dict__["raw_differences"]
+            self._changed = None
+            self.__dict__.pop("raw_differences", None)
 
     def judged(self, raw: DataFrame | None = None, config: CompareConfig | None = None) -> DataFrame:
         """raw_differences with accepted: 'override', 'rule' or null. Overrides come first."""

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CompareConfig
+from ..functions.texts import shown
 from .compare import Comparison
 
 
@@ -37,19 +39,54 @@ def plan(before: CompareConfig, after: CompareConfig, kept: bool = True) -> tupl
     return "review", ""
 
 
-def revise(c: Comparison, evidence: Evidence, config: CompareConfig) -> tuple[DataFrame, DataFrame]:
-    """(judged cells, counters): columns newly ignored and keys newly excluded go, the rest is judged by config."""
+def keep(c: Comparison, folder: str) -> Evidence:
+    """Stores a comparison below the folder: what revise() and reports need, without the sources or comparing again."""
+    c.store(folder)
+    return Evidence(c.raw_differences, c.matched_keys, c.left_only, c.right_only)
+
+
+@dataclass(frozen=True)
+class Revision:
+    """judged: the cells still in question, with what accepts them; excluded: evidence that newly excluded keys took away,
+    (key_json, part); counters: one row."""
+
+    judged: DataFrame
+    left_only: DataFrame
+    right_only: DataFrame
+    matched_keys: DataFrame
+    excluded: DataFrame
+    counters: DataFrame
+
+    @property
+    def accepted(self) -> DataFrame:
+        """Cells that an override or a rule accepts, as shown."""
+        return self._shown("accepted is not null", "accepted")
+
+    @property
+    def differences(self) -> DataFrame:
+        return self._shown("accepted is null")
+
+    def _shown(self, which: str, *more: str) -> DataFrame:
+        return self.judged.where(which).select("key_json", "column", *[shown(F.col(f"{s}_value")).alias(f"{s}_value") for s in ("left", "right")], *more)
+
+
+def revise(c: Comparison, evidence: Evidence, config: CompareConfig) -> Revision:
+    """Columns newly ignored and keys newly excluded go, the rest is judged by config."""
     rows = [(list(k),) for x in config.containers for k in x.keys]
     gone = c.spark.createDataFrame(rows, "k array<string>").select(F.to_json("k").alias("key_json")).distinct()
     left = lambda df: df.join(gone, "key_json", "left_anti")
     raw = left(evidence.raw_differences.where(~F.col("column").isin(list(config.ignored_columns))) if config.ignored_columns else evidence.raw_differences)
     judged = c.judged(raw, config)
+    parts = {"matched_keys": evidence.matched_keys, "left_only": evidence.left_only, "right_only": evidence.right_only}
+    kept = {name: left(df) for name, df in parts.items()}
+    excluded = reduce(DataFrame.union, [df.join(gone, "key_json", "left_semi").select("key_json", F.lit(name).alias("part")) for name, df in parts.items()])
     count = lambda df, name: df.agg(F.count("*").alias(name))
     per = judged.groupBy("key_json").agg(F.count_if(F.col("accepted").isNull()).alias("n"), F.count("*").alias("raw"))
     out = per.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw_cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("changed_cells"), F.count_if(F.col("n") > 0).alias("changed_rows"))
-    for df, name in ((evidence.raw_differences, "original_cells"), (left(evidence.matched_keys), "matched_keys"), (left(evidence.left_only), "left_only"), (left(evidence.right_only), "right_only")):
+    for df, name in ((evidence.raw_differences, "original_cells"), *((df, name) for name, df in kept.items())):
         out = out.crossJoin(count(df, name))  # one row each
-    return judged, out.select(
+    counters = out.select(
         "original_cells", "raw_cells", (F.col("raw_cells") - F.col("changed_cells")).alias("accepted_cells"), (F.col("original_cells") - F.col("raw_cells")).alias("filtered_cells"),
         "changed_cells", "changed_rows", (F.col("matched_keys") - F.col("changed_rows")).alias("equal_rows"), "matched_keys", "left_only", "right_only",
     )
+    return Revision(judged, kept["left_only"], kept["right_only"], kept["matched_keys"], excluded, counters)

@@ -118,7 +118,6 @@ add("composite_key_compare", lambda s, d: lines(s, d).matched_keys, deduped("fir
 add("duplicate_audit", lambda s, d: lines(s, d).duplicates, deduped("first") + "SELECT s AS side, key_json, n AS occurrences, n - 1 AS skipped_rows, CAST(1 AS BIGINT) AS kept_occurrence FROM (SELECT 'left' AS s, key_json, n FROM l UNION ALL SELECT 'right', key_json, n FROM r) WHERE n > 1")
 add("duplicate_totals", lambda s, d: lines(s, d).duplicates.groupBy("side").agg(F.count("*").alias("keys"), F.sum("skipped_rows").alias("skipped")), deduped("first") + "SELECT s AS side, count(*) AS keys, CAST(sum(n - 1) AS BIGINT) AS skipped FROM (SELECT 'left' AS s, n FROM l UNION ALL SELECT 'right', n FROM r) WHERE n > 1 GROUP BY s")
 add("excluded_keys_summary", lambda s, d: orders(s, d, containers=BOX).summary, summary_sql(excluded=True))
-add("exclusion_audit", lambda s, d: orders(s, d, containers=BOX).exclusions.groupBy("container", "reason").agg(F.count("*").alias("keys")), f"SELECT * FROM (VALUES ('Old orders', 'closed', CAST({len(EXCLUDED)} AS BIGINT)), ('Again', 'twice', CAST(5 AS BIGINT))) AS t(container, reason, keys)")
 add("exclude_columns", lambda s, d: orders(s, d, ignored_columns=("o_orderdate",)).column_counts, f"SELECT * FROM ({COUNTS}) WHERE \"column\" <> 'o_orderdate'")
 add("rule_trim", lambda s, d: orders(s, d, rules=(RULES[2],)).differences, rule_if("trim"))
 add("rule_ignore_case", lambda s, d: orders(s, d, rules=(RULES[0],)).differences, rule_if("ignore_case"))
@@ -143,7 +142,7 @@ add("supporting_fields", lambda s, d: analysis.supporting_fields(lines_pair(s, d
 def _revision(s: SparkSession, d: str) -> DataFrame:
     c = orders(s, d)
     after = CompareConfig(KEY, ignored_columns=("o_orderdate",), rules=RULES[:3], containers=BOX)
-    return revision.revise(c, revision.Evidence(c.raw_differences, c.matched_keys, c.left_only, c.right_only), after)[1]
+    return revision.revise(c, revision.Evidence(c.raw_differences, c.matched_keys, c.left_only, c.right_only), after).counters
 
 
 _GONE = ", ".join(f"'[\"{k}\"]'" for (k,) in EXCLUDED)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OUTSIDE, QUOTED = 0, 1
+MIXED = "another line end than the first line's"
 
 
 class CsvError(ValueError):
@@ -25,7 +26,7 @@ def after_line(line: str, state: int, delimiter: str) -> tuple[int, str]:
     if state == OUTSIDE and not line:
         return OUTSIDE, "a blank line"
     if '"' not in line:
-        return state, ""
+        return state, MIXED if state == OUTSIDE and ("\r" in line or "\n" in line) else ""
     at, fresh = 0, state == OUTSIDE  # fresh: at a field's start
     while at < len(line):
         if state == QUOTED:
@@ -35,28 +36,50 @@ def after_line(line: str, state: int, delimiter: str) -> tuple[int, str]:
             if line[end + 1 : end + 2] == '"':
                 at = end + 2
                 continue
-            if line[end + 1 : end + 2] not in ("", delimiter):
+            if end + 1 < len(line) and not line.startswith(delimiter, end + 1):
                 return OUTSIDE, "text after a closing quote"
-            state, at, fresh = OUTSIDE, end + 2, True
+            state, at, fresh = OUTSIDE, end + 1 + len(delimiter), True
         elif fresh and line[at] == '"':
             state, at = QUOTED, at + 1
         else:
             end = line.find(delimiter, at)
-            at, fresh = (len(line), False) if end < 0 else (end + 1, True)
+            own = line[at : end if end >= 0 else len(line)]
+            if "\r" in own or "\n" in own:
+                return OUTSIDE, MIXED
+            at, fresh = (len(line), False) if end < 0 else (end + len(delimiter), True)
     return state, ""
 
 
-def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def two_bytes(encoding: str) -> bool:
+    return encoding.lower().replace("_", "-").startswith("utf-16")
+
+
+def _texts(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(file, text) of files in a two-byte encoding, which no split can be read of."""
+    text = F.ltrim(F.decode("content", encoding), F.lit("\ufeff"))
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), text.alias("text"))
+
+
+def line_end(spark: SparkSession, path: str, encoding: str) -> str:
+    """What ends the first line: CRLF, LF or CR."""
+    if two_bytes(encoding):
+        first = _texts(spark, path, encoding).select(F.substring_index("text", "\n", 1).alias("value")).first()
+    else:
+        first = spark.read.text(path, lineSep="\n").first()
+    own = first.value if first else ""
+    return "\r" if "\r" in own[:-1] else "\r\n" if own.endswith("\r") else "\n"
+
+
+def _lines(spark: SparkSession, path: str, encoding: str, end: str) -> DataFrame:
     """(file, start, value): lines with the stretch they are in. Two-byte encodings are read by one task for each file."""
-    if encoding.lower().replace("_", "-").startswith("utf-16"):
-        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.lit(0).cast("long").alias("start"), F.decode("content", encoding).alias("text"))
-        text = F.regexp_replace(F.ltrim("text", F.lit("﻿")), "\r\n?", "\n")
-        return files.select("file", "start", F.explode(F.split(F.regexp_replace(text, "\n$", ""), "\n")).alias("value"))
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    if two_bytes(encoding):
+        lines = F.split(F.regexp_replace("text", f"{end}$", ""), end)
+        return _texts(spark, path, encoding).select("file", F.lit(0).cast("long").alias("start"), F.explode(lines).alias("value"))
+    return spark.read.text(path, lineSep=end).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
-def check_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> None:
-    """Raises CsvError if a file is no strict CSV. The widths of records are the reader's to check."""
+def check_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", end: str = "\n") -> None:
+    """Raises CsvError if a file is no strict CSV of lines that end so. The widths of records are the reader's to check."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, ends, wrong, rows = None, [], [], []
@@ -65,15 +88,18 @@ def check_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: st
                 if (file, start) != place:
                     rows += [(*place, *ends, *wrong)] if place else []
                     place, ends, wrong = (file, start), [OUTSIDE, QUOTED], ["", ""]
+                line = value.decode("latin-1")  # signs of one byte each, whatever the encoding
                 for begin in (OUTSIDE, QUOTED):
                     if not wrong[begin]:
-                        ends[begin], wrong[begin] = after_line(value, ends[begin], delimiter)
+                        ends[begin], wrong[begin] = after_line(line, ends[begin], sign)
         rows += [(*place, *ends, *wrong)] if place else []
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], names)
 
     names = ["file", "start", "outside", "quoted", "wrong_outside", "wrong_quoted"]
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-    parts = _lines(spark, path, encoding).mapInArrow(each, "file string, start long, outside int, quoted int, wrong_outside string, wrong_quoted string")
+    sign = delimiter.encode("utf-8" if two_bytes(encoding) else encoding).decode("latin-1")
+    lines = _lines(spark, path, encoding, end).select("file", "start", F.col("value").cast("binary"))
+    parts = lines.mapInArrow(each, "file string, start long, outside int, quoted int, wrong_outside string, wrong_quoted string")
     file, state = None, OUTSIDE
     for r in [*parts.orderBy("file", "start").collect(), None]:  # a row for each split
         if file is not None and (r is None or r.file != file) and state == QUOTED:

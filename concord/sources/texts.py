@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import normalize_headers
-from .csvcheck import check_csv
+from .csvcheck import check_csv, line_end
 
 ORDER = "__source_order"
 #: Characters of a CSV field at most.
@@ -75,9 +75,11 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     are errors when they are read; strict: so are, at once, blank lines and bad quotes, for one more pass over the lines."""
     if len(delimiter) != 1 or delimiter in '\r\n\0"':
         raise ValueError("the delimiter is one character, no line end and no quote")
+    end = line_end(spark, path, encoding)
     if strict:
-        check_csv(spark, path, delimiter, encoding)
-    options = {"sep": delimiter, "encoding": encoding, "escape": '"', "multiLine": True, "mode": "FAILFAST", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxCharsPerColumn": MAX_FIELD, "columnPruning": False}
+        check_csv(spark, path, delimiter, encoding, end)
+    # With the line's end given, line ends within quotes stay as they are.
+    options = {"lineSep": end, "sep": delimiter, "encoding": encoding, "escape": '"', "multiLine": True, "mode": "FAILFAST", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxCharsPerColumn": MAX_FIELD, "columnPruning": False}
     first = spark.read.options(**options, header=False).csv(path).first()
     names = normalize_headers(list(first or []))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])

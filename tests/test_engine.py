@@ -1,5 +1,8 @@
+import csv
+import io
 import json
 import random
+import zipfile
 from decimal import Decimal
 
 import pytest
@@ -9,7 +12,9 @@ from concord.config import CompareConfig, ConfigError, Container, Override, Rule
 from concord.functions import texts
 from concord.operators import analysis, revision
 from concord.operators.compare import Comparison
-from concord.sinks.results import export_html, export_workbook, sheet_names, write_results
+from concord.sinks.results import evidence_package, export_html, export_workbook, fitting, write_results
+from concord.sinks.workbook import letters, sheet_names, workbook
+from concord.sources.csvcheck import after_line, check_csv
 from concord.sources.excel import read_excel
 from concord.sources.texts import ORDER, preview, read, text_table
 
@@ -127,7 +132,7 @@ def test_revision(spark):
     c = compare(spark, "id,v,x", [("1", "a", "1"), ("2", "b", "2"), ("3", "c", "3"), ("4", "d", "4")], [("1", "A", "1"), ("2", "z", "9"), ("3", "c", "3"), ("5", "e", "5")])
     kept = revision.Evidence(c.raw_differences, c.matched_keys, c.left_only, c.right_only)
     after = CompareConfig(("id",), rules=(Rule("v", ignore_case=True),), containers=(Container("x", (("4",),)),))
-    n = revision.revise(c, kept, after)[1].first()
+    n = revision.revise(c, kept, after).counters.first()
     assert (n.original_cells, n.changed_cells, n.accepted_cells, n.left_only, n.right_only, n.equal_rows) == (3, 2, 1, 0, 1, 2)
     assert revision.plan(c.config, after) == ("review", "") and revision.plan(after, c.config)[0] == "full"
 
@@ -147,14 +152,147 @@ def test_files(spark, tmp_path):
     s = write_results(c, str(tmp_path / "out"))
     assert (s["matched_keys"], s["changed_cells_by_column"]) == (2, {"v": 1, "column3": 0})
     assert json.loads(spark.read.text(str(tmp_path / "out/summary.json")).first().value)["changed_cells"] == 1
-    book = export_workbook(c)
+    book = export_workbook(c, str(tmp_path / "book"))
     (tmp_path / "b.xlsx").write_bytes(book)
     assert [tuple(r)[:2] for r in read_excel(spark, str(tmp_path / "b.xlsx"), "Summary").collect() if r.total == "matched_keys"] == [("matched_keys", "2")]
     assert "[NULL]" in export_html(c) and preview(left, 1).count() == 1
-    assert sheet_names(["a/b", "A:b", "x" * 40]) == ["a_b", "A_b_2", "x" * 31]
+    assert sheet_names(["a/b", "A:b", "x" * 40, "x" * 50, "History", "", "'q'\x07"]) == ["a b", "A b (2)", "x" * 31, "x" * 27 + " (2)", "History sheet", "sheet", "q"]
+    assert [letters(k) for k in (1, 26, 27, 702, 703, 16384)] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
 
 
 def test_a_row_of_another_width_is_an_error(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("id,v\n1\n", encoding="utf-8")
     with pytest.raises(Exception, match="MALFORMED"):
         read(spark, str(tmp_path / "bad.csv")).select("id").collect()
+
+
+@pytest.mark.parametrize(
+    "content, wrong",
+    [
+        ("a,b\n1,2\n", ""), ('a,b\n"x\n\ny",2\n', ""), ('a,b\n"q""q",\n', ""), ('a,b\n1,x"y\n', ""), ("a,b\r\n1,2\r\n", ""), ('a,b\r\n"x\ny",2\r\n', ""), ('a,b\n"x\r\ny",2\n', ""), ("a,b\r1,2\r", ""), ('a,b\n"1","2"', ""),
+        ("a,b\n\n1,2\n", "blank"), ("a,b\n1,2\n\n", "blank"), ('a,b\n"1"x,2\n', "closing"), ('a,b\n1,"2\n', "never closed"), ('a,b\n"1" ,2\n', "closing"), ("a,b\n1\n", "MALFORMED"), ("a,b\n1,2,3\n", "MALFORMED"),
+    ],
+)
+def test_strict_csv(spark, tmp_path, content, wrong):
+    (tmp_path / "t.csv").write_bytes(content.encode())
+    want = None
+    try:
+        want = list(csv.reader(io.StringIO(content, newline=""), strict=True))
+        assert all(len(r) == len(want[0]) for r in want) == (not wrong)
+    except csv.Error:
+        assert wrong
+    if wrong:
+        with pytest.raises(Exception, match=wrong):
+            read(spark, str(tmp_path / "t.csv")).select("a").collect()
+    else:
+        assert [[r.a, r.b] for r in read(spark, str(tmp_path / "t.csv")).orderBy(ORDER).collect()] == want[1:]
+
+
+def test_csv_state_machine_in_many_splits(spark, tmp_path):
+    """Stretches of any size give what one reader of the whole file says."""
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(['"', '""', ",", "\n", "x", "yz"]) for _ in range(rng.randrange(1, 30)))
+        lines, state, wrong = text.split("\n")[: None if not text.endswith("\n") else -1], 0, ""
+        for line in lines:
+            both = [after_line(line, s, ",") for s in (0, 1)]
+            state, now = both[state]
+            wrong = wrong or now
+        try:
+            rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
+        except csv.Error:
+            assert wrong or state == 1
+            continue
+        assert bool(wrong) == any(r == [] for r in rows) and state == 0
+    (tmp_path / "big.csv").write_text("id,v\n" + "".join(f'{k},"line {k}\n""second"" {"x" * 50}"\n' for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        check_csv(spark, str(tmp_path / "big.csv"))
+        assert read(spark, str(tmp_path / "big.csv")).count() == 3000
+        with (tmp_path / "big.csv").open("a") as f:
+            f.write('3000,"open\n')
+        with pytest.raises(ValueError, match="never closed"):
+            check_csv(spark, str(tmp_path / "big.csv"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_utf16_and_cp1252(spark, tmp_path):
+    for encoding in ("UTF-16", "windows-1252"):
+        path = tmp_path / f"{encoding}.csv"
+        path.write_bytes('id;v\r\n1;"é\r\nü"\r\n'.encode(encoding))
+        assert [r.v for r in read(spark, str(path), delimiter=";", encoding=encoding).collect()] == ["é\r\nü"]
+        path.write_bytes('id;v\r\n1;"é"x\r\n'.encode(encoding))
+        with pytest.raises(ValueError, match="closing"):
+            read(spark, str(path), delimiter=";", encoding=encoding)
+
+
+def test_rules_and_kinds_agree_with_plain_python(spark):
+    rng = random.Random(6)
+    values = ["1", "1.0", " 1 ", "1e0", "ß", "SS", "ss", " Ss", "a", "A", "", " ", "\x1f1", "١", "1_0", "10", None, "2026-01-02", "02/01/2026", "\xa0a", "İ", "i̇", "0.00000000000000000001", "0"]
+    rules = [Rule("t", trim=True), Rule("c", ignore_case=True), Rule("tc", trim=True, ignore_case=True), Rule("n", tolerance="0.5", trim=True), Rule("e", tolerance="0"), Rule("d", left_date_format="%Y-%m-%d", right_date_format="%d/%m/%Y"), Rule("x")]
+    rows = [(rng.choice([r.column for r in rules] + ["none"]), rng.choice(values), rng.choice(values)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "c string, a string, b string")
+    by_column = {r.column: r for r in rules}
+    got = df.select("*", texts.accepted_by(rules, F.col("c"), F.col("a"), F.col("b")).alias("ok"), texts.numeric_difference(F.col("a"), F.col("b")).alias("delta")).collect()
+    assert all(r.ok == (r.c in by_column and texts.accepts(by_column[r.c], r.a, r.b)) for r in got)
+    assert all(r.delta == texts.difference_text(r.a, r.b) for r in got)
+    shown = df.where("a is not null and b is not null").select("a", "b", texts.pattern(F.col("a"), F.col("b")).alias("kind")).collect()
+    assert all(r.kind == texts.change_kind(r.a, r.b) for r in shown)
+
+
+def test_stored_evidence_answers_everything(spark, tmp_path):
+    c = compare(spark, "id,v,w", [("1", "a", "x"), ("2", "b", "y"), ("2", "c", "y"), ("3", None, "z")], [("1", "A", "x"), ("2", "b", "q"), ("4", "", "")], rules=(Rule("v", ignore_case=True),))
+    before = c.summary.first()
+    kept = revision.keep(c, str(tmp_path / "kept"))
+    assert c.summary.first() == before and kept.raw_differences.count() == 2
+    r = revision.revise(c, kept, CompareConfig(("id",), overrides=(Override("w", "y", "q"),), containers=(Container("x", (("3",),)),)))
+    assert [(x.column, x.accepted) for x in r.accepted.collect()] == [("w", "override")] and [x.column for x in r.differences.collect()] == ["v"]
+    assert [tuple(x) for x in r.excluded.collect()] == [('["3"]', "left_only")] and r.left_only.count() == 0
+    first = c.first_duplicates.collect()
+    assert [(x.side, x.occurrences, x.place, x["values"]) for x in first] == [("left", 2, 1, ["b", "y"]), ("left", 2, 2, ["c", "y"])]
+
+
+def test_many_changed_keys_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr("concord.operators.compare.BROADCAST_KEYS", 3)
+    rows = [(str(k), str(k)) for k in range(50)]
+    c = compare(spark, "id,v", rows + [("7", "again")], [(i, v + "x") for i, v in rows], duplicate_policy="last")
+    assert {(r.key_json, r.left_value) for r in c.raw_differences.collect()} == {(f'["{k}"]', "again" if k == 7 else str(k)) for k in range(50)}
+
+
+def test_null_and_text_places_are_not_confused(spark):
+    c = compare(spark, "id,v,w", [("1", None, "a"), ("2", "", None), ("3", None, None)], [("1", "a", None), ("2", None, ""), ("3", None, None)])
+    assert c.raw_differences.count() == 4 and totals(c)["equal_rows"] == 1
+
+
+def test_package_within_its_budget(spark):
+    left, right = [(str(k), "v" * 200, str(k % 7)) for k in range(400)], [(str(k), "w" * 200, str((k + 1) % 7)) for k in range(400)]
+    c = compare(spark, "id,v,n", left, right)
+    notes = spark.createDataFrame([("n", None, "seven"), (None, '["1"]', "key"), ("v", None, "long " * 10_000)], "column string, key_json string, comment string")
+    with zipfile.ZipFile(io.BytesIO(evidence_package(c, 8_000, 5, annotations=notes))) as z:
+        files = {n: z.read(n).decode() for n in z.namelist()}
+    assert sum(map(len, files.values())) <= 32_000 and "seven" in files["comments.csv"] and "long" not in files["comments.csv"]
+    assert files["samples.csv"].count("\n") == 11 and "Remarks: 2, left out 1" in files["context.txt"]
+    with zipfile.ZipFile(io.BytesIO(evidence_package(c, columns=["n"], annotations=notes))) as z:
+        assert "v," not in z.read("columns.csv").decode()
+    assert fitting([("a" * 5,), ("b" * 90,), ("c",)], 20) == ([("a" * 5,), ("c",)], 1, 10)
+    for bad in ({"tokens": 9}, {"n": 2}, {"columns": ["zz"]}):
+        with pytest.raises(ValueError):
+            evidence_package(c, **bad)
+
+
+def test_excel_rules(spark, tmp_path):
+    def book(sheet_rows):
+        path = tmp_path / f"{abs(hash(sheet_rows))}.xlsx"
+        with zipfile.ZipFile(io.BytesIO(workbook({"S": [("x",)]}))) as old, zipfile.ZipFile(path, "w") as new:
+            for n in old.namelist():
+                new.writestr(n, old.read(n) if "sheet1" not in n else f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{sheet_rows}</sheetData></worksheet>')
+            new.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>id</t></si><si><r><t>va</t></r><r><t>lue</t></r><rPh sb="0" eb="1"><t>no</t></rPh></si></sst>')
+        return str(path)
+
+    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>'
+    good = head + '<row r="2"/><row r="3"><c r="A3" t="inlineStr"><is><t>001</t></is></c><c r="B3"><f>1+1</f><v>2</v></c></row><row r="4"><c r="A4" t="b"><v>1</v></c></row>'
+    assert [(r.id, r.value) for r in read_excel(spark, book(good)).orderBy(ORDER).collect()] == [("001", "2"), ("TRUE", "")]
+    for bad, why in ((head.replace('r="1"', 'r="2"', 1), "first row"), (head + '<row r="2"><c r="A2"><f>1</f></c></row>', "no saved result"), (head + '<row r="2"><c r="C2"><v>1</v></c></row>', "past the header")):
+        with pytest.raises(Exception, match=why):
+            read_excel(spark, book(bad)).collect()
