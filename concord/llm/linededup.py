@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, known, shared_dir, shuffle_partitions, written
+from .common import NO_ID, dropped, known, shared_dir, shuffle_partitions, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,25 +34,38 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 class LineRuns:
     """Sorted runs of (h1, h2, n_docs, holder), in levels of at most `fanout` runs.
 
-    A run is a table bucketed and sorted by hash, so reading it back against a batch that was dealt by
-    the same hash is a merge join that moves none of its rows. When a level is full its runs are merged
-    into one run of the next: a hash is in O(log batches) runs at most.
+    A run is a table bucketed and sorted by both hashes, the key of every join with it: a batch that is dealt by them meets
+    a run where it lies, without an exchange of the run. (Spark sorts a bucket again before a merge join, which for rows in
+    order is one pass over them.) When a level is full its runs are merged into one run of the next and dropped: a hash
+    is in O(log batches) runs at most.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout, self.buckets = spark, fanout, shuffle_partitions(spark)
-        self.levels: list[list[DataFrame]] = [[]]
+        self.levels: list[list[str]] = [[]]
 
     def _store(self, rows: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
-        sorted_rows = rows.repartition(self.buckets, "h1").sortWithinPartitions(*KEY)
-        sorted_rows.write.bucketBy(self.buckets, "h1").sortBy(*KEY).option("path", shared_dir(self.spark)).saveAsTable(name)
+        sorted_rows = rows.repartition(self.buckets, *KEY).sortWithinPartitions(*KEY)
+        sorted_rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", shared_dir(self.spark)).saveAsTable(name)
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(self.spark.table(name))
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._store(self._merged(full), level + 1)
+            self._store(self._merged([self.spark.table(run) for run in full]), level + 1)
+            self._drop(full)
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            dropped(self.spark.table(name))
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def close(self) -> None:
+        """Drops all runs; no later plan may read them."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = [[]]
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -65,7 +78,7 @@ class LineRuns:
         return every
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [self.spark.table(run) for level in self.levels for run in level]
 
     def fresh(self, keys: DataFrame) -> DataFrame:
         """The keys that no run has: one merge anti-join for each run."""
@@ -108,7 +121,8 @@ def dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int
     index = LineRuns(docs.sparkSession)
     for batch in _batches(lines, batches):
         index.add(batch)
-    frequent = index.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "holder")
+    frequent = written(index.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "holder"))
+    index.close()
     drops = lines.join(frequent, KEY).where("doc < holder").groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     rows = docs.select(F.struct(*own).alias("row"), known("doc_id").alias("doc"), F.xxhash64("text").alias("th"))

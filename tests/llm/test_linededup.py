@@ -51,3 +51,21 @@ def test_later_runs_name_no_new_holder(spark, docs):
 def test_hash_of_the_kept_text(docs):
     row = linededup.dedup(docs((1, "a\nb"))).selectExpr("sha2(kept_text, 256) h").first()
     assert row.h == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_runs_stay_where_they_lie(spark):
+    index = linededup.LineRuns(spark)
+    for k in range(2):
+        index.add(spark.range(1000).selectExpr("id AS doc", f"id * {k + 1} AS h1", "id AS h2"))
+    keys = spark.range(50).selectExpr("id AS h1", "id AS h2")
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.fresh(keys)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") == 2 and "Bucketed: false" not in plan
+        assert plan.count("Exchange hashpartitioning") == 1  # of the batch alone, once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+    names = [n for level in index.levels for n in level]
+    index.close()
+    assert names and not any(spark.catalog.tableExists(n) for n in names)
