@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, components, known, shuffle_partitions, written
@@ -56,7 +56,7 @@ def part_bounds(tables: int = TABLES, bits: int = BITS) -> list[tuple[int, int]]
 
 def vectors(embeddings: DataFrame, column: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, group, v): unit length in double precision, and null where the vector can link with nothing: null,
-    zero, with null or non-finite components, a null label, or of a length that is not the usual one."""
+    zero, with null or non-finite components, or a null label. Vectors of other lengths are groups of their own."""
     v = F.col("v")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = embeddings.select(known("vec_id").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(column).cast("array<double>").alias("v"))
@@ -144,23 +144,26 @@ def candidates(coded: DataFrame, tables: int = TABLES, farthest: int = FARTHEST)
     return dealt.repartition(n, "h").sortWithinPartitions("h").mapInArrow(each, "a long, b long")
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, tables: int = TABLES, farthest: int = FARTHEST) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of embeddings.
 
     Vectors link if their labels are equal and their cosine is `cosine` or more; those that cannot link (see vectors())
     are alone. Rows with the same vector and label are one class: its rows all link with each other and only the
     class goes to the tables. A null vec_id counts as the smallest. Rows that share a vec_id count as two vectors.
+    tables and farthest decide what is compared: with `farthest` 64 every pair that shares a part up to one bit is, and with 22
+    tables (43 bits may differ then, where 8 do at the least cosine on average) all but none; both cost more candidates.
+    The sample is the bound of what the rotation is learned on, shared among vector lengths.
     """
     rows = written(vectors(embeddings))
     usable = rows.where("v is not null")
     keyed = usable.withColumn("x1", F.xxhash64("group", "v")).withColumn("x2", F.xxhash64(F.lit(1), "group", "v"))
     classes = written(keyed.groupBy("x1", "x2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("group").alias("group"), F.first("v").alias("v")).withColumn("cls", F.col("x1")))
-    models = {}
-    for size in [r.d for r in classes.select(F.size("v").alias("d")).distinct().limit(1000).collect()]:
-        some = classes.where(F.size("v") == size).orderBy("x1").limit(sample).select("v").collect()
-        models[size] = learn(np.array([r.v for r in some]), size)
+    sizes = [r.d for r in classes.select(F.size("v").alias("d")).distinct().collect()]  # of a table's vectors, one as a rule
+    first = Window.partitionBy(F.size("v")).orderBy("x1")
+    some = classes.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(1, sample // max(1, len(sizes)))).select("v").collect()
+    models = {d: learn(np.array([r.v for r in some if len(r.v) == d]), d) for d in sizes}
     coded = written(_coded(classes, models))
-    near = candidates(coded)
+    near = candidates(coded, tables, farthest)
     left = near.join(coded.select(F.col("cls").alias("a"), F.col("v").alias("va")), "a")
     both = left.join(coded.select(F.col("cls").alias("b"), F.col("v").alias("vb")), "b")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, c: s + c)

@@ -116,17 +116,18 @@ def marked(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     share this page_id all are. A null page_id counts as the smallest. Null html is the empty payload.
     """
     rows = pages.select(known("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    keyed = rows.withColumn("sha", F.sha2("payload", 256))
+    keyed = rows.withColumn("sha", F.unhex(F.sha2("payload", 256)))
     several = keyed.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last"))
-    several = several.where("first <> last").select("sha", "first")
-    return keyed.join(several, "sha", "left").select("page_id", "url", "payload", "first", F.coalesce(F.col("first") != F.col("page_id"), F.lit(False)).alias("revisit"))
+    # Which pages share a payload is told by digests alone; payloads are dealt by page, so one that most pages have is spread.
+    marks = keyed.select("page_id", "sha").distinct().join(several.where("first <> last"), "sha").select("page_id", "sha", "first")
+    return keyed.join(marks, ["page_id", "sha"], "left").select("page_id", "url", "payload", "first", F.coalesce(F.col("first") != F.col("page_id"), F.lit(False)).alias("revisit"))
 
 
 def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Writes every page's record and returns the index, (archive, offset, length), one row for each record.
 
     A task writes its archive as a single gzip stream, then reads it back and writes the normalised one beside it
-    with its index (.cdx: offset and length on each line).
+    with its index (.cdx: offset and length on each line); the stream is deleted then. File names hold the task's attempt.
     """
     folder = folder or shared_dir(pages.sparkSession)
 
@@ -135,12 +136,13 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
         c, raw, size = None, io.BytesIO(), 0
 
         def close() -> pa.RecordBatch:
-            path = f"{files[1]}/{part:07d}-{n:05d}"
+            path = f"{files[1]}/{part:07d}-{n:05d}-{attempt}"  # the index names the attempt that counts
             put_file(files[0], f"{path}.single.warc.gz", raw.getvalue() + c.flush(), attempt)
             with files[0].open_input_file(f"{path}.single.warc.gz") as f:
                 content, index = normalise(f)
             put_file(files[0], f"{path}.warc.gz", content, attempt)
             put_file(files[0], f"{path}.cdx", "".join(f"{a} {b}\n" for a, b in index).encode(), attempt)
+            files[0].delete_file(f"{path}.single.warc.gz")
             name = path.rpartition("/")[2] + ".warc.gz"
             return pa.RecordBatch.from_arrays([pa.array([name] * len(index), pa.string()), *(pa.array(x, pa.int64()) for x in zip(*index, strict=True))], ["archive", "offset", "length"])
 
