@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +39,7 @@ class Comparison:
             for k, layout in enumerate(config.header_layout):
                 names[k], self.header_changes[k] = rename(names[k], layout)
         names[1] = align_headers(*names)
-        self.left, self.right = (df.select(*[F.col(f"`{c}`") for c in df.columns if c != ORDER], *([ORDER] if ORDER in df.columns else [F.monotonically_increasing_id()])).toDF(*n, ORDER) for df, n in zip((left, right), names, strict=True))
+        self.left, self.right = (df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c != ORDER], *([ORDER] if ORDER in df.columns else [F.monotonically_increasing_id()])).toDF(*n, ORDER) for df, n in zip((left, right), names, strict=True))
         self.columns = check(config, *names)
         self.unmatched = [[c for c in n if c not in set(names[1 - k])] for k, n in enumerate(names)]
 
@@ -69,11 +70,14 @@ class Comparison:
             rows = rows.where(F.assert_true(~F.col("bad"), F.lit("a key part is empty")).isNull())
         return rows.drop("bad")
 
+    def _listed(self, form: str = "{}") -> str:
+        """The compared columns in SQL: one text for any number of columns, where an object each would take seconds."""
+        return ", ".join(form.format(f"`{c.replace('`', '``')}`") for c in self.columns)
+
     def _hashes(self) -> tuple[Column, Column]:
         """128 bits of the compared columns. Nulls change no hash, so which columns are null is hashed as well."""
-        own = [F.col(f"`{c}`") for c in self.columns]
-        nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in own]) if own else F.lit("")
-        return F.xxhash64(*own, nulls).alias("h1"), F.xxhash64(F.lit(1), *own, nulls).alias("h2")
+        own = ", ".join(filter(None, (self._listed(), self._listed("{} IS NULL"))))
+        return F.expr(f"xxhash64({own or 0})").alias("h1"), F.expr(f"xxhash64({', '.join(filter(None, ('1', own)))})").alias("h2")
 
     def _unique(self, df: DataFrame) -> DataFrame:
         """(key_json, n, at, h1, h2): occurrences of a key, and the order and hashes of the row that counts."""
@@ -89,7 +93,7 @@ class Comparison:
 
     def _payload(self, side: str, changed: DataFrame, small: bool) -> DataFrame:
         """(key_json, the side's values as an array) of the changed keys, from the row that counts."""
-        values = F.array(*[F.col(f"`{c}`") for c in self.columns]) if self.columns else F.array().cast("array<string>")
+        values = F.expr(f"array({self._listed()})") if self.columns else F.array().cast("array<string>")
         rows = self._keyed(self.left if side == "l" else self.right, values.alias(f"{side}v"))
         wanted = changed.select("key_json", F.col(f"{side}n").alias("n"), F.col(f"{side}at").alias("at"))
         met = rows.join(F.broadcast(wanted) if small else wanted, "key_json")
@@ -116,7 +120,7 @@ class Comparison:
         small = self._changed.count() <= BROADCAST_KEYS
         both = self._payload("l", self._changed, small).join(self._payload("r", self._changed, small), "key_json")
         cells = F.posexplode(F.zip_with("lv", "rv", lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("pos", "c")
-        names = F.array(*[F.lit(c) for c in self.columns]) if self.columns else F.array(F.lit(""))
+        names = F.from_json(F.lit(json.dumps(self.columns)), "array<string>")
         return both.select("key_json", cells).where("not (c.a <=> c.b)").select("key_json", names[F.col("pos")].alias("column"), F.col("c.a").alias("left_value"), F.col("c.b").alias("right_value"))
 
     def store(self, folder: str) -> None:

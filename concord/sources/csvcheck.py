@@ -65,7 +65,7 @@ def line_end(spark: SparkSession, path: str, encoding: str) -> str:
     if two_bytes(encoding):
         first = _texts(spark, path, encoding).select(F.substring_index("text", "\n", 1).alias("value")).first()
     else:
-        first = spark.read.text(path, lineSep="\n").first()
+        first = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "[^\r]", "x").alias("value")).first()
     own = first.value if first else ""
     return "\r" if "\r" in own[:-1] else "\r\n" if own.endswith("\r") else "\n"
 

@@ -59,7 +59,9 @@ def nested(c: Column, kind: T.DataType) -> Column:
 
 def text_table(df: DataFrame) -> DataFrame:
     """All columns as text, ORDER kept as it is."""
-    return df.select(*[as_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) if f.name != ORDER else F.col(ORDER) for f in df.schema.fields])
+    name = lambda f: f"`{f.name.replace('`', '``')}`"
+    plain = lambda f: f.name == ORDER or isinstance(f.dataType, T.StringType)
+    return df.select(*[name(f) if plain(f) else as_text(F.col(name(f)), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +74,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", strict: bool = True) -> DataFrame:
     """A CSV source as text: the first record is the header, an empty field is '' and never null. Rows of another width
-    are errors when they are read; strict: so are, at once, blank lines and bad quotes, for one more pass over the lines."""
+    are errors when they are read; strict: so are, at once, blank lines and bad quotes, for one more pass over the lines. Encodings are those of Spark's reader: UTF-8,
+    UTF-16, UTF-32, ISO-8859-1 and US-ASCII; Windows-1252 needs the session setting spark.sql.legacy.javaCharsets."""
     if len(delimiter) != 1 or delimiter in '\r\n\0"':
         raise ValueError("the delimiter is one character, no line end and no quote")
     end = line_end(spark, path, encoding)
