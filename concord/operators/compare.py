@@ -70,20 +70,19 @@ class Comparison:
             rows = rows.where(F.assert_true(~F.col("bad"), F.lit("a key part is empty")).isNull())
         return rows.drop("bad")
 
-    def _listed(self, form: str = "{}") -> str:
-        """The compared columns in SQL: one text for any number of columns, where an object each would take seconds."""
-        return ", ".join(form.format(f"`{c.replace('`', '``')}`") for c in self.columns)
-
-    def _hashes(self) -> tuple[Column, Column]:
-        """128 bits of the compared columns. Nulls change no hash, so which columns are null is hashed as well."""
-        own = ", ".join(filter(None, (self._listed(), self._listed("{} IS NULL"))))
-        return F.expr(f"xxhash64({own or 0})").alias("h1"), F.expr(f"xxhash64({', '.join(filter(None, ('1', own)))})").alias("h2")
+    def _values(self) -> Column:
+        """The compared columns as one array; written in SQL, where an object for each of many columns would take seconds."""
+        names = ", ".join(f"`{c.replace('`', '``')}`" for c in self.columns)
+        return F.expr(f"array({names})") if names else F.array().cast("array<string>")
 
     def _unique(self, df: DataFrame) -> DataFrame:
-        """(key_json, n, at, h1, h2): occurrences of a key, and the order and hashes of the row that counts."""
+        """(key_json, n, at, h1, h2): occurrences of a key, and the order and 128 bits of hash of the row that counts.
+        Nulls change no hash, so which columns are null is hashed as well."""
         first = self.config.duplicate_policy == "first"
         pick, end = (F.min_by, F.min) if first else (F.max_by, F.max)
-        return self._keyed(df, *self._hashes()).groupBy("key_json").agg(F.count("*").alias("n"), end("ord").alias("at"), pick("h1", "ord").alias("h1"), pick("h2", "ord").alias("h2"))
+        whole = ["v", F.transform("v", lambda x: x.isNull())]
+        rows = self._keyed(df, self._values().alias("v")).select("key_json", "ord", F.xxhash64(*whole).alias("h1"), F.xxhash64(F.lit(1), *whole).alias("h2"))
+        return rows.groupBy("key_json").agg(F.count("*").alias("n"), end("ord").alias("at"), pick("h1", "ord").alias("h1"), pick("h2", "ord").alias("h2"))
 
     @cached_property
     def joined(self) -> DataFrame:
@@ -93,8 +92,7 @@ class Comparison:
 
     def _payload(self, side: str, changed: DataFrame, small: bool) -> DataFrame:
         """(key_json, the side's values as an array) of the changed keys, from the row that counts."""
-        values = F.expr(f"array({self._listed()})") if self.columns else F.array().cast("array<string>")
-        rows = self._keyed(self.left if side == "l" else self.right, values.alias(f"{side}v"))
+        rows = self._keyed(self.left if side == "l" else self.right, self._values().alias("v")).withColumnRenamed("v", f"{side}v")
         wanted = changed.select("key_json", F.col(f"{side}n").alias("n"), F.col(f"{side}at").alias("at"))
         met = rows.join(F.broadcast(wanted) if small else wanted, "key_json")
         return met.where("n = 1 or ord = at").select("key_json", f"{side}v")
