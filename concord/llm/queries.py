@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, itq, linededup, packing, quality, simhash, spans, tokenfiles, toxicity, warc
+from . import curve, decontam, divergence, itq, linededup, packing, quality, simhash, spans, tokenfiles, toxicity, warc, whitening
 from .common import table
 
 
@@ -106,5 +106,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embedding_dedup": op4_embedding_dedup, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_repeated_spans": op7_repeated_spans, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_embedding_dedup": OP4_SQL, "op8_warc": OP8_SQL}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", "n", F.expr("try_cast(deviation as long)").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM d),
+u AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM u GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+used AS (SELECT lang, source, term, count(*) AS c FROM u JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (SELECT lang, source, term, coalesce(c, 0) AS c FROM groups JOIN kept USING (lang) LEFT JOIN used USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, c, 1 + (CAST(1000000000 AS HUGEINT) * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v) AS p
+  FROM dense JOIN v USING (lang)
+), whole AS (SELECT lang, term, sum(c) AS c FROM dense GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (c + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * v) AS q FROM whole JOIN v USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embedding_dedup": op4_embedding_dedup, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_repeated_spans": op7_repeated_spans, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity, "op11_whitening": op11_whitening, "op12_curve_packing": op12_curve_packing, "op13_divergence": op13_divergence}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_embedding_dedup": OP4_SQL, "op8_warc": OP8_SQL, "op13_divergence": OP13_SQL}
