@@ -1,20 +1,34 @@
-"""Strict reading of CSV: what Spark's reader lets pass (blank lines, text after a closing quote, open quotes) is an error.
+"""Strict reading of CSV by any number of tasks, in the order of the source.
 
-Only quotes carry over a line's end, so a stretch of lines is a function of two states: whether it begins inside a
-quoted field or not. Tasks work that function out for their stretch of a file, whatever came before; the driver puts one
-small row of each stretch together in order. Files are read once, in splits, by any number of tasks.
+Only quotes carry over a line's end, so a stretch of lines (a split of a file) is a function of two states: whether it begins inside a
+quoted field or not. Where a source has quotes, tasks work that function out for their stretch, whatever came before, and the driver chains one
+small row of each stretch. Reading then starts every stretch in its state: a record that goes on in the next stretch is
+put together from its pieces, all others are parsed where they lie. Files are read in splits; lines without quotes are
+judged by Arrow's kernels, a batch at a time.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import normalize_headers
+from .source import ODD, ORDER, PACKED, PLACE_BITS, SEPARATOR, Source, by_file
+
 OUTSIDE, QUOTED = 0, 1
 MIXED = "another line end than the first line's"
+#: Characters of a field at most.
+MAX_FIELD = 64 << 20
 
 
 class CsvError(ValueError):
@@ -54,60 +68,329 @@ def two_bytes(encoding: str) -> bool:
     return encoding.lower().replace("_", "-").startswith("utf-16")
 
 
-def _texts(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """(file, text) of files in a two-byte encoding, which no split can be read of."""
-    text = F.ltrim(F.decode("content", encoding), F.lit("\ufeff"))
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), text.alias("text"))
+def utf8(encoding: str) -> bool:
+    return encoding.lower().replace("_", "-") in ("utf-8", "utf8", "utf-8-sig", "us-ascii", "ascii")
 
 
-def line_end(spark: SparkSession, path: str, encoding: str) -> str:
-    """What ends the first line: CRLF, LF or CR."""
-    if two_bytes(encoding):
-        first = _texts(spark, path, encoding).select(F.substring_index("text", "\n", 1).alias("value")).first()
-    else:
-        first = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "[^\r]", "x").alias("value")).first()
-    own = first.value if first else ""
-    return "\r" if "\r" in own[:-1] else "\r\n" if own.endswith("\r") else "\n"
+def decoder(encoding: str):
+    """From a batch's values to texts, in tasks."""
+    if utf8(encoding) or two_bytes(encoding):
+        return lambda column: column
+    return lambda column: pa.array([x.decode(encoding) for x in column.to_pylist()], pa.string())
 
 
-def _lines(spark: SparkSession, path: str, encoding: str, end: str) -> DataFrame:
-    """(file, start, value): lines with the stretch they are in. Two-byte encodings are read by one task for each file."""
-    if two_bytes(encoding):
-        lines = F.split(F.regexp_replace("text", f"{end}$", ""), end)
-        return _texts(spark, path, encoding).select("file", F.lit(0).cast("long").alias("start"), F.explode(lines).alias("value"))
-    return spark.read.text(path, lineSep=end).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+@dataclass(frozen=True)
+class Files:
+    """A CSV source's files in order, and how they are read."""
 
+    spark: SparkSession
+    path: str
+    delimiter: str
+    encoding: str
 
-def check_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", end: str = "\n") -> None:
-    """Raises CsvError if a file is no strict CSV of lines that end so. The widths of records are the reader's to check."""
+    def __post_init__(self):
+        if len(self.delimiter) != 1 or self.delimiter in '\r\n\0"':
+            raise ValueError("the delimiter is one character, no line end and no quote")
+        "".encode(self.encoding)
+
+    def _texts(self) -> DataFrame:
+        """(path, text) of files in a two-byte encoding, which no split can be read of."""
+        text = F.ltrim(F.decode("content", self.encoding), F.lit("﻿"))
+        return self.spark.read.format("binaryFile").load(self.path).select(F.col("path"), text.alias("text"))
+
+    def line_end(self) -> str:
+        """What ends the first line: CRLF, LF or CR."""
+        if two_bytes(self.encoding):
+            first = self._texts().select(F.substring_index("text", "\n", 1).alias("value")).first()
+        else:
+            first = self.spark.read.text(self.path, lineSep="\n").select(F.regexp_replace("value", "[^\r]", "x").alias("value")).first()
+        own = first.value if first else ""
+        return "\r" if "\r" in own[:-1] else "\r\n" if own.endswith("\r") else "\n"
+
+    def lines(self, end: str) -> DataFrame:
+        """(path, start, value): lines with the stretch they are in, in order within it. Two-byte encodings are read by one task for each file."""
+        if two_bytes(self.encoding):
+            lines = F.split(F.regexp_replace("text", f"{end}$", ""), end)
+            return self._texts().select("path", F.lit(0).cast("long").alias("start"), F.explode(lines).alias("value"))
+        raw = self.spark.read.text(self.path, lineSep=end)
+        return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+    @property
+    def value(self) -> str:
+        return "value" if utf8(self.encoding) or two_bytes(self.encoding) else "cast(value as binary) as value"
+
+
+@dataclass(frozen=True)
+class Stretch:
+    """Where reading begins. origin: the stretch in which the record began that is open when this one begins."""
+
+    path: str
+    start: int
+    state: int = OUTSIDE
+    origin: tuple[str, int] | None = None
+    left_open: tuple[str, int] | None = None  # where the record began that is open at the end
+
+
+def stretches(files: Files, end: str) -> list[Stretch]:
+    """The stretches of all files in order, one row of each on the driver. Raises CsvError for quotes that strict CSV does
+    not allow. Without any quote in the source no line leaves the JVM."""
+    lines = files.lines(end)
+    seen = lines.groupBy("path", "start").agg(F.max(F.contains("value", F.lit('"'))).alias("quotes")).orderBy("path", "start").collect()
+    if not any(r.quotes for r in seen):
+        return [Stretch(r.path, r.start) for r in seen]
+    sign, codec = files.delimiter, files.encoding
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ends, wrong, rows = None, [], [], []
+        decode, place, ends, wrong, closed, rows = decoder(codec), None, [], [], False, []
         for b in batches:
-            for file, start, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (file, start) != place:
-                    rows += [(*place, *ends, *wrong)] if place else []
-                    place, ends, wrong = (file, start), [OUTSIDE, QUOTED], ["", ""]
-                line = value.decode("latin-1")  # signs of one byte each, whatever the encoding
-                for begin in (OUTSIDE, QUOTED):
-                    if not wrong[begin]:
-                        ends[begin], wrong[begin] = after_line(line, ends[begin], sign)
-        rows += [(*place, *ends, *wrong)] if place else []
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], names)
-
-    names = ["file", "start", "outside", "quoted", "wrong_outside", "wrong_quoted"]
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-    sign = delimiter.encode("utf-8" if two_bytes(encoding) else encoding).decode("latin-1")
-    lines = _lines(spark, path, encoding, end).select("file", "start", F.col("value").cast("binary"))
-    parts = lines.mapInArrow(each, "file string, start long, outside int, quoted int, wrong_outside string, wrong_quoted string")
-    file, state = None, OUTSIDE
-    for r in [*parts.orderBy("file", "start").collect(), None]:  # a row for each split
-        if file is not None and (r is None or r.file != file) and state == QUOTED:
-            raise CsvError(f"{file}: a quote is never closed")
+            for first, last, path, start in runs(b):
+                if (path, start) != place:
+                    rows += [(*place, *ends, *wrong, closed)] if place else []
+                    place, ends, wrong, closed = (path, start), [OUTSIDE, QUOTED], ["", ""], False
+                values = decode(b.column(2).slice(first, last - first))
+                for k in np.flatnonzero(suspect(values)).tolist():
+                    line = values[k].as_py()
+                    for begin in (OUTSIDE, QUOTED):
+                        if not wrong[begin]:
+                            ends[begin], wrong[begin] = after_line(line, ends[begin], sign)
+                    closed = closed or ends[QUOTED] == OUTSIDE
+        rows += [(*place, *ends, *wrong, closed)] if place else []
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names)
+
+    names = ["path", "start", "outside", "quoted", "wrong_outside", "wrong_quoted", "closed"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+    parts = lines.selectExpr("path", "start", files.value).mapInArrow(each, "path string, start long, outside int, quoted int, wrong_outside string, wrong_quoted string, closed boolean")
+    out: list[Stretch] = []
+    for r in [*parts.orderBy("path", "start").collect(), None]:
+        open_before = out[-1].left_open if out else None
+        if out and open_before and (r is None or r.path != out[-1].path):
+            raise CsvError(f"{out[-1].path}: a quote is never closed")
         if r is None:
-            return
-        state = OUTSIDE if r.file != file else state
-        file = r.file
+            break
+        state = QUOTED if open_before else OUTSIDE
         if wrong := (r.wrong_outside, r.wrong_quoted)[state]:
-            raise CsvError(f"{file}: {wrong}")
-        state = (r.outside, r.quoted)[state]
+            raise CsvError(f"{r.path}: {wrong}")
+        still = (r.outside, r.quoted)[state] == QUOTED
+        out.append(Stretch(r.path, r.start, state, open_before, (open_before if open_before and not r.closed else (r.path, r.start)) if still else None))
+    return out
+
+
+def runs(b: pa.RecordBatch) -> Iterator[tuple[int, int, str, int]]:
+    """(first row, end, path, start) of the stretches in a batch."""
+    start = b.column(1).to_numpy()
+    path = b.column(0)
+    other = pc.not_equal(path.slice(1), path.slice(0, len(path) - 1)).to_numpy(zero_copy_only=False) if len(path) > 1 else np.zeros(0, bool)
+    cuts = [0, *(np.flatnonzero(other | (np.diff(start) != 0)) + 1).tolist(), len(start)]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        if z > a:
+            yield a, z, path[a].as_py(), int(start[a])
+
+
+def suspect(values: pa.Array) -> np.ndarray:
+    """Lines that need a look: with quotes or other line ends, or blank."""
+    odd = pc.equal(pc.binary_length(values), 0)
+    for sign in '"\r\n':
+        odd = pc.or_(odd, pc.match_substring(values, sign))
+    return odd.to_numpy(zero_copy_only=False)
+
+
+def records(texts: list[str], delimiter: str) -> list[list[str]]:
+    """The fields of whole records."""
+    csv.field_size_limit(MAX_FIELD)
+    rows = list(csv.reader(io.StringIO("\n".join(texts), newline=""), delimiter=delimiter, strict=True))
+    if len(rows) != len(texts):
+        raise CsvError("a record of no fields")
+    return rows
+
+
+def packed_fields(fields: list[str]) -> str:
+    text = SEPARATOR.join(fields)
+    return ODD + json.dumps(fields, ensure_ascii=False) if text.count(SEPARATOR) >= len(fields) or text.startswith(ODD) else text
+
+
+def headers(files: Files, end: str, paths: list[str]) -> dict[str, list[str]]:
+    """The first file's header, and those of files whose header is another text."""
+    sign, codec = files.delimiter, files.encoding
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode, place, held = decoder(codec), None, None
+        for b in batches:
+            found: list[tuple[str, str]] = []
+            for first, last, path, _ in runs(b):
+                if path != place:
+                    place, held, state = path, [], OUTSIDE
+                for k in range(first, last if held is not None else first):
+                    held.append(decode(b.column(2).slice(k, 1))[0].as_py())
+                    state = after_line(held[-1], state, sign)[0]
+                    if state == OUTSIDE:
+                        found.append((path, end.join(held)))
+                        held = None
+                        break
+            yield pa.RecordBatch.from_pydict({"path": pa.array([f[0] for f in found], pa.string()), "header": pa.array([f[1] for f in found], pa.string())})
+
+    lines = files.lines(end).where("start = 0").selectExpr("path", "start", files.value)
+    lines = lines.limit(1000) if len(paths) == 1 else lines  # a header of more lines is none
+    heads = lines.mapInArrow(each, "path string, header string")
+    first = heads.where(F.col("path") == paths[0]).first()
+    if first is None:
+        raise CsvError(f"{paths[0]}: no header")
+    others = heads.where(F.col("header") != first.header).collect() if len(paths) > 1 else []
+    return {r.path: records([r.header.removeprefix("\ufeff")], sign)[0] for r in [first, *others]}
+
+
+def open_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> Source:
+    """A CSV source: files in the order of their paths, records in the order of their bytes. The first record of every file is its header; all must
+    have the first file's names, in any order. Strict: quotes out of place, blank lines, other line ends than the first
+    line's and records of another width are errors, those of quotes at once, the others when the rows are read. An empty field is '' and
+    never null. Any encoding that Python knows; ASCII's bytes must mean ASCII in it, or it is UTF-16."""
+    files = Files(spark, path, delimiter, encoding)
+    end = files.line_end()
+    places = stretches(files, end)
+    if not places:
+        raise CsvError(f"{path}: no header")
+    paths = sorted({s.path for s in places})
+    number = {p: k for k, p in enumerate(paths)}
+    known = headers(files, end, paths)
+    head = known[paths[0]]
+    orders: dict[int, list[int]] = {}  # by file, of those that are unlike the first
+    for p, own in known.items():
+        if sorted(own) != sorted(head) or len(set(own)) < len(own) and own != head:
+            raise CsvError(f"{p}: the header differs from that of {paths[0]}")
+        if own != head:
+            orders[number[p]] = [own.index(n) for n in head]
+    begun = {(number[s.path], s.start): s.origin and (number[s.origin[0]], s.origin[1]) for s in places if s.state == QUOTED}
+    left_open = {(number[s.path], s.start): (number[s.left_open[0]], s.left_open[1]) for s in places if s.left_open}
+    width, codec = len(head), encoding
+
+    def fail(place, offset: int, what: str):
+        raise CsvError(f"MALFORMED record after byte {offset} of {paths[place[0]]}: {what}")
+
+    def fields_of(texts: list[str], place, offsets: list[int]) -> list[str]:
+        try:
+            rows = records(texts, delimiter)
+        except (csv.Error, CsvError) as e:
+            fail(place, offsets[0], str(e))
+        for r, o in zip(rows, offsets, strict=True):
+            if len(r) != width:
+                fail(place, o, f"expected {width} fields, got {len(r)}")
+        order = orders.get(place[0])
+        return [packed_fields([r[k] for k in order] if order else r) for r in rows]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = decoder(codec)
+        place, base, pending, began, state, header, group = None, 0, [], 0, OUTSIDE, False, None
+
+        def piece():
+            return pa.RecordBatch.from_arrays([pa.array([place[0] << PLACE_BITS | began]), pa.array([None], pa.string()), pa.array([group[0] << PLACE_BITS | group[1]]), pa.array([end.join(pending)])], names)
+
+        def left():
+            """What is open at a stretch's end goes on in the next."""
+            if state == QUOTED:
+                yield piece()
+
+        for b in batches:
+            for first, last, file, start in runs(b):
+                if (file, start) != place:
+                    yield from left()
+                    place, base, pending, began = (file, start), start, [], start
+                    state, header = (QUOTED if place in begun else OUTSIDE), start == 0
+                    group = begun.get(place) or left_open.get(place)
+                raw = b.column(2).slice(first, last - first)
+                size = pc.binary_length(raw).to_numpy().astype(np.int64) + len(end)
+                offsets = base + np.cumsum(size) - size
+                base += int(size.sum())
+                values = decode(raw)
+                ask = suspect(values)
+                own, at, plain, k0 = [], [], np.ones(len(values), bool), 0
+                if header and not ask[0]:
+                    plain[0], header = False, False
+                for k in np.flatnonzero(ask).tolist():
+                    if k < k0:
+                        continue
+                    if state == QUOTED:  # lines up to here belong to the open record
+                        pending += values.slice(k0, k - k0).to_pylist()
+                        plain[k0:k] = False
+                    else:
+                        began = int(offsets[k])
+                    plain[k] = False
+                    line = values[k].as_py()
+                    state, wrong = after_line(line, state, delimiter)
+                    if wrong:
+                        fail(place, int(offsets[k]), wrong)
+                    pending.append(line)
+                    k0 = k + 1
+                    if state == OUTSIDE:
+                        if group and group != place:  # the end of a record from before
+                            yield piece()
+                        elif header:
+                            header = False
+                        else:
+                            own.append(end.join(pending))
+                            at.append(began)
+                        group, pending = left_open.get(place), []
+                if state == QUOTED:
+                    pending += values.slice(k0).to_pylist()
+                    plain[k0:] = False
+                orders_here = orders.get(file)
+                rest = values.filter(pa.array(plain))
+                places_here = offsets[plain]
+                if len(rest):
+                    width_wrong = np.flatnonzero(pc.count_substring(rest, delimiter).to_numpy() != width - 1)
+                    if len(width_wrong):
+                        n = rest[int(width_wrong[0])].as_py().count(delimiter) + 1
+                        fail(place, int(places_here[width_wrong[0]]), f"expected {width} fields, got {n}")
+                    slow = np.full(len(rest), orders_here is not None)
+                    if orders_here is None:
+                        slow |= pc.starts_with(rest, ODD).to_numpy(zero_copy_only=False)
+                        if delimiter != SEPARATOR:
+                            slow |= pc.match_substring(rest, SEPARATOR).to_numpy(zero_copy_only=False)
+                    if slow.any():
+                        own += rest.filter(pa.array(slow)).to_pylist()
+                        at += places_here[slow].tolist()
+                        rest, places_here = rest.filter(pa.array(~slow)), places_here[~slow]
+                    if len(rest):
+                        texts = rest if delimiter == SEPARATOR else pc.replace_substring(rest, delimiter, SEPARATOR)
+                        yield batch(file, places_here, texts)
+                if own:
+                    yield batch(file, np.array(at, np.int64), pa.array(fields_of(own, place, at), pa.string()))
+        yield from left()
+
+    names = [ORDER, PACKED, "piece", "text"]
+
+    def batch(file: int, at: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+        n = len(at)
+        return pa.RecordBatch.from_arrays([pa.array(at + (file << PLACE_BITS)), texts.cast(pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names)
+
+    def lines(which: DataFrame | None = None) -> DataFrame:
+        return which.mapInArrow(each, f"{ORDER} long, {PACKED} string, piece long, text string")
+
+    raw = _numbered(files, end, paths)
+    whole = lines(raw).where("piece is null").select(ORDER, PACKED)
+    if not left_open:
+        return Source(whole, tuple(normalize_headers(head)))
+    # Stretches that a record leaves or enters are read once more for its pieces, a few lines of each.
+    crossed = sorted({p for p in left_open} | {p for p in begun})
+    few = spark.createDataFrame(crossed, "file long, start long")
+    pieces = lines(raw.join(F.broadcast(few), ["file", "start"]).select("file", "start", "value")).where("piece is not null")
+
+    @F.pandas_udf("string")
+    def parsed(order: pd.Series, text: pd.Series) -> pd.Series:
+        mask = (1 << PLACE_BITS) - 1
+        return pd.Series([fields_of([t], (o >> PLACE_BITS, 0), [o & mask])[0] for o, t in zip(order, text, strict=True)], dtype=object)
+
+    parts = pieces.groupBy("piece").agg(F.min(ORDER).alias(ORDER), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ORDER, "text"))), lambda p: p["text"]), end).alias("text"))
+    return Source(whole.unionByName(parts.select(ORDER, parsed(F.col(ORDER), F.col("text")).alias(PACKED))), tuple(normalize_headers(head)))
+
+
+def _numbered(files: Files, end: str, paths: list[str]) -> DataFrame:
+    """(file, start, value): lines with their file's place."""
+    if two_bytes(files.encoding):
+        places = files.spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "path string, file long")
+        return files.lines(end).join(F.broadcast(places), "path").select("file", "start", "value")  # a short row for each file
+    raw, place = by_file(files.spark.read.text(files.path, lineSep=end), paths)
+    return raw.select(place.alias("file"), F.col("_metadata.file_block_start").alias("start"), "value").selectExpr("file", "start", files.value)
+
+
+def check_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", end: str = "\n") -> None:
+    """Raises CsvError if a file's quotes are not those of strict CSV. Widths and blank lines are the reader's to check."""
+    stretches(Files(spark, path, delimiter, encoding), end)

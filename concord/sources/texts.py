@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import normalize_headers
-from .csvcheck import check_csv, line_end
+from .csvcheck import open_csv
+from .source import ORDER, PLACE_BITS, Source, by_file, quoted
 
-ORDER = "__source_order"
-#: Characters of a CSV field at most.
-MAX_FIELD = 64 << 20
 
 
 @F.pandas_udf(T.StringType())
@@ -64,45 +62,34 @@ def text_table(df: DataFrame) -> DataFrame:
     return df.select(*[name(f) if plain(f) else as_text(F.col(name(f)), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet source as text with its source order: files by path, then rows by position."""
+def open_parquet(spark: SparkSession, path: str) -> Source:
+    """A Parquet source in its order: files by path, then rows by position."""
     df = spark.read.parquet(path)
-    names = normalize_headers(df.columns)
-    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    return text_table(df.select("*", order.alias(ORDER)).toDF(*names, ORDER))
-
-
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", strict: bool = True) -> DataFrame:
-    """A CSV source as text: the first record is the header, an empty field is '' and never null. Rows of another width
-    are errors when they are read; strict: so are, at once, blank lines and bad quotes, for one more pass over the lines. Encodings are those of Spark's reader: UTF-8,
-    UTF-16, UTF-32, ISO-8859-1 and US-ASCII; Windows-1252 needs the session setting spark.sql.legacy.javaCharsets."""
-    if len(delimiter) != 1 or delimiter in '\r\n\0"':
-        raise ValueError("the delimiter is one character, no line end and no quote")
-    end = line_end(spark, path, encoding)
-    if strict:
-        check_csv(spark, path, delimiter, encoding, end)
-    # With the line's end given, line ends within quotes stay as they are.
-    options = {"lineSep": end, "sep": delimiter, "encoding": encoding, "escape": '"', "multiLine": True, "mode": "FAILFAST", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxCharsPerColumn": MAX_FIELD, "columnPruning": False}
-    first = spark.read.options(**options, header=False).csv(path).first()
-    names = normalize_headers(list(first or []))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
-    return df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], F.monotonically_increasing_id().alias(ORDER))
+    scan, place = by_file(df, sorted(df.inputFiles()))
+    order = F.shiftleft(place, PLACE_BITS).bitwiseOR(F.col("_metadata.row_index"))
+    names = df.columns
+    rows = scan.select(*([quoted(n) for n in names] if "__file" in scan.columns else ["*"]), order.alias(ORDER))
+    return Source.of(rows).named(normalize_headers(names))
 
 
-def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def open_source(spark: SparkSession, path: str, **options: str) -> Source:
     """A source by its suffix."""
     if path.rstrip("/").endswith(".parquet"):
-        return read_parquet(spark, path)
-    if path.endswith(".csv"):
-        return read_csv(spark, path, **options)
+        return open_parquet(spark, path)
+    if path.rstrip("/").endswith(".csv"):
+        return open_csv(spark, path, **options)
     if path.endswith((".xlsx", ".xlsm")):
         from .excel import read_excel
 
-        return read_excel(spark, path, **options)
+        return Source.of(read_excel(spark, path, **options))
     raise ValueError(f"no reader for {path}")
 
 
+def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A source as a table of text columns with its order."""
+    return open_source(spark, path, **options).df
+
+
 def preview(df: DataFrame, rows: int = 20, first_column: int = 0, columns: int = 20, chars: int = 500) -> DataFrame:
     """The first rows of one page of columns, long texts cut, nulls shown."""
     from ..functions.texts import shown
