@@ -2,29 +2,57 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Runs of ASCII letters and of everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What each byte becomes: letters small ones, bytes of other signs than ASCII's themselves, all others blanks.
+SIGNS = bytes(c if c > 127 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+#: Different terms that a task counts before it hands them on.
+HELD_TERMS = 300_000
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: (lang, source) groups whose totals are broadcast to the terms, some 50 bytes each; more are joined by shuffle.
 BROADCAST_GROUPS = 200_000
 
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, used, docs): occurrences and documents of a source's terms, parted by task. A row without a term says that the source is there.
+    On UTF-8 bytes a term is a run of letters and of bytes above 127: other bytes become blanks, and split() does the rest."""
+    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def out() -> pa.RecordBatch:
+            places = [(lang, source, None, 0, 0) for lang, source in held] + [(*k, t, n, d[t]) for k, (u, d) in held.items() for t, n in u.items()]
+            columns = list(zip(*places, strict=True)) or [()] * 5
+            term = pa.array(columns[2], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), term, pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names)
+
+        for b in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                terms = text.translate(SIGNS).split()
+                used, seen = held.setdefault((lang, source), (Counter(), Counter()))
+                used.update(terms)
+                seen.update(set(terms))
+            if sum(len(u) for u, _ in held.values()) > HELD_TERMS:
+                yield out()
+                held.clear()
+        yield out()
+
+    names = ["lang", "source", "term", "used", "docs"]
+    return rows.mapInArrow(each, "lang string, source string, term string, used long, docs long")
+
+
 def term_vectors(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, entries): a language's kept terms with the sources that use them and how often. The row without a
-    term lists all sources of the language. A document's tokens and its distinct tokens meet in one aggregation, combined before the shuffle."""
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    tokens = rows.select("lang", "source", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("tokens"))
-    every = tokens.select("lang", "source", F.expr("""explode(concat(
-        array(struct(string(null) as term, 0L as used, 0L as docs)),
-        transform(tokens, t -> struct(t as term, 1L as used, 0L as docs)),
-        transform(array_distinct(tokens), t -> struct(t as term, 0L as used, 1L as docs)))) as t"""))
-    counts = every.groupBy("lang", "source", "t.term").agg(F.sum("t.used").alias("used"), F.sum("t.docs").alias("docs"))
+    term lists all sources of the language."""
+    counts = term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("used").alias("used"), F.sum("docs").alias("docs"))
     wide = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "used")).alias("entries"))
     return wide.where(F.col("term").isNull() | (F.col("docs") >= least_docs)).select("lang", "term", "entries")
 

@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 
 from concord.llm import divergence
 
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCHEMA = "doc_id long, text string, lang string, source string, term string, used long, p int"
 
 
@@ -11,12 +13,12 @@ def frame(spark, rows):
 
 
 def expected(rows, least, top=50):
-    low = str.maketrans(divergence.UPPER, divergence.LOWER)
+    low = str.maketrans(UPPER, LOWER)
     counts, docs, sources = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
     for text, lang, source in rows:
         lang, source = lang or "", source or ""
         sources[lang].add(source)
-        terms = re.findall(divergence.TERM, (text or "").translate(low))
+        terms = re.findall(TERM, (text or "").translate(low))
         counts[lang, source].update(terms)
         docs[lang].update(set(terms))
     out = set()
@@ -66,10 +68,17 @@ def test_totals_beyond_the_broadcast(spark, monkeypatch):
     assert result(divergence.audit(frame(spark, rows))) == expected(rows, 30)
 
 
-def test_no_python_in_the_plan(spark):
+def test_pairs_are_summed_on_the_jvm(spark):
+    """Only terms are counted in Python, before their vectors are written."""
     df = divergence.audit(frame(spark, [("a b", "en", "s"), ("a", "en", "t")]), least_docs=1)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "CartesianProduct" not in plan
+    assert "InArrow" not in plan and "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_terms_handed_on_in_parts(spark, monkeypatch):
+    rows = [(f"w{chr(97 + k % 26)}é {chr(97 + k % 7)}", "en", f"s{k % 4}") for k in range(200)]
+    monkeypatch.setattr(divergence, "HELD_TERMS", 3)
+    assert result(divergence.audit(frame(spark, rows).repartition(3), least_docs=5)) == expected(rows, 5)
 
 
 def test_exact_at_large_counts(spark):
