@@ -89,9 +89,14 @@ class Item:
         near = ids[max(0, low) : high].tolist()
         if lcs_words(self.masks, n, near) < LCS_ANSWER * n:  # no part of a region has more in common
             return 0.0, False
-        size, best = span(n), 0
-        for o in range(0, max(1, len(near) - size + 1 + n // 4), max(1, n // 8)):
-            best = max(best, lcs_words(self.masks, n, near[o : o + size]))
+        # Every region that begins at one of the item's words; of a region only these words count.
+        at = [k for k, w in enumerate(near) if w in self.masks]
+        own, size, best, end = [near[k] for k in at], span(n), 0, 0
+        for o, first in enumerate(at):
+            while end < len(at) and at[end] < first + size:
+                end += 1
+            if end - o > best:
+                best = max(best, lcs_words(self.masks, n, own[o:end]))
         m = len(self.answer)
         there = m >= ANSWER_WORDS and any(near[k : k + m] == self.answer for k in range(len(near) - m + 1))
         return best / n, there
