@@ -188,7 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: int =
     taken = []
     for k in (1, 0):
         found = sizes.where(F.col("toxic") == k).orderBy("h", "doc_id", "th").limit(rows).collect()
-        taken += [(r.doc_id, r.th) for r, total in zip(found, np.cumsum([r.n for r in found]), strict=True) if total <= most_bytes]
+        total = 0
+        for r in found:  # a text that does not fit any more is passed over, the next may fit
+            if total + r.n <= most_bytes:
+                total += r.n
+                taken.append((r.doc_id, r.th))
     some = spark.createDataFrame(taken, "doc_id long, th long")
     texts = keyed.join(F.broadcast(some), ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("text").alias("text")).collect()
     texts.sort(key=lambda r: (r.doc_id, r.text))

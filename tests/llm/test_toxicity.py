@@ -4,6 +4,8 @@ from collections import Counter
 
 import zstandard
 
+from pyspark.sql import functions as F
+
 from concord.llm import toxicity
 
 RNG = random.Random(11)
@@ -80,3 +82,17 @@ def test_repeated_ids_and_rows(spark, docs):
     assert len(out) == more.count() and len({(r.doc_id, r.score) for r in out if r.doc_id == 1}) == 1
     few = toxicity.fit(d, labels, most_bytes=20_000)  # fewer rows by their bytes
     assert isinstance(few, toxicity.Model) and toxicity.score(d, few).count() == 244
+
+
+def test_a_first_text_over_the_bound(spark, docs):
+    """A text that does not fit is passed over; those after it are still learned from."""
+    d, labels = data(spark, docs)
+    first = {}
+    for k in (0, 1):
+        own = d.join(labels.where(f"toxic = {k}").select("doc_id"), "doc_id").where(toxicity.fold() != 0)
+        first[k] = own.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").first().doc_id
+    long = d.withColumn("text", F.when(F.col("doc_id").isin(list(first.values())), F.repeat("text", 200)).otherwise(F.col("text")))
+    model = toxicity.fit(long, labels, most_bytes=20_000)
+    with_bound = toxicity.fit(d.where(~F.col("doc_id").isin(list(first.values()))), labels, most_bytes=20_000)
+    a, b = ({r.doc_id: r.score for r in toxicity.score(d, m).collect()} for m in (model, with_bound))
+    assert a == b and max(a.values()) > 0.5
