@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .common import written
 #: What each byte becomes: letters small ones, bytes of other signs than ASCII's themselves, all others blanks.
 SIGNS = bytes(c if c > 127 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Different terms that a task counts before it hands them on.
-HELD_TERMS = 300_000
+HELD_TERMS = 200_000
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: (lang, source) groups whose totals are broadcast to the terms, some 50 bytes each; more are joined by shuffle.
 BROADCAST_GROUPS = 200_000
@@ -28,11 +29,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def out() -> pa.RecordBatch:
-            places = [(lang, source, None, 0, 0) for lang, source in held] + [(*k, t, n, d[t]) for k, (u, d) in held.items() for t, n in u.items()]
-            columns = list(zip(*places, strict=True)) or [()] * 5
-            term = pa.array(columns[2], pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), term, pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names)
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (used, seen) in held.items():
+                n = len(used) + 1
+                term = pa.array([None, *used], pa.binary()).cast(pa.string())
+                counts = [np.fromiter((0, *c), np.int64, n) for c in (used.values(), (seen[t] for t in used))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), term, *map(pa.array, counts)], names)
 
         for b in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -41,9 +43,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 used.update(terms)
                 seen.update(set(terms))
             if sum(len(u) for u, _ in held.values()) > HELD_TERMS:
-                yield out()
+                yield from out()
                 held.clear()
-        yield out()
+        yield from out()
 
     names = ["lang", "source", "term", "used", "docs"]
     return rows.mapInArrow(each, "lang string, source string, term string, used long, docs long")
