@@ -48,7 +48,7 @@ class Comparison:
                 names[k], self.header_changes[k] = rename(names[k], layout)
         names[1] = align_headers(*names)
         self.columns = check(config, *names)
-        self.carried = len(self.columns) <= CHUNK and all(_bytes(x.rows) <= CARRIED_BYTES for x in sides)
+        self.carried = all(_bytes(x.rows) <= CARRIED_BYTES for x in sides)
         self.left, self.right = (self._ordered(x).named(n) for x, n in zip(sides, names, strict=True))
         self.unmatched = [[c for c in n if c not in set(names[1 - k])] for k, n in enumerate(names)]
         same = not self.left.fields and not self.right.fields and names[0] == names[1]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import normalize_headers
-from .source import ODD, ORDER, PACKED, PLACE_BITS, SEPARATOR, Source, by_file
+from .source import FILE, ODD, ORDER, PACKED, PLACE_BITS, SEPARATOR, Source, by_file
 
 OUTSIDE, QUOTED = 0, 1
 MIXED = "another line end than the first line's"
@@ -387,8 +387,8 @@ def _numbered(files: Files, end: str, paths: list[str]) -> DataFrame:
     if two_bytes(files.encoding):
         places = files.spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "path string, file long")
         return files.lines(end).join(F.broadcast(places), "path").select("file", "start", "value")  # a short row for each file
-    raw, place = by_file(files.spark.read.text(files.path, lineSep=end), paths)
-    return raw.select(place.alias("file"), F.col("_metadata.file_block_start").alias("start"), "value").selectExpr("file", "start", files.value)
+    raw = by_file(files.spark.read.text(files.path, lineSep=end), paths, "file_block_start", "start")
+    return raw.withColumnRenamed(FILE, "file").selectExpr("file", "start", files.value)
 
 
 def check_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", end: str = "\n") -> None:

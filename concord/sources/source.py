@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ORDER, PACKED = "__source_order", "__packed"
+ORDER, PACKED, FILE = "__source_order", "__packed", "__file"
 #: A row's order is one number: the file's place among the source's files, then the row's place in its file.
 PLACE_BITS, MOST_FILES = 44, 1 << 19
 #: So many files are told apart by an expression; more are joined.
@@ -31,18 +31,22 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def by_file(df: DataFrame, files: Sequence[str]) -> tuple[DataFrame, Column]:
-    """(df, the place of a row's file among `files`). df is a scan of these files."""
+def by_file(df: DataFrame, files: Sequence[str], field: str, name: str, order: bool = False) -> DataFrame:
+    """A scan with FILE, the place of a row's file among `files`, and a field of its metadata under a name; or with both as one
+    number of that name. One projection, as the scan may have thousands of columns."""
     if len(files) > MOST_FILES:
         raise ValueError(f"a source of more than {MOST_FILES} files")
-    path = F.col("_metadata.file_path")
-    if len(files) == 1:
-        return df, F.lit(0).cast("long")
-    if len(files) <= FEW_FILES:
-        place = reduce(lambda c, k: c.when(path == files[k], k), range(1, len(files)), F.when(path == files[0], 0))
-        return df, F.coalesce(place, F.raise_error(F.concat(F.lit("a file that was not there before: "), path)).cast("int")).cast("long")
-    places = df.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "__path string, __file long")
-    return df.withColumn("__path", path).join(F.broadcast(places), "__path"), F.col("__file")  # at most MOST_FILES short rows
+    path, own, place = F.col("_metadata.file_path"), F.col(f"_metadata.{field}"), F.lit(0).cast("long")
+    if len(files) > FEW_FILES:
+        places = df.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"__path string, {FILE} long")
+        met = df.select("*", path.alias("__path"), own.alias("__own")).join(F.broadcast(places), "__path")  # at most MOST_FILES short rows
+        number = F.shiftleft(FILE, PLACE_BITS).bitwiseOR(F.col("__own"))
+        return met.withColumn(name, number if order else F.col("__own")).drop("__path", "__own", *([FILE] if order else []))
+    if len(files) > 1:
+        known = reduce(lambda c, k: c.when(path == files[k], k), range(1, len(files)), F.when(path == files[0], 0))
+        unknown = F.raise_error(F.concat(F.lit("a file that was not there before: "), path)).cast("long")
+        place = F.coalesce(known.cast("long"), unknown)
+    return df.select("*", F.shiftleft(place, PLACE_BITS).bitwiseOR(own).alias(name)) if order else df.select("*", place.alias(FILE), own.alias(name))
 
 
 @dataclass(frozen=True)
@@ -96,17 +100,15 @@ class Source:
         return f"transform(from_json('{list(places)}', 'array<int>'), i -> {self._whole}[i])"
 
     def hashes(self, places: Sequence[int], whole: bool) -> list[str]:
-        """SQL of 128 bits of hash for each CHUNK columns, two numbers each. Nulls change no hash, so a sign that no text has stands
-        for them. whole: all columns of a packed source are wanted in its own order, keys included: its text is hashed unparted."""
-        if not self.fields:
-            v = PACKED if whole else self.cells(places)
-            return [f"xxhash64({v})", f"xxhash64(1, {v})"]
-        out, kinds = [], {f.name: f.dataType for f in self.rows.schema.fields}
-        for k in range(0, len(places), CHUNK):
-            names = [self.fields[i] for i in places[k : k + CHUNK]]
-            cells = [quoted(n) if isinstance(kinds[n], T.StringType) else f"cast({quoted(n)} as string)" for n in names]
-            for seed, sign in (("", "FF"), ("1, ", "FEFE")):
-                out.append(f"xxhash64({seed}" + ", ".join(f"coalesce({c}, cast(X'{sign}' as string))" for c in cells) + ")")
+        """SQL of 128 bits of hash for each CHUNK columns, two numbers each: of the texts joined, with a sign that no text has for
+        nulls, and of the texts one by one, which nulls do not change. Arrays keep the generated code small. whole: all columns of a packed source are
+        wanted in its own order, keys included: its text is hashed unparted."""
+        if whole and not self.fields:
+            return [f"xxhash64({PACKED})", f"xxhash64(1, {PACKED})"]
+        parts = [places[k : k + CHUNK] for k in range(0, len(places), CHUNK)] if self.fields else [places]
+        out = []
+        for v in map(self.cells, parts):
+            out += [f"xxhash64(array_join({v}, '\\u001F', cast(X'FF' as string)))", f"xxhash64(1, {v})"]
         return out or ["0L", "0L"]
 
     @property

@@ -8,8 +8,7 @@ from pyspark.sql import types as T
 
 from ..config import normalize_headers
 from .csvcheck import open_csv
-from .source import ORDER, PLACE_BITS, Source, by_file, quoted
-
+from .source import ORDER, Source, by_file
 
 
 @F.pandas_udf(T.StringType())
@@ -65,11 +64,9 @@ def text_table(df: DataFrame) -> DataFrame:
 def open_parquet(spark: SparkSession, path: str) -> Source:
     """A Parquet source in its order: files by path, then rows by position."""
     df = spark.read.parquet(path)
-    scan, place = by_file(df, sorted(df.inputFiles()))
-    order = F.shiftleft(place, PLACE_BITS).bitwiseOR(F.col("_metadata.row_index"))
-    names = df.columns
-    rows = scan.select(*([quoted(n) for n in names] if "__file" in scan.columns else ["*"]), order.alias(ORDER))
-    return Source.of(rows).named(normalize_headers(names))
+    several = len(df.inputFiles()) > 1
+    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect()) if several else []  # reads no column
+    return Source.of(by_file(df, files, "row_index", ORDER, order=True)).named(normalize_headers(df.columns))
 
 
 def open_source(spark: SparkSession, path: str, **options: str) -> Source:

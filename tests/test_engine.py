@@ -16,7 +16,7 @@ from concord.sinks.results import evidence_package, export_html, export_workbook
 from concord.sinks.workbook import letters, sheet_names, workbook
 from concord.sources.csvcheck import after_line, check_csv
 from concord.sources.excel import read_excel
-from concord.sources.texts import ORDER, preview, read, text_table
+from concord.sources.texts import ORDER, open_source, preview, read, text_table
 
 
 def table(spark, names, rows):
@@ -296,3 +296,126 @@ def test_excel_rules(spark, tmp_path):
     for bad, why in ((head.replace('r="1"', 'r="2"', 1), "first row"), (head + '<row r="2"><c r="A2"><f>1</f></c></row>', "no saved result"), (head + '<row r="2"><c r="C2"><v>1</v></c></row>', "past the header")):
         with pytest.raises(Exception, match=why):
             read_excel(spark, book(bad)).collect()
+
+
+@pytest.fixture(params=[0, 1 << 62], ids=["keys first", "carried"])
+def plan_size(request, monkeypatch):
+    monkeypatch.setattr("concord.operators.compare.CARRIED_BYTES", request.param)
+
+
+def test_both_plans_agree_with_plain_python(spark, plan_size, monkeypatch):
+    """Random tables with duplicates, nulls, one-sided and excluded keys, of one chunk of columns and of several."""
+    rng = random.Random(8)
+    for width, chunk in ((3, 64), (7, 2)):
+        monkeypatch.setattr("concord.sources.source.CHUNK", chunk)
+        monkeypatch.setattr("concord.operators.compare.CHUNK", chunk)
+        names = ",".join(["id", *(f"v{k}" for k in range(width))])
+        sides = [[(str(rng.randrange(40)), *(rng.choice(["a", "b", "", None]) for _ in range(width))) for _ in range(60)] for _ in range(2)]
+        for policy in ("first", "last"):
+            gone = {("3",), ("5",), ("99",)}
+            c = compare(spark, names, *sides, duplicate_policy=policy, containers=(Container("x", tuple(gone)),))
+            kept = [{}, {}]
+            for rows, own in zip(sides, kept, strict=True):
+                for r in rows if policy == "last" else reversed(rows):
+                    own[r[0]] = r[1:]
+            both = {k for k in kept[0] if k in kept[1]} - {k for (k,) in gone}
+            want = {(f'["{k}"]', f"v{n}", a, b) for k in both for n, (a, b) in enumerate(zip(kept[0][k], kept[1][k], strict=True)) if a != b}
+            assert {tuple(r) for r in c.raw_differences.collect()} == want and c.raw_differences.count() == len(want)
+            s = totals(c)
+            assert (s["matched_keys"], s["changed_cells"], s["changed_rows"]) == (len(both), len(want), len({w[0] for w in want}))
+            assert s["left_excluded_rows"] == sum((r[0],) in gone for r in sides[0]) and s["left_rows"] == 60
+            audit = {(json.loads(r.key_json)[0], r.left_rows) for r in c.exclusion_audit.collect()}
+            assert audit == {(k, sum(r[0] == k for r in sides[0])) for (k,) in gone}
+
+
+def test_excluded_keys_from_a_table(spark, plan_size):
+    rows = [(str(k), "a") for k in range(50)]
+    gone = spark.range(0, 100, 2).selectExpr("to_json(array(string(id))) as key_json", "'even' as container", "'no need' as reason")
+    c = Comparison(table(spark, "id,v", rows), table(spark, "id,v", [(i, "b") for i, _ in rows]), CompareConfig(("id",)), gone)
+    s = c.summary.first()
+    assert (s.left_rows, s.left_excluded_rows, s.matched_keys, s.changed_cells) == (50, 25, 25, 25)
+
+
+def test_csv_of_several_files_in_their_order(spark, tmp_path, plan_size):
+    """Files follow one another by path, whatever their sizes; headers may be in another order, but not of other names."""
+    left, right = tmp_path / "a b%20 l.csv", tmp_path / "r.csv"
+    left.mkdir()
+    (left / "part-0").write_text("id,v\n1,first\n")
+    (left / "part-1").write_text("v,id\n" + "second,1\n" + "".join(f"x{k},{k}\n" for k in range(2, 500)))
+    right.write_text('id,v\n1,first\n2,"x2"\n3,x\n')
+    for policy, cells in (("first", {'["3"]'}), ("last", {'["1"]', '["3"]'})):
+        c = Comparison(open_source(spark, str(left)), open_source(spark, str(right)), CompareConfig(("id",), duplicate_policy=policy))
+        assert {r.key_json for r in c.raw_differences.collect()} == cells and c.summary.first().left_duplicate_rows_skipped == 1
+    (left / "part-2").write_text("id,w\n1,x\n")
+    with pytest.raises(ValueError, match="header differs"):
+        open_source(spark, str(left))
+
+
+def test_csv_records_over_many_splits(spark, tmp_path):
+    """Quoted records cross splits, some of them several; the result is that of one reader, in its order."""
+    rng = random.Random(3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for n in range(3):
+            (tmp_path / f"{n}.csv").mkdir()
+            want = []
+            for part in range(2):
+                rows = [[f"{part}-{k}", "".join(rng.choice(["x", '"', ",", "\n", "é", "\x1f", "\x00", "long " * 30 + "\n"]) for _ in range(rng.randrange(1 + 8 * (n > 0))))] for k in range(60)]
+                out = io.StringIO(newline="")
+                csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_MINIMAL).writerows([["id", "a\nb"], *rows])
+                (tmp_path / f"{n}.csv" / f"p{part}").write_text(out.getvalue(), encoding="utf-8", newline="")
+                want += rows
+            df = read(spark, str(tmp_path / f"{n}.csv"))
+            assert df.rdd.getNumPartitions() > 6 and df.columns == ["id", "a\nb", ORDER]
+            assert [[r[0], r[1]] for r in df.orderBy(ORDER).collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_encodings_and_errors_with_their_place(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes("id,v\r\n1,€uro\r\n".encode("cp1252"))
+    assert [tuple(r)[:2] for r in read(spark, str(tmp_path / "w.csv"), encoding="cp1252").collect()] == [("1", "€uro")]
+    (tmp_path / "b.csv").write_bytes("﻿id,v\n1,a\n".encode())
+    assert read(spark, str(tmp_path / "b.csv")).columns[:2] == ["id", "v"]
+    (tmp_path / "e.csv").write_text("id,v\n1,a\n2\n")
+    with pytest.raises(Exception, match="MALFORMED record after byte 9 of .*e.csv: expected 2 fields, got 1"):
+        read(spark, str(tmp_path / "e.csv")).collect()
+    (tmp_path / "n.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        read(spark, str(tmp_path / "n.csv"))
+    (tmp_path / "h.csv").write_text("id,v\n")
+    assert read(spark, str(tmp_path / "h.csv")).count() == 0
+
+
+def test_parquet_files_in_their_order(spark, tmp_path, plan_size):
+    for part, rows in (("a x", [("1", 5, None)]), ("b%", [("1", 6, 1.5), ("2", 7, 2e20)])):
+        spark.createDataFrame(rows, "id string, n int, f double").coalesce(1).write.parquet(str(tmp_path / "l.parquet" / f"part={part}"))
+    for k in range(20):
+        spark.createDataFrame([("1", 100 + k, 0.0), (f"x{k}", k, 0.0)], "id string, n int, f double").coalesce(1).write.mode("append").parquet(str(tmp_path / "m.parquet"))
+    left = read(spark, str(tmp_path / "l.parquet"))
+    assert [(r.id, r.n, r.f) for r in left.orderBy(ORDER).collect()] == [("1", "5", None), ("1", "6", "1.5"), ("2", "7", "2e+20")]
+    c = Comparison(open_source(spark, str(tmp_path / "m.parquet")), open_source(spark, str(tmp_path / "l.parquet")), CompareConfig(("id",), ("f",)))
+    first = sorted((tmp_path / "m.parquet").glob("*.parquet"), key=str)[0]
+    n = str(next(r.n for r in spark.read.parquet(str(first)).collect() if r.id == "1"))
+    assert [(r.left_value, r.right_value) for r in c.raw_differences.collect()] == [(n, "5")]
+    assert c.summary.first().left_duplicate_rows_skipped == 19
+
+
+def test_each_source_is_scanned_twice_at_most(spark, tmp_path):
+    """Large sources: once for the keys, written, once for the columns of changed chunks. Sorting is no part of grouping narrow rows."""
+    names = ["id", *(f"c{k}" for k in range(130))]
+    for side in ("l", "r"):
+        rows = [tuple([str(k), *(["x"] * 70), side if k == 3 else "y", *(["z"] * 59)]) for k in range(20)]
+        spark.createDataFrame(rows, names).write.parquet(str(tmp_path / f"{side}.parquet"))
+    c = Comparison(*[open_source(spark, str(tmp_path / f"{s}.parquet")) for s in "lr"], CompareConfig(("id",)))
+    assert not c.carried
+    plan = c.summary._jdf.queryExecution().executedPlan().toString()
+    assert [(r.key_json, r.column) for r in c.raw_differences.collect()] == [('["3"]', "c70")]
+    for side in "lr":
+        reads = [line for line in plan.splitlines() if "FileScan parquet" in line and f"/{side}.parquet" in line]
+        assert len(reads) == 1 and "c64#" in reads[0] and "c63#" not in reads[0] and "c128#" not in reads[0]
+    narrow = Comparison(*[open_source(spark, str(tmp_path / f"{s}.parquet")) for s in "lr"], CompareConfig(("id",), tuple(names[10:])))
+    narrow.carried = False
+    assert "SortAggregate" not in narrow._unique(narrow.left)._jdf.queryExecution().executedPlan().toString()
