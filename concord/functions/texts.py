@@ -6,6 +6,7 @@ scripts' letters, odd spellings of numbers, dates) goes to one Arrow UDF, which
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 from decimal import Context, Decimal, InvalidOperation
@@ -113,6 +114,45 @@ def close(a: Column, b: Column, tolerance: str) -> Column:
     return F.when(a.isNull() | b.isNull(), False).when(decidable, result).otherwise(rest(F.when(rare, a), F.when(rare, b)))
 
 
+# The digits that the library's date directives take, and the number each stands for where a format lacks it.
+DIGITS = {"Y": r"(?!0000)\d{4}", "m": "1[0-2]|0[1-9]|[1-9]", "d": r"3[01]|[12]\d|0[1-9]|[1-9]", "H": r"2[0-3]|[01]\d|\d", "M": r"[0-5]\d|\d", "S": r"[0-5]\d|\d"}
+MISSING = {"Y": 1900, "m": 1, "d": 1, "H": 0, "M": 0, "S": 0}
+
+
+def date_shape(form: str) -> tuple[str, list[str]] | None:
+    """(a pattern with a group for each directive, the directives) of a date format whose texts it alone decides, or None. A text that
+    matches means what strptime() reads; one that does not is for strptime() itself to judge (other digits, cases, blanks)."""
+    parts = re.findall(r"%(.)|([^%])", form, re.DOTALL)
+    if sum(1 + bool(d) for d, _ in parts) != len(form) or any(d and d not in DIGITS or t and not t.isascii() for d, t in parts):
+        return None
+    names = [d for d, _ in parts if d]
+    if not names or len(set(names)) < len(names):
+        return None
+    touching = any(a and b for (a, _), (b, _) in zip(parts, parts[1:], strict=False)) or any(t.isdigit() for _, t in parts)
+    digits = {k: v if not touching else "|".join(x for x in v.split("|") if x not in (r"\d", "[1-9]")) for k, v in DIGITS.items()}
+    blank = lambda t: r"\s+" if t.isspace() else re.escape(t)
+    out = "".join(f"({digits[d]})" if d else blank(t) for d, t in parts)
+    return f"^{re.sub(r'(?:%s)+' % re.escape(chr(92) + 's+'), lambda _: chr(92) + 's+', out)}\\z", names
+
+
+def _moment_column(c: Column, shape: tuple[str, list[str]]) -> tuple[Column, Column]:
+    """(whether the shape decides the text, its moment, null for days that no month has)."""
+    pattern, names = shape
+    part = {d: F.regexp_extract(c, pattern, k + 1).cast("int") if k >= 0 else F.lit(MISSING[d]) for d in DIGITS for k in [names.index(d) if d in names else -1]}
+    matched = c.rlike(pattern)
+    return matched, F.when(matched, F.call_function("try_make_timestamp_ntz", *[part[d] for d in "YmdHM"], part["S"].cast("decimal(16,6)")))
+
+
+def _plain_date(rule: Rule, a: Column, b: Column) -> tuple[Column, Column]:
+    """(decidable, result) of a date rule by Spark's functions. An empty text is no date."""
+    shapes = [date_shape(f or "") for f in (rule.left_date_format, rule.right_date_format)]
+    empty = (a == "") | (b == "")
+    if None in shapes:
+        return F.lit(False), F.lit(False)
+    (known_a, at_a), (known_b, at_b) = (_moment_column(c, s) for c, s in zip((a, b), shapes, strict=True))
+    return empty | (known_a & known_b), ~empty & F.coalesce(at_a == at_b, F.lit(False))
+
+
 def _plain_rule(rule: Rule, a: Column, b: Column) -> tuple[Column, Column]:
     """(decidable, result) of a rule by Spark's functions; both texts are there."""
     decidable = F.lit(True)
@@ -123,7 +163,8 @@ def _plain_rule(rule: Rule, a: Column, b: Column) -> tuple[Column, Column]:
         a, b = F.lower(a), F.lower(b)
     same = a == b
     if rule.left_date_format:
-        return same, same
+        known, equal = _plain_date(rule, a, b)
+        return decidable & (same | known), same | equal
     if rule.tolerance is not None:
         known, near_by = _plain_close(a, b, rule.tolerance)
         return decidable & (same | known), same | near_by

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CompareConfig
@@ -23,8 +23,21 @@ class Evidence:
     right_only: DataFrame
 
 
-def plan(before: CompareConfig, after: CompareConfig, kept: bool = True) -> tuple[str, str]:
-    """('review', '') if the evidence is enough for the new settings, else ('full', why)."""
+def contained(small: DataFrame, large: DataFrame) -> bool:
+    """Whether every key_json of one table is in another."""
+    return small.select("key_json").join(large.select("key_json"), "key_json", "left_anti").isEmpty()
+
+
+def excluded_keys(spark: SparkSession, config: CompareConfig, more: DataFrame | None = None) -> DataFrame:
+    """(key_json) of a configuration's containers and of a table of further keys, each once."""
+    rows = [(list(k),) for x in config.containers for k in x.keys]
+    own = spark.createDataFrame(rows, "k array<string>").select(F.to_json("k").alias("key_json"))
+    return (own if more is None else own.union(more.select("key_json"))).distinct()
+
+
+def plan(before: CompareConfig, after: CompareConfig, kept: bool = True, tables: tuple[DataFrame | None, DataFrame | None] = (None, None)) -> tuple[str, str]:
+    """('review', '') if the evidence is enough for the new settings, else ('full', why). tables: further excluded keys
+    (key_json) before and after, of any number; they are compared by a join."""
     if not kept:
         return "full", "no evidence was kept"
     if before.keys != after.keys:
@@ -34,7 +47,8 @@ def plan(before: CompareConfig, after: CompareConfig, kept: bool = True) -> tupl
     if not set(before.ignored_columns) <= set(after.ignored_columns):
         return "full", "an ignored column came back"
     keys = [{k for c in config.containers for k in c.keys} for config in (before, after)]
-    if not keys[0] <= keys[1]:
+    given = [t for t in tables if t is not None]
+    if not (contained(*[excluded_keys(given[0].sparkSession, c, t) for c, t in zip((before, after), tables, strict=True)]) if given else keys[0] <= keys[1]):
         return "full", "an excluded key came back"
     return "review", ""
 
@@ -70,10 +84,9 @@ class Revision:
         return self.judged.where(which).select("key_json", "column", *[shown(F.col(f"{s}_value")).alias(f"{s}_value") for s in ("left", "right")], *more)
 
 
-def revise(c: Comparison, evidence: Evidence, config: CompareConfig) -> Revision:
-    """Columns newly ignored and keys newly excluded go, the rest is judged by config."""
-    rows = [(list(k),) for x in config.containers for k in x.keys]
-    gone = c.spark.createDataFrame(rows, "k array<string>").select(F.to_json("k").alias("key_json")).distinct()
+def revise(c: Comparison, evidence: Evidence, config: CompareConfig, exclusions: DataFrame | None = None) -> Revision:
+    """Columns newly ignored and keys newly excluded go, those of a table (key_json) as well; the rest is judged by config."""
+    gone = excluded_keys(c.spark, config, exclusions)
     left = lambda df: df.join(gone, "key_json", "left_anti")
     raw = left(evidence.raw_differences.where(~F.col("column").isin(list(config.ignored_columns))) if config.ignored_columns else evidence.raw_differences)
     judged = c.judged(raw, config)

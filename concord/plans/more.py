@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CompareConfig, Rule
@@ -10,9 +10,10 @@ from ..operators import analysis, jsondiff, revision
 from ..operators.compare import Comparison
 from ..scratch import shared_folder
 from ..sinks.results import save, workbook, write_csv
-from ..sources.texts import ORDER, preview, read
-from .pairs import LINES_LEFT, ORDERS_LEFT, ORDERS_RIGHT, lines_pair, orders_pair
-from .queries import BASE, BOX, COUNTS, EXCLUDED, KEY, LINE_KEY, OVERRIDE, OVERRIDES, PATTERN, RULE_ALL, RULES, SQL, add, deduped, lines, orders
+from ..sources.source import PLACE_BITS
+from ..sources.texts import ORDER, open_source, preview, read
+from .pairs import LINES_LEFT, LINES_RIGHT, ORDERS_LEFT, ORDERS_RIGHT, lines_pair, orders_pair
+from .queries import BASE, BOX, COUNTS, EXCLUDED, KEY, LINE_KEY, OVERRIDE, OVERRIDES, PATTERN, RULE_ALL, RULES, SQL, add, deduped, lines, orders, summary_sql
 
 GONE = ", ".join(f"'[\"{k}\"]'" for (k,) in EXCLUDED)
 GONE_KEYS = ", ".join(f"'{k}'" for (k,) in EXCLUDED)
@@ -61,6 +62,28 @@ def csv_roundtrip(s: SparkSession, d: str) -> DataFrame:
 add("csv_roundtrip", csv_roundtrip, COUNTS.replace("THEN NULL WHEN", "THEN '' WHEN"))
 
 
+#: A quote, a line end and a delimiter in every value.
+_FLAG = "concat(l_returnflag, '\"', chr(10), ',') AS l_returnflag,"
+
+
+def _lines_with_signs(sql: str) -> str:
+    return sql.replace("l_returnflag, l_linestatus, ord", f"{_FLAG} l_linestatus, ord").replace("l_returnflag, CASE", f"{_FLAG} CASE")
+
+
+def csv_duplicates(s: SparkSession, d: str) -> DataFrame:
+    """Repeated keys in CSV of several files, records of several lines: the last one in the order of files and bytes counts."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select("*", (F.col("_metadata.row_index") + 1).alias("ord"))
+    folder, sides = shared_folder(s, "csv"), []
+    for name, sql in (("left.csv", LINES_LEFT), ("right.csv", LINES_RIGHT)):
+        df = s.sql(_lines_with_signs(sql).format(order="place").replace("FROM numbered_lines", "FROM {lines}"), lines=lines)
+        write_csv(df.repartitionByRange(4, "place").sortWithinPartitions("place").drop("place"), f"{folder}/{name}")
+        sides.append(open_source(s, f"{folder}/{name}"))
+    return Comparison(*sides, CompareConfig(LINE_KEY, duplicate_policy="last")).raw_differences
+
+
+add("csv_duplicates", csv_duplicates, _lines_with_signs(deduped("last")) + "SELECT * FROM raw")
+
+
 def excel_scan(s: SparkSession, d: str) -> DataFrame:
     """A small table as a worksheet and back."""
     nation = s.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey")
@@ -356,3 +379,28 @@ SELECT event_id, 'changed' AS kind, CAST(2 AS BIGINT) AS left_line, concat('$.k
 UNION ALL SELECT event_id, 'added', NULL, NULL, 3, '$.more = 1' FROM e
 """,
 )
+
+# --- excluded keys as a table ----------------------------------------------------------------------------------------
+
+
+def excluded_keys_table(s: SparkSession, d: str) -> DataFrame:
+    """Keys to leave out read from a table: joined, never on the driver."""
+    gone = s.read.parquet(f"{d}/orders.parquet").where("o_custkey % 3 = 0").selectExpr("to_json(array(string(o_orderkey))) AS key_json", "'third' AS container", "'sample' AS reason")
+    return Comparison(*orders_pair(s, d), CompareConfig(KEY), gone).summary
+
+
+add("excluded_keys_table", excluded_keys_table, summary_sql(excluded=True).replace(f"({GONE_KEYS})", "(SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey % 3 = 0)"))
+
+
+def written_in_key_order(s: SparkSession, d: str) -> DataFrame:
+    """Matched keys as written to files: each file's rows and their range of keys, in the order of the files."""
+    folder = shared_folder(s, "ordered")
+    write_csv(orders(s, d).matched_keys, f"{folder}/keys.csv", "key_json")
+    keys = read(s, f"{folder}/keys.csv")
+    place = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = keys.groupBy(F.shiftright(ORDER, PLACE_BITS).alias("file")).agg(F.count("*").alias("n"), F.min("key_json").alias("low"), F.max("key_json").alias("high"))
+    ordered = files.withColumn("before", F.max("high").over(place))  # one row for each file
+    return ordered.agg(F.sum("n").alias("keys"), F.bool_and(F.coalesce(F.col("before") < F.col("low"), F.lit(True))).alias("in_order"))
+
+
+add("written_in_key_order", written_in_key_order, f"{BASE} SELECT CAST(count(*) AS BIGINT) AS keys, true AS in_order FROM k")

@@ -36,8 +36,11 @@ def _gone(path: str) -> None:
     files.delete_file(local)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Exact CSV: every field quoted, blanks at the ends kept."""
+def write_csv(df: DataFrame, path: str, *order: str) -> None:
+    """Exact CSV: every field quoted, blanks at the ends kept. With an order, the files one after another are in it: rows are dealt by
+    ranges of the first column and sorted within them."""
+    if order:
+        df = df.repartitionByRange(order[0]).sortWithinPartitions(*order)
     options = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df.write.mode("overwrite").options(**options).csv(path)
 
@@ -58,7 +61,7 @@ def write_results(c: Comparison, folder: str) -> dict:
         "duplicate_keys": c.duplicates,
     }
     for name, df in out.items():
-        write_csv(df, f"{folder}/{name}.csv")
+        write_csv(df, f"{folder}/{name}.csv", "key_json", *[c for c in ("side", "column") if c in df.columns])
     first = [r.asDict() for r in c.first_duplicates.collect()]  # three rows a side
     if first:
         save(f"{folder}/first_duplicates.json", json.dumps({"columns": c.columns[:20], "rows": first}, ensure_ascii=False).encode())

@@ -419,3 +419,46 @@ def test_each_source_is_scanned_twice_at_most(spark, tmp_path):
     narrow = Comparison(*[open_source(spark, str(tmp_path / f"{s}.parquet")) for s in "lr"], CompareConfig(("id",), tuple(names[10:])))
     narrow.carried = False
     assert "SortAggregate" not in narrow._unique(narrow.left)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dates_on_the_jvm_agree_with_strptime(spark):
+    """Random texts and formats: what the shapes decide is what strptime() says, and ordinary dates need no Python."""
+    rng = random.Random(9)
+    forms = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y%m%d", "%Y-%m-%dT%H:%M:%S", "%d.%m.%Y %H:%M", "%H:%M", "%Y", "%d %b %Y", "%Y-%m-%d %%", "%y-%m-%d", "at %Y-%m", "%m%d"]
+    assert texts.date_shape("%d %b %Y") is None and texts.date_shape("%y-%m-%d") is None and texts.date_shape("%d%") is None and texts.date_shape("%d-%d") is None
+
+    def moment():
+        y, m, d, h, n = rng.choice(["2024", "0000", "1999", "24", "0001", "9999"]), rng.choice(["2", "02", "12", "13", "1", "٣"]), rng.choice(["29", "1", "01", "31", "30", "0", "32"]), rng.choice(["23", "7", "24"]), rng.choice(["59", "5", "60"])
+        return rng.choice([f"{y}-{m}-{d}", f"{d}/{m}/{y}", f"{m}/{d}/{y}", f"{y}{m}{d}", f"{y}-{m}-{d}{rng.choice('Tt')}{h}:{n}:{rng.choice(['59', '61', '0'])}", f"{d}.{m}.{y}{rng.choice([' ', '  ', chr(10)])}{h}:{n}", f"{h}:{n}", y, "", "x", f"{y}-{m}-{d}\n", f"{y}-{m}-{d} %", f"at {y}-{m}", f"{m}{d}"])
+
+    for _ in range(12):
+        rules = [Rule(f"c{k}", left_date_format=rng.choice(forms), right_date_format=rng.choice(forms), trim=rng.random() < 0.3) for k in range(4)]
+        rows = [(rng.choice(rules).column, moment(), moment()) for _ in range(800)]
+        df = spark.createDataFrame(rows, "c string, a string, b string")
+        by_column = {r.column: r for r in rules}
+        got = df.select("*", texts.accepted_by(rules, F.col("c"), F.col("a"), F.col("b")).alias("ok")).collect()
+        assert [(r.c, r.a, r.b) for r in got if r.ok != texts.accepts(by_column[r.c], r.a, r.b)] == []
+    rule = Rule("d", left_date_format="%Y-%m-%d", right_date_format="%d/%m/%Y")
+    known, equal = texts._plain_rule(rule, F.col("a"), F.col("b"))
+    plain = spark.createDataFrame([("2024-02-29", "29/02/2024"), ("2024-02-30", "30/2/2024"), ("2024-1-2", "02/01/2024"), ("", "1/1/2024")], "a string, b string")
+    assert [tuple(r) for r in plain.select(known, equal).collect()] == [(True, True), (True, False), (True, True), (True, False)]
+
+
+def test_excluded_keys_of_a_table_in_a_revision(spark, tmp_path):
+    c = compare(spark, "id,v", [(str(k), "a") for k in range(9)], [(str(k), "b") for k in range(9)])
+    kept = revision.keep(c, str(tmp_path / "kept"))
+    few, many = (spark.range(n).selectExpr("to_json(array(string(id))) AS key_json") for n in (2, 5))
+    assert revision.plan(c.config, c.config, tables=(few, many)) == ("review", "") and revision.plan(c.config, c.config, tables=(many, few))[0] == "full"
+    assert revision.plan(c.config, c.config, tables=(None, few))[0] == "review" and revision.plan(c.config, c.config, tables=(few, None))[0] == "full"
+    assert revision.revise(c, kept, c.config, many).counters.first().changed_cells == 4
+
+
+def test_results_are_in_key_order(spark, tmp_path, plan_size):
+    rows = [(f"{k:03d}", "a") for k in range(300)]
+    c = compare(spark, "id,v", rows, [(i, "b") for i, _ in reversed(rows)])
+    write_results(c, str(tmp_path / "out"))
+    keys = []
+    for f in sorted((tmp_path / "out/differences.csv").glob("part-*.csv")):
+        with open(f, newline="") as h:
+            keys += [r[0] for r in list(csv.reader(h))[1:]]
+    assert keys == [f'["{i}"]' for i, _ in rows]
