@@ -20,6 +20,8 @@ END_ID, CAPACITY = 1, 2048
 FEATURES, DIMENSIONS, BITS, SALT = 4096, 4, 10, 23
 #: Standard deviations from the mean that the curve's cube covers; what lies further is put on its sides.
 SPREAD = 2.5
+#: Chunks of text that an encoder remembers, twice over, and documents handed on at once: bounds of a worker's memory.
+KEEP, ROWS = 500_000, 1000
 
 
 @lru_cache(maxsize=2)
@@ -60,8 +62,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, n, point, salt, ids): every document's ids as little-endian 16-bit integers, the end id last."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, end_id.to_bytes(2, "little")
-        for b in batches:
+        encode, end = encoder(tokenizer, KEEP).encode, end_id.to_bytes(2, "little")
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, max(x.num_rows, 1), ROWS)):
             raw = [encode(t.as_py() or "") + end for t in b.column(1)]
             points = [place(np.frombuffer(r, "<u2")).tolist() for r in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array(points, pa.list_(pa.float64())), pa.array(raw, pa.binary())], names)
@@ -73,16 +75,28 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 def on_curve(rows: DataFrame) -> DataFrame:
     """rows with `key`: the point's place on the curve, scaled by the points' mean and spread over all documents, then the salt."""
+    return rows.withColumn("key", curve_key(rows)("point", "salt"))
+
+
+def curve_key(rows: DataFrame, bounds: np.ndarray | None = None):
+    """A function of (point, salt): the key, or with bounds the struct of the key and the place of its range."""
     parts = [(F.avg(F.col("point")[k]), F.stddev_pop(F.col("point")[k])) for k in range(DIMENSIONS)]
     found = rows.agg(*[c for pair in parts for c in pair]).first()
     mean, spread = (np.array([v or 0.0 for v in found[k::2]]) for k in (0, 1))
 
-    @F.pandas_udf("long")
-    def key(point: pd.Series) -> pd.Series:
+    def keys(point: pd.Series, salt: pd.Series) -> np.ndarray:
         z = (np.array(point.tolist()).reshape(-1, DIMENSIONS) - mean) / np.where(spread > 0, spread, 1)
-        return pd.Series(hilbert(np.clip((z / SPREAD + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1).astype(np.int64), BITS))
+        at = hilbert(np.clip((z / SPREAD + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1).astype(np.int64), BITS)
+        return (at << SALT) + salt.to_numpy()
+
+    if bounds is None:
+        return F.pandas_udf(lambda point, salt: pd.Series(keys(point, salt)), "long")
 
-    return rows.withColumn("key", key("point") * F.lit(1 << SALT) + F.col("salt"))
+    def both(point: pd.Series, salt: pd.Series) -> pd.DataFrame:
+        k = keys(point, salt)
+        return pd.DataFrame({"key": k, "part": np.searchsorted(bounds, k, side="left").astype(np.int32)})
+
+    return F.pandas_udf(both, "key long, part int")
 
 
 def edges(total: int, capacity: int) -> np.ndarray:
@@ -98,21 +112,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): the pieces of every document. Documents follow
     one another along the curve and fill sequence after sequence without a gap; a document that meets a sequence's end goes on in the next.
 
-    The key's quantiles deal the documents into ranges, so that neighbours meet in one task and equal documents, told apart
+    The key's quantiles, weighed by tokens, deal the documents into ranges, so that neighbours meet in one task and equal documents, told apart
     by their salt, are dealt over as many tasks as they need. Only the quantiles and each range's number of tokens go to the driver.
     Null text: the end id alone. Null or repeated doc_ids: each row is a document of its own; rows alike in all
     are interchangeable. Very long documents run over many sequences. No rows: no rows.
     """
-    keyed = on_curve(written(tokenised(docs, tokenizer, end_id)))
+    rows = written(tokenised(docs, tokenizer, end_id))
     parts = shuffle_partitions(docs.sparkSession)
-    cuts = keyed.agg(F.percentile_approx("key", F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(1.0)), 50 * parts + 10_000)).first()[0]
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)] or [F.lit(1.0)])
+    weighed = on_curve(rows.select("n", "point", "salt")).select("key", F.explode(F.expr("sequence(1, ceil(n / 1024))")))  # by tokens
+    cuts = weighed.agg(F.percentile_approx("key", shares, 50 * parts + 10_000)).first()[0]
     bounds = np.unique(np.array(cuts or [0], np.int64))
-
-    @F.pandas_udf("int")
-    def part(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left").astype(np.int32))
-
-    dealt = keyed.withColumn("part", part("key"))
+    dealt = rows.withColumn("at", curve_key(rows, bounds)("point", "salt")).select("doc_id", "n", "ids", "at.key", "at.part")
     tokens = np.zeros(len(bounds) + 2, np.int64)
     for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect():  # a row for each range
         tokens[r.part + 1] = r.n
@@ -139,5 +150,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids, strict=True)], names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    rows = dealt.select("part", "doc_id", "ids", "key").repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "doc_id", "ids")
-    return rows.mapInArrow(cut, ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))
+    near = dealt.select("part", "doc_id", "ids", "key").repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "doc_id", "ids")
+    return near.mapInArrow(cut, ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))

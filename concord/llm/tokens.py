@@ -101,6 +101,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ByteEncoder | WordEncoder:
+def encoder(path: str, keep: int = KEEP) -> ByteEncoder | WordEncoder:
     """One for each Python worker."""
-    return WordEncoder(path) if "word_" in path.rpartition("/")[2] else ByteEncoder(path)
+    return WordEncoder(path, keep) if "word_" in path.rpartition("/")[2] else ByteEncoder(path)
