@@ -9,10 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .config import CompareConfig, ConfigError, Container, Override, parse_keys
+from .config import CompareConfig, ConfigError, Container, Override, Rule, parse_keys
 from .operators.compare import Comparison
 from .sinks.results import write_results
-from .sources.texts import read
+from .sources.texts import open_source
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -26,6 +26,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--ignore-columns", default="")
     p.add_argument("--ignore-keys", default="", help="keys to leave out, or @file")
     p.add_argument("--value-overrides", default="", help="JSON list of {column, left, right}, or @file")
+    p.add_argument("--rules", default="", help="JSON list of {column, trim, ignore_case, tolerance, left_date_format, right_date_format}, or @file")
+    p.add_argument("--headers", default="", help="JSON list of two lists of header names, by position, or @file")
     p.add_argument("--delimiter", default=",")
     p.add_argument("--encoding", default="UTF-8")
     a = p.parse_args(argv)
@@ -35,11 +37,14 @@ def main(argv: list[str] | None = None) -> int:
         keys = tuple(a.keys.split(","))
         excluded = parse_keys(given(a.ignore_keys), len(keys))
         overrides = tuple(Override(**o) for o in json.loads(given(a.value_overrides) or "[]"))
-        config = CompareConfig(keys, tuple(filter(None, a.ignore_columns.split(","))), a.duplicate_policy, a.allow_empty_keys, (), overrides, (Container("Manual keys", excluded),) if excluded else ())
-        sides = [read(spark, x, **({"delimiter": a.delimiter, "encoding": a.encoding} if x.endswith(".csv") else {})) for x in (a.left, a.right)]
+        rules = tuple(Rule(**r) for r in json.loads(given(a.rules) or "[]"))
+        layout = json.loads(given(a.headers) or "null")
+        layout = layout and (tuple(layout[0]), tuple(layout[1]))
+        config = CompareConfig(keys, tuple(filter(None, a.ignore_columns.split(","))), a.duplicate_policy, a.allow_empty_keys, rules, overrides, (Container("Manual keys", excluded),) if excluded else (), layout)
+        sides = [open_source(spark, x, **({"delimiter": a.delimiter, "encoding": a.encoding} if x.endswith(".csv") else {})) for x in (a.left, a.right)]
         s = write_results(Comparison(*sides, config), a.output)
         return int(bool(s["changed_cells"] or s["left_only"] or s["right_only"]))
-    except (ConfigError, ValueError, OSError) as e:
+    except (ConfigError, ValueError, TypeError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     except Exception as e:  # Spark's own

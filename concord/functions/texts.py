@@ -1,7 +1,7 @@
 """Acceptance rules and text functions as columns.
 
-Ordinary texts (ASCII, plain numbers) are judged by Spark's own functions. What Spark has no exact form of (other
-scripts' letters, odd spellings of numbers, dates) goes to one Arrow UDF, which gets nulls for all other rows.
+Ordinary texts, letters of all scripts, plain numbers and dates are judged by Spark's own functions. What Spark has no exact form of (odd
+spellings of numbers and dates) goes to one Arrow UDF, which gets nulls for all other rows.
 """
 
 from __future__ import annotations
@@ -37,6 +37,44 @@ def ascii_only(c: Column) -> Column:
     return F.octet_length(c) == F.char_length(c)
 
 
+# Case folding, taken from str.casefold() itself: characters that become one, and those that become several.
+_FOLDS = {c: c.casefold() for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if c.casefold() != c}
+ONE = {a: b for a, b in _FOLDS.items() if len(b) == 1}
+SEVERAL = {a: b for a, b in _FOLDS.items() if len(b) > 1}
+
+
+def folded(c: Column) -> Column:
+    """str.casefold() on the JVM: ASCII in lower case; other texts by a table of characters; and those with one that becomes
+    several, such as ß, character by character."""
+    table = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    one = F.translate(c, "".join(ONE), "".join(ONE.values()))
+    each = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(table[x], x)), "")
+    return F.when(ascii_only(c), F.lower(c)).when(c.rlike("[" + "".join(SEVERAL) + "]"), each).otherwise(one)
+
+
+def changed_middle(a: Column, b: Column, limit: int = 2000) -> Column:
+    """What two texts have in common at their ends, and what lies between: a struct (prefix, left, right, suffix) of the first `limit` characters. The
+    lengths are found by bisection over substrings."""
+    x, y = F.substring(a, 1, limit), F.substring(b, 1, limit)
+    most, steps = F.least(F.char_length(x), F.char_length(y)), F.sequence(F.lit(1), F.lit(limit.bit_length()))
+
+    def longest(high: Column, same) -> Column:
+        """The largest n up to high of which same(n) holds; it holds of all below."""
+        start = F.struct(F.lit(0).alias("low"), high.alias("high"))
+
+        def step(s: Column, _: Column) -> Column:
+            middle = ((s["low"] + s["high"] + 1) / 2).cast("int")
+            ok = same(middle)
+            return F.struct(F.when(ok, middle).otherwise(s["low"]).alias("low"), F.when(ok, s["high"]).otherwise(F.greatest(middle - 1, s["low"])).alias("high"))
+
+        return F.aggregate(steps, start, step, lambda s: s["low"])
+
+    first = longest(most, lambda n: F.left(x, n) == F.left(y, n))
+    last = longest(most - first, lambda n: F.right(x, n) == F.right(y, n))
+    part = lambda t: F.substring(t, first + 1, F.char_length(t) - first - last)
+    return F.struct(F.left(x, first).alias("prefix"), part(x).alias("left"), part(y).alias("right"), F.right(x, last).alias("suffix"))
+
+
 def number(text: str | None) -> Decimal | None:
     """A finite decimal of at most 1000 characters with exponents within 1000, or None."""
     if text is None or len(text) > 1000:
@@ -159,8 +197,7 @@ def _plain_rule(rule: Rule, a: Column, b: Column) -> tuple[Column, Column]:
     if rule.trim:
         a, b = trimmed(a), trimmed(b)
     if rule.ignore_case:
-        decidable = ascii_only(a) & ascii_only(b)
-        a, b = F.lower(a), F.lower(b)
+        a, b = folded(a), folded(b)
     same = a == b
     if rule.left_date_format:
         known, equal = _plain_date(rule, a, b)
@@ -183,7 +220,7 @@ def accepted_by(rules: Sequence[Rule], column: Column, a: Column, b: Column) ->
     decidable, result = F.coalesce(*known, F.lit(True)), F.coalesce(*same, F.lit(False))
     both = a.isNotNull() & b.isNotNull()
     plain = F.when(both, result).otherwise(F.coalesce(column.isin([r.column for r in rules]), F.lit(False)) & a.isNull() & b.isNull())
-    if not any(r.ignore_case or r.left_date_format or r.tolerance is not None for r in rules):
+    if not any(r.left_date_format or r.tolerance is not None for r in rules):
         return plain
     by_column = {r.column: r for r in rules}
 
@@ -209,13 +246,13 @@ def pattern(a: Column, b: Column) -> Column:
     """The kind of change between two shown texts, the first that fits."""
     left, right = trimmed(a), trimmed(b)
     known, same = _plain_close(left, right, "0")
-    decidable = ascii_only(a) & ascii_only(b) & known
+    decidable = known | (left == right) | (folded(left) == folded(right)) | ((left == "") != (right == ""))
     plain = (
         F.when((left == "") & (right != ""), TO_VALUE)
         .when((left != "") & (right == ""), TO_BLANK)
         .when(left == right, SPACE)
-        .when(F.lower(a) == F.lower(b), CASE)
-        .when(F.lower(left) == F.lower(right), CASE_SPACE)
+        .when(folded(a) == folded(b), CASE)
+        .when(folded(left) == folded(right), CASE_SPACE)
         .when(same, NUMBER)
         .otherwise(OTHER)
     )

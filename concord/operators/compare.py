@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from functools import cached_property
+from dataclasses import replace
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..config import CompareConfig, align_headers, check, rename
 from ..functions.texts import accepted_by, shown
 from ..scratch import shared_folder
 from ..sources.source import CHUNK, ORDER, Source, literal
+from ..sources.texts import fingerprint
 
 
 def key_json(keys: tuple[str, ...] | list[str]) -> Column:
@@ -63,7 +65,7 @@ class Comparison:
             folder = shared_folder(self.spark, "ordered")
             rows.write.parquet(folder)
             rows = self.spark.read.schema(rows.schema).parquet(folder)
-        return Source(rows, source.names, source.fields)
+        return replace(source, rows=rows)
 
     @cached_property
     def exclusions(self) -> DataFrame:
@@ -171,6 +173,9 @@ class Comparison:
     def store(self, folder: str) -> None:
         """Writes the joined keys and the unequal cells as Parquet below the folder, once; from then on everything is
         derived from these files instead of the sources."""
+        paths = [x.path for x in (self.left, self.right) if x.path]
+        if paths:  # before anything is read: a later change shows
+            reduce(DataFrame.union, [fingerprint(self.spark, p).withColumn("source", F.lit(p)) for p in paths]).write.mode("overwrite").parquet(f"{folder}/sources")
         keys = self.joined.select("key_json", "gone", "ln", "lat", "rn", "rat")
         for name, df in (("raw_differences", self.raw_differences), ("joined", keys)):
             df.write.mode("overwrite").parquet(f"{folder}/{name}")

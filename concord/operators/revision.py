@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import CompareConfig
 from ..functions.texts import shown
+from ..sources.texts import fingerprint
 from .compare import Comparison
 
 
@@ -35,9 +36,19 @@ def excluded_keys(spark: SparkSession, config: CompareConfig, more: DataFrame |
     return (own if more is None else own.union(more.select("key_json"))).distinct()
 
 
-def plan(before: CompareConfig, after: CompareConfig, kept: bool = True, tables: tuple[DataFrame | None, DataFrame | None] = (None, None)) -> tuple[str, str]:
+def sources_changed(spark: SparkSession, folder: str) -> bool:
+    """Whether files of the sources have come, gone or changed in size or time since their evidence was stored below the folder."""
+    stored = spark.read.parquet(f"{folder}/sources")
+    names = [r.source for r in stored.select("source").distinct().collect()]  # two at most
+    now = reduce(DataFrame.union, [fingerprint(spark, p).withColumn("source", F.lit(p)) for p in names])
+    return not (now.exceptAll(stored).isEmpty() and stored.exceptAll(now).isEmpty())
+
+
+def plan(before: CompareConfig, after: CompareConfig, kept: bool = True, tables: tuple[DataFrame | None, DataFrame | None] = (None, None), changed: bool = False) -> tuple[str, str]:
     """('review', '') if the evidence is enough for the new settings, else ('full', why). tables: further excluded keys
-    (key_json) before and after, of any number; they are compared by a join."""
+    (key_json) before and after, of any number; they are compared by a join. changed: what sources_changed() says."""
+    if changed:
+        return "full", "a source changed"
     if not kept:
         return "full", "no evidence was kept"
     if before.keys != after.keys:

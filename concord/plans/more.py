@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CompareConfig, Rule
+from ..functions.texts import changed_middle
 from ..operators import analysis, jsondiff, revision
 from ..operators.compare import Comparison
 from ..scratch import shared_folder
 from ..sinks.results import save, workbook, write_csv
 from ..sources.source import PLACE_BITS
-from ..sources.texts import ORDER, open_source, preview, read
+from ..sources.texts import ORDER, open_source, parquet_metadata, preview, read, result_preview
 from .pairs import LINES_LEFT, LINES_RIGHT, ORDERS_LEFT, ORDERS_RIGHT, lines_pair, orders_pair
 from .queries import BASE, BOX, COUNTS, EXCLUDED, KEY, LINE_KEY, OVERRIDE, OVERRIDES, PATTERN, RULE_ALL, RULES, SQL, add, deduped, lines, orders, summary_sql
 
@@ -404,3 +405,47 @@ def written_in_key_order(s: SparkSession, d: str) -> DataFrame:
 
 
 add("written_in_key_order", written_in_key_order, f"{BASE} SELECT CAST(count(*) AS BIGINT) AS keys, true AS in_order FROM k")
+
+# --- views, budgets, footers -----------------------------------------------------------------------------------------
+
+
+def json_view_context(s: SparkSession, d: str) -> DataFrame:
+    """Seven fields of which one differs: it and two lines on either side."""
+    fields = ", ".join(f"o_orderkey + {k} AS f{k}" for k in range(7))
+    orders = s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey", f"to_json(struct({fields})) AS a")
+    other = F.when(F.col("o_orderkey") % 5 == 0, F.regexp_replace("a", '"f3":', '"f3":1')).otherwise(F.col("a"))
+    return jsondiff.context(jsondiff.aligned_view(orders.withColumn("b", other), "o_orderkey", "a", "b"), "o_orderkey")
+
+
+add(
+    "json_view_context",
+    json_view_context,
+    """
+WITH n AS (SELECT unnest(range(1, 6)) AS k)
+SELECT o_orderkey, CASE WHEN k = 3 THEN 'changed' ELSE 'equal' END AS kind, k + 2 AS left_line, concat('$.f', k, ' = ', o_orderkey + k) AS left_text,
+  k + 2 AS right_line, concat('$.f', k, ' = ', CASE WHEN k = 3 THEN '1' ELSE '' END, o_orderkey + k) AS right_text, CAST(k + 2 AS INTEGER) AS place
+FROM orders, n WHERE o_orderkey % 5 = 0
+""",
+)
+add(
+    "changed_middle",
+    lambda s, d: orders(s, d).differences.withColumn("m", changed_middle(F.col("left_value"), F.col("right_value"))).select("key_json", "column", "m.*"),
+    f"""{BASE}, m AS (SELECT *, least(length(left_value), length(right_value)) AS most FROM diff),
+p AS (SELECT *, list_max(list_filter(range(0, most + 1), lambda k: left(left_value, k) = left(right_value, k))) AS a FROM m),
+q AS (SELECT *, list_max(list_filter(range(0, most - a + 1), lambda k: right(left_value, k) = right(right_value, k))) AS b FROM p)
+SELECT key_json, "column", left(left_value, a) AS prefix, substring(left_value, a + 1, length(left_value) - a - b) AS "left",
+  substring(right_value, a + 1, length(right_value) - a - b) AS "right", right(left_value, b) AS suffix FROM q""",
+)
+add(
+    "preview_budget",
+    lambda s, d: result_preview(orders(s, d).differences, ["key_json", "column"], chars=8, most=900),
+    f"""{BASE}, f AS (SELECT key_json[:8] AS key_json, "column"[:8] AS "column", left_value[:8] AS left_value, right_value[:8] AS right_value,
+  row_number() OVER (ORDER BY key_json, "column") AS n FROM diff),
+g AS (SELECT *, coalesce(sum(length(key_json) + length("column") + length(left_value) + length(right_value)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f WHERE n <= 100)
+SELECT key_json, "column", left_value, right_value FROM g WHERE before <= 900""",
+)
+add(
+    "parquet_metadata",
+    lambda s, d: parquet_metadata(s, f"{d}/orders.parquet").select(F.explode("columns").alias("column"), "rows").groupBy("column").agg(F.sum("rows").alias("rows")),
+    "SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS \"column\", count(*) AS rows FROM orders",
+)

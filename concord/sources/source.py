@@ -57,6 +57,7 @@ class Source:
     rows: DataFrame
     names: tuple[str, ...]
     fields: tuple[str, ...] = ()  # the columns' own names; none: packed
+    path: str = ""  # of the files, where it comes from files
 
     @classmethod
     def of(cls, df: DataFrame) -> Source:

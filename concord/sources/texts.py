@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from dataclasses import replace
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import normalize_headers
 from .csvcheck import open_csv
-from .source import ORDER, Source, by_file
+from .source import ORDER, Source, by_file, quoted
 
 
 @F.pandas_udf(T.StringType())
@@ -72,13 +76,13 @@ def open_parquet(spark: SparkSession, path: str) -> Source:
 def open_source(spark: SparkSession, path: str, **options: str) -> Source:
     """A source by its suffix."""
     if path.rstrip("/").endswith(".parquet"):
-        return open_parquet(spark, path)
+        return replace(open_parquet(spark, path), path=path)
     if path.rstrip("/").endswith(".csv"):
-        return open_csv(spark, path, **options)
+        return replace(open_csv(spark, path, **options), path=path)
     if path.endswith((".xlsx", ".xlsm")):
         from .excel import read_excel
 
-        return Source.of(read_excel(spark, path, **options))
+        return replace(Source.of(read_excel(spark, path, **options)), path=path)
     raise ValueError(f"no reader for {path}")
 
 
@@ -87,9 +91,48 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return open_source(spark, path, **options).df
 
 
-def preview(df: DataFrame, rows: int = 20, first_column: int = 0, columns: int = 20, chars: int = 500) -> DataFrame:
-    """The first rows of one page of columns, long texts cut, nulls shown."""
+def preview(df: DataFrame, rows: int = 20, first_column: int = 0, columns: int = 20, chars: int = 500, most_bytes: int = 2 << 20) -> DataFrame:
+    """The first rows (1,000 at most) of one page of columns in source order, long texts cut, nulls shown; it ends before the row
+    with which the texts would exceed most_bytes."""
     from ..functions.texts import shown
 
     names = [c for c in df.columns if c != ORDER][first_column : first_column + columns]
-    return df.limit(min(rows, 1000)).select(*[F.substring(shown(F.col(f"`{c}`")), 1, chars).alias(c) for c in names])
+    order = ORDER if ORDER in df.columns else "__place"
+    given = df if order == ORDER else df.withColumn(order, F.monotonically_increasing_id())
+    few = given.orderBy(order).limit(min(rows, 1000)).select(order, *[F.substring(shown(F.col(quoted(c))), 1, chars).alias(c) for c in names])
+    size = sum((F.octet_length(quoted(c)) for c in names), F.lit(0))
+    return few.withColumn("__size", F.sum(size).over(Window.orderBy(order))).where(F.col("__size") <= most_bytes).select(*[F.col(quoted(c)) for c in names])  # of 1,000 rows
+
+
+def result_preview(df: DataFrame, order: list[str], rows: int = 100, chars: int = 1000, most: int = 250_000) -> DataFrame:
+    """The first rows of a result, texts cut; it ends with the row that brings its characters over `most`."""
+    few = df.orderBy(*order).limit(rows).select(*[F.substring(c, 1, chars).alias(c) for c in df.columns])
+    size = sum((F.coalesce(F.char_length(c), F.lit(0)) for c in df.columns), F.lit(0))
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # of the first rows only
+    return few.withColumn("__size", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("__size") <= most).drop("__size")
+
+
+def parquet_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows, row_groups, columns, types) of a Parquet source's files: their footers, read in tasks."""
+    files = sorted(spark.read.parquet(path).inputFiles())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for f in b.column(0).to_pylist():
+                store, own = fs.FileSystem.from_uri(f)
+                with store.open_input_file(own) as h:
+                    p = pq.ParquetFile(h)
+                    out.append({"file": f, "rows": p.metadata.num_rows, "row_groups": p.num_row_groups, "columns": p.schema_arrow.names, "types": [str(x.type) for x in p.schema_arrow]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("file", pa.string()), ("rows", pa.int64()), ("row_groups", pa.int64()), ("columns", pa.list_(pa.string())), ("types", pa.list_(pa.string()))]))
+
+    paths = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 1000))
+    return paths.mapInArrow(each, "file string, rows long, row_groups long, columns array<string>, types array<string>")
+
+
+def fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modificationTime) of a source's files. Their contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")

@@ -462,3 +462,49 @@ def test_results_are_in_key_order(spark, tmp_path, plan_size):
         with open(f, newline="") as h:
             keys += [r[0] for r in list(csv.reader(h))[1:]]
     assert keys == [f'["{i}"]' for i, _ in rows]
+
+
+def test_folding_of_every_code_point(spark):
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    rows = ["".join(every[k : k + 997]) for k in range(0, len(every), 997)] + every[:3000:7] + ["ßẞŉ", "Straße İ", "Ὀδυσσεύς", ""]
+    got = spark.createDataFrame([(x,) for x in rows], "a string").select(texts.folded(F.col("a")).alias("b")).collect()
+    assert [r.b for r in got] == [x.casefold() for x in rows]
+
+
+def test_changed_middle(spark):
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("ab\U0001f600") for _ in range(rng.randrange(9))), "".join(rng.choice("ab\U0001f600") for _ in range(rng.randrange(9)))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", texts.changed_middle(F.col("a"), F.col("b")).alias("m"))
+    for r in df.collect():
+        start = next((k for k in range(min(len(r.a), len(r.b))) if r.a[k] != r.b[k]), min(len(r.a), len(r.b)))
+        left = min(len(r.a), len(r.b)) - start
+        end = next((k for k in range(left) if r.a[-1 - k] != r.b[-1 - k]), left)
+        assert tuple(r.m) == (r.a[:start], r.a[start : len(r.a) - end], r.b[start : len(r.b) - end], r.a[len(r.a) - end :])
+
+
+def test_a_changed_source_needs_a_full_run(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("id,v\n1,a\n")
+    (tmp_path / "r.csv").write_text("id,v\n1,b\n")
+    c = Comparison(*[open_source(spark, str(tmp_path / f"{s}.csv")) for s in "lr"], CompareConfig(("id",)))
+    revision.keep(c, str(tmp_path / "kept"))
+    assert not revision.sources_changed(spark, str(tmp_path / "kept"))
+    (tmp_path / "r.csv").write_text("id,v\n1,bb\n")
+    changed = revision.sources_changed(spark, str(tmp_path / "kept"))
+    assert changed and revision.plan(c.config, c.config, changed=changed) == ("full", "a source changed")
+
+
+def test_preview_ends_within_its_budget(spark):
+    df = table(spark, "id,v", [(str(k), "é" * 100) for k in range(50)])
+    assert preview(df, 50, most_bytes=1000).count() == 4 and preview(df, 3).count() == 3
+
+
+def test_cli_with_rules_and_headers(spark, tmp_path, monkeypatch):
+    from concord import cli
+
+    monkeypatch.setattr(cli.SparkSession.Builder, "getOrCreate", lambda self: spark)
+    (tmp_path / "l.csv").write_text("id,v\n1,A\n")
+    (tmp_path / "r.csv").write_text("key,w\n1,a \n")
+    base = [str(tmp_path / "l.csv"), str(tmp_path / "r.csv"), "--keys", "id", "--headers", '[["id", "v"], ["id", "v"]]', "--output"]
+    assert cli.main([*base, str(tmp_path / "a")]) == 1
+    assert cli.main([*base, str(tmp_path / "b"), "--rules", '[{"column": "v", "trim": true, "ignore_case": true}]']) == 0
+    assert cli.main([*base, str(tmp_path / "c"), "--rules", '[{"colum": "v"}]']) == 2
