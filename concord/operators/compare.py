@@ -89,7 +89,7 @@ class Comparison:
             return source.rows.selectExpr(key, f"{ORDER} as ord", *columns)
         whole = " and ".join(f"coalesce({p} <> '', false)" for p in parts)
         rows = source.rows.selectExpr(key, f"{ORDER} as ord", f"{whole} as whole", *columns)
-        return rows.where(F.expr("assert_true(whole, concat('a key part is empty, at place ', string(ord))) is null")).drop("whole")
+        return rows.where(F.expr("assert_true(whole, concat('a key part is empty, in file ', string(shiftright(ord, 44)), ' at place ', string(ord & 17592186044415L))) is null")).drop("whole")
 
     def _unique(self, source: Source) -> DataFrame:
         """(key_json, n, at, ...): occurrences of a key, the order of the row that counts, and its cells as an array (v) or the

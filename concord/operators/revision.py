@@ -73,7 +73,8 @@ def keep(c: Comparison, folder: str) -> Evidence:
 @dataclass(frozen=True)
 class Revision:
     """judged: the cells still in question, with what accepts them; excluded: evidence that newly excluded keys took away,
-    (key_json, part); counters: one row."""
+    (key_json, part); counters, rows: one row each. A newly excluded key counts as one excluded row of each side that has it; its
+    duplicates stay counted as skipped."""
 
     judged: DataFrame
     left_only: DataFrame
@@ -81,6 +82,7 @@ class Revision:
     matched_keys: DataFrame
     excluded: DataFrame
     counters: DataFrame
+    rows: DataFrame
 
     @property
     def accepted(self) -> DataFrame:
@@ -113,4 +115,11 @@ def revise(c: Comparison, evidence: Evidence, config: CompareConfig, exclusions:
         "original_cells", "raw_cells", (F.col("raw_cells") - F.col("changed_cells")).alias("accepted_cells"), (F.col("original_cells") - F.col("raw_cells")).alias("filtered_cells"),
         "changed_cells", "changed_rows", (F.col("matched_keys") - F.col("changed_rows")).alias("equal_rows"), "matched_keys", "left_only", "right_only",
     )
-    return Revision(judged, kept["left_only"], kept["right_only"], kept["matched_keys"], excluded, counters)
+    before = c.joined.agg(*[F.coalesce(F.sum(F.when(F.col("gone"), F.col(n))), F.lit(0)).alias(f"{s}_before") for s, n in (("left", "ln"), ("right", "rn"))])
+    more = excluded.agg(*[F.count_if(F.col("part").isin("matched_keys", f"{s}_only")).alias(f"{s}_more") for s in ("left", "right")])
+    compared = kept["matched_keys"].agg(F.count("*").alias("m")).crossJoin(kept["left_only"].agg(F.count("*").alias("l"))).crossJoin(kept["right_only"].agg(F.count("*").alias("r")))
+    rows = before.crossJoin(more).crossJoin(compared).select(  # one row each
+        *[(F.col(f"{s}_before") + F.col(f"{s}_more")).alias(f"{s}_excluded_rows") for s in ("left", "right")],
+        (F.col("m") + F.col("l")).alias("left_compared_rows"), (F.col("m") + F.col("r")).alias("right_compared_rows"),
+    )
+    return Revision(judged, kept["left_only"], kept["right_only"], kept["matched_keys"], excluded, counters, rows)

@@ -300,6 +300,13 @@ UNION ALL SELECT key_json, 'right_only' FROM ro WHERE key_json IN ({GONE})""",
 )
 add("revision_counters", lambda s, d: _revised(s, d).counters, SQL["revision_counters"].replace(f"NOT {RULE_ALL}", f"NOT coalesce({OVERRIDE}, false) AND NOT {RULE_ALL}"))
 
+add(
+    "revision_rows",
+    lambda s, d: _revised(s, d).rows,
+    f"""{BASE} SELECT (SELECT count(*) FROM l WHERE o_orderkey IN ({GONE_KEYS})) AS left_excluded_rows, (SELECT count(*) FROM r WHERE o_orderkey IN ({GONE_KEYS})) AS right_excluded_rows,
+  (SELECT count(*) FROM l WHERE o_orderkey NOT IN ({GONE_KEYS})) AS left_compared_rows, (SELECT count(*) FROM r WHERE o_orderkey NOT IN ({GONE_KEYS})) AS right_compared_rows""",
+)
+
 # --- JSON documents --------------------------------------------------------------------------------------------------
 
 

@@ -12,8 +12,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.analysis import comments, patterns_by_column, ranked_examples, samples, scoped
+from ..operators.analysis import comments, patterns_by_column, ranked_examples, samples, scoped, supporting_fields
 from ..operators.compare import Comparison
+from ..sources.source import ORDER
 from .workbook import workbook
 
 __all__ = ["evidence_package", "export_html", "export_workbook", "save", "workbook", "write_csv", "write_results"]
@@ -135,8 +136,9 @@ def fitting(rows: Iterable[tuple], room: int) -> tuple[list[tuple], int, int]:
     return taken, omitted, room
 
 
-def evidence_package(c: Comparison, tokens: int = 32_000, n: int = 3, columns: list[str] | None = None, annotations: DataFrame | None = None) -> bytes:
-    """A ZIP of CSV evidence within a budget of tokens (four characters each): columns, patterns, remarks and examples.
+def evidence_package(c: Comparison, tokens: int = 32_000, n: int = 3, columns: list[str] | None = None, annotations: DataFrame | None = None, supporting: list[str] | None = None) -> bytes:
+    """A ZIP of CSV evidence within a budget of tokens (four characters each): columns, patterns, remarks, examples, and other
+    fields (supporting) of the examples' keys from both sources, by the duplicate policy.
 
     Columns and patterns must fit whole, else ValueError; remarks, then examples of the most frequent patterns fill what is
     left, and context.txt says how many were left out. What is collected is bounded by columns, patterns and n.
@@ -161,11 +163,24 @@ def evidence_package(c: Comparison, tokens: int = 32_000, n: int = 3, columns: l
         notes, no_notes, room = fitting(map(tuple, within.select("column", "key_json", "comment").toLocalIterator()), room)
     short = [F.substring(x, 1, k).alias(x) for x, k in (("key_json", 200), ("left_value", 300), ("right_value", 300))]
     lengths = [F.char_length(x).alias(f"{x}_length") for x in ("key_json", "left_value", "right_value")]
-    ranked = ranked_examples(own, n).orderBy(F.desc("occurrences"), "column", "pattern", "place").select("column", "pattern", *short, *lengths)
+    ranked = ranked_examples(own, n).orderBy(F.desc("occurrences"), "column", "pattern", "place")
+    whole, more = ranked.select("key_json").collect() if supporting else [], ""
+    ranked = ranked.select("column", "pattern", *short, *lengths)
     chosen, no_examples, room = fitting(map(tuple, ranked.collect()), room)
+    if supporting:
+        keys = c.spark.createDataFrame(sorted({(r.key_json,) for r in whole}), "key_json string")  # as many as examples at most
+        sides = []
+        for name, source in (("left", c.left), ("right", c.right)):
+            own = [f for f in supporting if f in source.names]
+            cells = supporting_fields(source.df, list(c.config.keys), keys, own, ORDER, c.config.duplicate_policy)
+            sides.append(cells.select(F.lit(name).alias("side"), F.substring("key_json", 1, 200).alias("key_json"), "field", F.coalesce("value", F.lit("")).alias("value"), F.col("is_null").cast("int").alias("is_null"), "length"))
+        found = sides[0].union(sides[1]).orderBy("key_json", "side", "field").collect()
+        fields, no_fields, room = fitting(map(tuple, found), room)
+        files["supporting.csv"] = as_csv([tuple(sides[0].columns), *fields])
+        more = f" Supporting fields: {len(fields)}, left out {no_fields}."
     files["comments.csv"] = as_csv([("column", "key", "comment"), *notes])
     files["samples.csv"] = as_csv([tuple(ranked.columns), *chosen])
-    files["context.txt"] = head + f"Examples: {len(chosen)}, left out {no_examples}. Remarks: {len(notes)}, left out {no_notes}.\n"
+    files["context.txt"] = head + f"Examples: {len(chosen)}, left out {no_examples}. Remarks: {len(notes)}, left out {no_notes}.{more}\n"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in files.items():

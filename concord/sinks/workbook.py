@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import string
 import zipfile
 from collections.abc import Iterable
@@ -13,6 +14,7 @@ from xml.sax.saxutils import escape, quoteattr
 MAX_ROWS, MAX_COLUMNS, MAX_CELL, MAX_NAME = 1_048_576, 16_384, 32_767, 31
 FORBIDDEN = "[]:*?/\\"
 RESERVED = "history"
+SPECIAL = re.compile("_(?=x[0-9A-Fa-f]{4}_)|[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 # Namespaces and content types of the format.
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -50,11 +52,15 @@ def letters(column: int) -> str:
     return out
 
 
+def escaped(text: str) -> str:
+    """The format's own escapes: signs that XML has no place for as _xHHHH_, and the underscore of texts that read like one."""
+    return SPECIAL.sub(lambda m: f"_x{ord(m[0]):04X}_", text)
+
+
 def cell(text: str) -> str:
-    if len(text) > MAX_CELL:
+    if len(text) + sum(ch > "\uffff" for ch in text) > MAX_CELL:  # counted in UTF-16 units
         raise ValueError(f"a worksheet's cell holds {MAX_CELL} characters")
-    clean = "".join(ch if ch in "\t\n\r" or 32 <= ord(ch) < 0xD800 or 0xE000 <= ord(ch) < 0xFFFE or ord(ch) > 0xFFFF else "�" for ch in text)
-    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(escaped(text), {chr(13): "&#13;"})}</t></is></c>'
 
 
 def _sheet(f, rows: Iterable[Iterable[object]], links: dict[int, str]) -> None:

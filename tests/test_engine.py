@@ -508,3 +508,28 @@ def test_cli_with_rules_and_headers(spark, tmp_path, monkeypatch):
     assert cli.main([*base, str(tmp_path / "a")]) == 1
     assert cli.main([*base, str(tmp_path / "b"), "--rules", '[{"column": "v", "trim": true, "ignore_case": true}]']) == 0
     assert cli.main([*base, str(tmp_path / "c"), "--rules", '[{"colum": "v"}]']) == 2
+
+
+def test_supporting_fields_in_the_package(spark):
+    left, right = [("1", "a", "x" * 400), ("1", "q", "second"), ("2", "b", None)], [("1", "z", "r"), ("2", "b", "s")]
+    c = compare(spark, "id,v,note", left, right, ignored_columns=("note",))
+    with zipfile.ZipFile(io.BytesIO(evidence_package(c, 8_000, 1, supporting=["note"]))) as z:
+        rows = list(csv.DictReader(io.StringIO(z.read("supporting.csv").decode())))
+        assert "Supporting fields: 2, left out 0" in z.read("context.txt").decode()
+    assert [(r["side"], r["field"], r["value"], r["length"]) for r in rows] == [("left", "note", "x" * 300, "400"), ("right", "note", "r", "1")]
+
+
+def test_workbook_escapes():
+    from concord.sinks.workbook import MAX_CELL, cell, escaped
+
+    assert escaped("_x0041_ a\x01b _x00_") == "_x005F_x0041_ a_x0001_b _x00_" and "&#13;" in cell("a\rb")
+    cell("x" * MAX_CELL)
+    with pytest.raises(ValueError):
+        cell("\U0001f600" * (MAX_CELL // 2 + 1))
+
+
+def test_rows_of_a_revision(spark):
+    c = compare(spark, "id,v", [("1", "a"), ("1", "b"), ("2", "b"), ("3", "c"), ("9", "x")], [("1", "a"), ("2", "b"), ("4", "d")], containers=(Container("x", (("9",),)),))
+    kept = revision.Evidence(c.raw_differences, c.matched_keys, c.left_only, c.right_only)
+    after = CompareConfig(("id",), containers=(Container("x", (("9",), ("1",), ("4",))),))
+    assert tuple(revision.revise(c, kept, after).rows.first()) == (2, 2, 2, 1)
