@@ -152,15 +152,19 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, sample: int =
     class goes to the tables. A null vec_id counts as the smallest. Rows that share a vec_id count as two vectors.
     tables and farthest decide what is compared: with `farthest` 64 every pair that shares a part up to one bit is, and with 22
     tables (43 bits may differ then, where 8 do at the least cosine on average) all but none; both cost more candidates.
-    The sample is the bound of what the rotation is learned on, shared among vector lengths.
+    The sample is the bound of what the rotation is learned on, shared among vector lengths; one task ranks a fifth more rows than it holds.
     """
     rows = written(vectors(embeddings))
     usable = rows.where("v is not null")
     keyed = usable.withColumn("x1", F.xxhash64("group", "v")).withColumn("x2", F.xxhash64(F.lit(1), "group", "v"))
     classes = written(keyed.groupBy("x1", "x2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("group").alias("group"), F.first("v").alias("v")).withColumn("cls", F.col("x1")))
-    sizes = [r.d for r in classes.select(F.size("v").alias("d")).distinct().collect()]  # of a table's vectors, one as a rule
+    counts = {r.d: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}  # by a vector's length, one as a rule
+    sizes, share = list(counts), max(1, sample // max(1, len(counts)))
+    # The smallest hashes of each length; few more than are wanted get as far as the one task that ranks them.
+    below = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, min(2**63 - 1, int(-(2**63) + 2**64 * (1.2 * share + 100) / n)))] or [F.lit(0), F.lit(0)])
     first = Window.partitionBy(F.size("v")).orderBy("x1")
-    some = classes.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(1, sample // max(1, len(sizes)))).select("v").collect()
+    few = classes.where(F.col("x1") <= below[F.size("v")])
+    some = few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= share).select("v").collect()
     models = {d: learn(np.array([r.v for r in some if len(r.v) == d]), d) for d in sizes}
     coded = written(_coded(classes, models))
     near = candidates(coded, tables, farthest)
