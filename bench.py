@@ -17,7 +17,7 @@ from concord.config import CompareConfig  # noqa: E402
 from concord.operators.compare import Comparison  # noqa: E402
 from concord.plans import more  # noqa: E402, F401  registers its queries
 from concord.plans.queries import QUERIES  # noqa: E402
-from concord.sources.texts import read  # noqa: E402
+from concord.sources.texts import open_source  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 HEADLINE = [

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CompareConfig, align_headers, check, rename
 from ..functions.texts import accepted_by, shown
 from ..scratch import shared_folder
-from ..sources.source import CHUNK, ORDER, Source, literal
+from ..sources.source import CHUNK, ORDER, Source, listed, literal
 from ..sources.texts import fingerprint
 
 
@@ -71,7 +71,7 @@ class Comparison:
     def exclusions(self) -> DataFrame:
         """(key_json, container, reason), every membership kept."""
         rows = [(list(k), c.name, c.reason) for c in self.config.containers for k in c.keys]
-        df = self.spark.createDataFrame(rows, "k array<string>, container string, reason string").select(F.to_json("k").alias("key_json"), "container", "reason")
+        df = listed(self.spark, rows, k="array<string>", container="string", reason="string").select(F.to_json("k").alias("key_json"), "container", "reason")
         return df if self._more is None else df.union(self._more.select("key_json", "container", "reason"))
 
     @property
@@ -91,29 +91,30 @@ class Comparison:
         rows = source.rows.selectExpr(key, f"{ORDER} as ord", f"{whole} as whole", *columns)
         return rows.where(F.expr("assert_true(whole, concat('a key part is empty, in file ', string(shiftright(ord, 44)), ' at place ', string(ord & 17592186044415L))) is null")).drop("whole")
 
-    def _unique(self, source: Source) -> DataFrame:
-        """(key_json, n, at, ...): occurrences of a key, the order of the row that counts, and its cells as an array (v) or the
-        hashes of its chunks (h), two numbers each; one chunk as two columns, which need no sorting to be grouped."""
+    def _grouped(self) -> DataFrame:
+        """(key_json, ln, lat, ..., rn, rat, ...): a key's occurrences on each side, the order of the row that counts, and its cells as an array (v) or
+        the hashes of its chunks (h), two numbers each; of one chunk as two columns, which need no sorting to be grouped. The full join is one
+        grouping of both sides' rows, combined before the only shuffle."""
         pick, end = ("min_by", "min") if self.config.duplicate_policy == "first" else ("max_by", "max")
-        places = source.at(self.columns)
-        if self.carried:
-            given, kept = [f"{source.cells(places)} as v"], [f"{pick}(v, ord) as v"]
-        else:
-            hashes = source.hashes(places, self._unparted)
-            given = [f"{hashes[0]} as h1", f"{hashes[1]} as h2"] if len(hashes) == 2 else ["array(" + ", ".join(hashes) + ") as h"]
-            kept = [f"{pick}({c}, ord) as {c}" for c in (("h1", "h2") if len(hashes) == 2 else ("h",))]
-        rows = self._keyed(source, *given)
-        return rows.groupBy("key_json").agg(*[F.expr(x) for x in ("count(*) as n", f"{end}(ord) as at", *kept)])
+        rows, names = [], ["v"]
+        for left, source in ((True, self.left), (False, self.right)):
+            places = source.at(self.columns)
+            given = [source.cells(places)] if self.carried else source.hashes(places, self._unparted)
+            if not self.carried:
+                names = ["h1", "h2"] if len(given) == 2 else ["h"]
+                given = given if len(given) == 2 else ["array(" + ", ".join(given) + ")"]
+            rows.append(self._keyed(source, *[f"{g} as {n}" for g, n in zip(given, names, strict=True)], f"{str(left).lower()} as is_left"))
+        kept = []
+        for s, of in (("l", "is_left"), ("r", "not is_left")):
+            kept += [f"nullif(count_if({of}), 0L) as {s}n", f"{end}(ord) filter (where {of}) as {s}at", *[f"{pick}({c}, ord) filter (where {of}) as {s}{c}" for c in names]]
+        return rows[0].union(rows[1]).groupBy("key_json").agg(*map(F.expr, kept))
 
     @cached_property
     def joined(self) -> DataFrame:
         """(key_json, gone, ln, lat, ..., rn, rat, ...): what is known of a key on each side, null where a side lacks it. gone: it is excluded."""
-        sides = []
-        for s, source in (("l", self.left), ("r", self.right)):
-            own = self._unique(source)
-            own = own if "h1" not in own.columns else own.select("key_json", "n", "at", F.array("h1", "h2").alias("h"))
-            sides.append(own.withColumnsRenamed({c: s + c for c in own.columns if c != "key_json"}))
-        both = sides[0].join(sides[1], "key_json", "full")
+        both = self._grouped()
+        if "lh1" in both.columns:
+            both = both.select("key_json", *[c for s in "lr" for c in (f"{s}n", f"{s}at", F.array(f"{s}h1", f"{s}h2").alias(f"{s}h"))])
         if self.config.containers or self._more is not None:
             both = both.join(self.exclusions.select("key_json").distinct().withColumn("gone", F.lit(True)), "key_json", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
         else:
@@ -188,7 +189,7 @@ class Comparison:
         names = raw.columns
         a, b, column = F.col("left_value"), F.col("right_value"), F.col("column")
         if config.overrides:
-            pairs = self.spark.createDataFrame(sorted({(o.column, o.left, o.right) for o in config.overrides}), "column string, left_value string, right_value string")
+            pairs = listed(self.spark, sorted({(o.column, o.left, o.right) for o in config.overrides}), column="string", left_value="string", right_value="string")
             raw = raw.join(F.broadcast(pairs.withColumn("by_override", F.lit(True))), ["column", "left_value", "right_value"], "left")
         else:
             raw = raw.withColumn("by_override", F.lit(None).cast("boolean"))
@@ -225,7 +226,7 @@ class Comparison:
     def column_counts(self) -> DataFrame:
         """(column, mismatches), columns without any included."""
         counts = self.judged().where("accepted is null").groupBy("column").agg(F.count("*").alias("n"))
-        every = self.spark.createDataFrame([(json.dumps(self.columns),)], "c string").select(F.explode(F.from_json("c", "array<string>")).alias("column"))
+        every = listed(self.spark, [(c,) for c in self.columns], column="string")
         return every.join(counts, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("mismatches"))
 
     @property

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import CompareConfig
 from ..functions.texts import shown
+from ..sources.source import listed
 from ..sources.texts import fingerprint
 from .compare import Comparison
 
@@ -32,7 +33,7 @@ def contained(small: DataFrame, large: DataFrame) -> bool:
 def excluded_keys(spark: SparkSession, config: CompareConfig, more: DataFrame | None = None) -> DataFrame:
     """(key_json) of a configuration's containers and of a table of further keys, each once."""
     rows = [(list(k),) for x in config.containers for k in x.keys]
-    own = spark.createDataFrame(rows, "k array<string>").select(F.to_json("k").alias("key_json"))
+    own = listed(spark, rows, k="array<string>").select(F.to_json("k").alias("key_json"))
     return (own if more is None else own.union(more.select("key_json"))).distinct()
 
 

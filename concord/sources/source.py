@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,15 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def listed(spark: SparkSession, rows: Sequence[Sequence], **columns: str) -> DataFrame:
+    """A short list of settings as a table, columns by name and type. A literal of the plan, so that no Python worker starts for it."""
+    if len(rows) > 10_000:
+        return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"`{n}` {k}" for n, k in columns.items()))
+    kind = "array<struct<" + ", ".join(f"`{n}`: {k}" for n, k in columns.items()) + ">>"
+    text = json.dumps([dict(zip(columns, r, strict=True)) for r in rows], ensure_ascii=False)
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("r")).select("r.*")
+
+
 def by_file(df: DataFrame, files: Sequence[str], field: str, name: str, order: bool = False) -> DataFrame:
     """A scan with FILE, the place of a row's file among `files`, and a field of its metadata under a name; or with both as one
     number of that name. One projection, as the scan may have thousands of columns."""
