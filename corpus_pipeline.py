@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from concord.llm import decontam, linededup, packing, simhash, toxicity
 from concord.llm.common import table, written
 
+#: What every stage hands on; other columns of the documents go with the first one.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Toxicity has a trained model, packing a tokenizer: no SQL for either. tests/llm/test_pipeline.py has the checks.
 ORACLE_SQL = None
