@@ -17,7 +17,7 @@ from .tokens import encoder
 
 END_ID, CAPACITY = 1, 2048
 #: Token ids are hashed to FEATURES, projected to DIMENSIONS of BITS each. SALT bits of a row's hash follow in the key: equal documents can be parted.
-FEATURES, DIMENSIONS, BITS, SALT = 4096, 4, 10, 23
+FEATURES, DIMENSIONS, BITS, SALT = 1024, 4, 10, 23
 #: Standard deviations from the mean that the curve's cube covers; what lies further is put on its sides.
 SPREAD = 2.5
 #: Chunks of text that an encoder remembers, twice over, and documents handed on at once: bounds of a worker's memory.

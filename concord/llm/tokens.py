@@ -12,7 +12,8 @@ import numpy as np
 #: Characters on whose classes all libraries agree: Latin and common punctuation.
 UNSURE = re.compile("[^\x00-ɏ‐-‧€]")
 #: A single sign after a letter and before white space or the end: a word of its own.
-LONE_SIGN = re.compile(r"(?<=[A-Za-zß-öø-ÿ])([,.;:!?])(?=[ \n]|$)")
+#: The sign comes first in the pattern, so that the search skips to signs.
+LONE_SIGN = re.compile(r"([,.;:!?])(?<=[A-Za-zß-öø-ÿ].)(?=[ \n]|$)")
 #: Chunks remembered, twice over.
 KEEP = 500_000
 PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
