@@ -60,8 +60,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
