@@ -49,6 +49,17 @@ def pair_counts(differences: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(totals), "column").select("column", "left_value", "right_value", "occurrences", percent(F.col("occurrences"), F.col("of_column")).alias("share"))
 
 
+def top_pairs(differences: DataFrame, n: int = 20) -> DataFrame:
+    """(column, place, pattern, left_value, right_value, occurrences, share, pairs): each column's n most frequent pairs of values, ties by the
+    values' hashes, with its number of distinct pairs."""
+    counts = pattern_counts(differences)
+    own = Window.partitionBy("column")
+    ties = [F.sha2(F.col(f"{s}_value"), 256) for s in ("left", "right")]
+    ranked = counts.withColumns({"place": F.row_number().over(own.orderBy(F.desc("occurrences"), *ties)), "pairs": F.count("*").over(own), "all": F.sum("occurrences").over(own)})
+    top = ranked.where(F.col("place") <= n)
+    return top.select("column", "place", "pattern", "left_value", "right_value", "occurrences", percent(F.col("occurrences"), F.col("all")).alias("share"), "pairs")
+
+
 def changed_cells_per_key(differences: DataFrame) -> DataFrame:
     return differences.groupBy("key_json").agg(F.count("*").alias("changed_cells"))
 

@@ -91,6 +91,19 @@ class Comparison:
         rows = source.rows.selectExpr(key, f"{ORDER} as ord", f"{whole} as whole", *columns)
         return rows.where(F.expr("assert_true(whole, concat('a key part is empty, in file ', string(shiftright(ord, 44)), ' at place ', string(ord & 17592186044415L))) is null")).drop("whole")
 
+    @property
+    def first_empty_keys(self) -> DataFrame:
+        """(side, record, key_json) of each side's first row, if any, with a null or empty key part; record counts its rows from 1 in source
+        order. What a failed run asks for: a look for the row, and a count of those before it."""
+        out = []
+        for side, source in (("left", self.left), ("right", self.right)):
+            parts = [source.cell(k) for k in source.at(self.config.keys)]
+            keys = source.rows.selectExpr("to_json(array(" + ", ".join(parts) + ")) as key_json", f"{ORDER} as ord", " and ".join(f"coalesce({p} <> '', false)" for p in parts) + " as whole")
+            first = keys.where("not whole").agg(F.min("ord").alias("at"), F.min_by("key_json", "ord").alias("key_json")).where("at is not null")
+            before = source.rows.select(ORDER).join(F.broadcast(first), F.col(ORDER) <= F.col("at"))  # one row
+            out.append(before.groupBy("at", "key_json").agg(F.count("*").alias("record")).select(F.lit(side).alias("side"), "record", "key_json"))
+        return out[0].union(out[1])
+
     def _grouped(self) -> DataFrame:
         """(key_json, ln, lat, ..., rn, rat, ...): a key's occurrences on each side, the order of the row that counts, and its cells as an array (v) or
         the hashes of its chunks (h), two numbers each; of one chunk as two columns, which need no sorting to be grouped. The full join is one

@@ -11,6 +11,7 @@ from ..operators import analysis, jsondiff, revision
 from ..operators.compare import Comparison
 from ..scratch import shared_folder
 from ..sinks.results import save, workbook, write_csv
+from ..sources.documents import document_pairs, write_documents
 from ..sources.source import PLACE_BITS
 from ..sources.texts import ORDER, open_source, parquet_metadata, preview, read, result_preview
 from .pairs import LINES_LEFT, LINES_RIGHT, ORDERS_LEFT, ORDERS_RIGHT, lines_pair, orders_pair
@@ -456,3 +457,56 @@ add(
     lambda s, d: parquet_metadata(s, f"{d}/orders.parquet").select(F.explode("columns").alias("column"), "rows").groupBy("column").agg(F.sum("rows").alias("rows")),
     "SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS \"column\", count(*) AS rows FROM orders",
 )
+
+# --- documents as files, places of empty keys, frequent pairs ---------------------------------------------------------
+
+
+def json_files(s: SparkSession, d: str) -> DataFrame:
+    """A JSON file for each hundred customers, written by tasks, read back and paired by name: one file is missing on the right, one on the left."""
+    rows = s.read.parquet(f"{d}/customer.parquet").withColumn("n", F.expr("c_custkey div 100"))
+    folder = shared_folder(s, "documents")
+    for side, segment in (("left", "c_mktsegment"), ("right", "if(c_custkey % 10 = 0, lower(c_mktsegment), c_mktsegment)")):
+        item = rows.selectExpr("n", f"struct(c_custkey as id, {segment} as segment) as item").where("n <> 1" if side == "left" else "n <> 0")
+        docs = item.groupBy(F.concat(F.col("n") % 7, F.lit("/"), "n", F.lit(".json")).alias("name")).agg(F.to_json(F.struct(F.sort_array(F.collect_list("item")).alias("items"))).alias("text"))
+        write_documents(docs, f"{folder}/{side}")
+    rules = [jsondiff.ArrayRule("$.items", "keyed", "id")]
+    return jsondiff.difference_counts(jsondiff.diff_documents(document_pairs(s, f"{folder}/left", f"{folder}/right"), "name", "a", "b", rules), "name")
+
+
+add(
+    "json_files",
+    json_files,
+    """
+WITH c AS (SELECT c_custkey // 100 AS n, count(*) FILTER (WHERE c_custkey % 10 = 0 AND c_mktsegment <> lower(c_mktsegment)) AS other FROM customer GROUP BY 1)
+SELECT concat(n % 7, '/', n, '.json') AS name, CAST(n = 1 AS BIGINT) AS added, CAST(n = 0 AS BIGINT) AS removed, CASE WHEN n > 1 THEN other ELSE 0 END AS changed
+FROM c WHERE n < 2 OR other > 0
+""",
+)
+
+
+def empty_keys(s: SparkSession, d: str) -> DataFrame:
+    """Line items in source order, the part empty on the left and the supplier null on the right for some."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").withColumn(ORDER, F.col("_metadata.row_index"))
+    part = "if(l_partkey % 50 = 7, '', string(l_partkey)) as part"
+    left = lines.selectExpr(part, "string(l_suppkey) as supplier", "l_returnflag", ORDER)
+    right = lines.selectExpr("string(l_partkey) as part", "if(l_suppkey % 8 = 3, null, string(l_suppkey)) as supplier", "l_returnflag", ORDER)
+    return Comparison(left, right, CompareConfig(("part", "supplier"))).first_empty_keys
+
+
+add(
+    "empty_keys",
+    empty_keys,
+    """
+WITH l AS (SELECT *, file_row_number + 1 AS n FROM (SELECT *, row_number() OVER () - 1 AS file_row_number FROM lineitem))
+SELECT * FROM (SELECT 'left' AS side, n AS record, concat('["","', l_suppkey, '"]') AS key_json FROM l WHERE l_partkey % 50 = 7 ORDER BY n LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'right', n, concat('["', l_partkey, '",null]') FROM l WHERE l_suppkey % 8 = 3 ORDER BY n LIMIT 1)
+""",
+)
+add(
+    "top_pairs",
+    lambda s, d: analysis.top_pairs(orders(s, d).differences).withColumn("share", F.round("share", 6)),
+    f"""{BASE}, p AS (SELECT "column", {PATTERN} AS pattern, left_value, right_value, count(*) AS occurrences FROM diff GROUP BY ALL)
+SELECT "column", CAST(row_number() OVER (PARTITION BY "column" ORDER BY occurrences DESC, sha256(left_value), sha256(right_value)) AS INTEGER) AS place, pattern, left_value, right_value, occurrences,
+  round(100.0 * occurrences / sum(occurrences) OVER (PARTITION BY "column"), 6) AS share, count(*) OVER (PARTITION BY "column") AS pairs
+FROM p QUALIFY place <= 20""",
+)

@@ -12,7 +12,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.analysis import comments, patterns_by_column, ranked_examples, samples, scoped, supporting_fields
+from ..functions.texts import percent_text, shortened
+from ..operators.analysis import comments, key_shares, match_bands, match_rates, overall_match, patterns_by_column, ranked_examples, samples, scoped, supporting_fields, top_pairs
 from ..operators.compare import Comparison
 from ..sources.source import ORDER
 from .workbook import workbook
@@ -105,16 +106,59 @@ def export_workbook(c: Comparison, folder: str, annotations: DataFrame | None =
     return workbook(sheets | columns, contents="Contents")
 
 
-def export_html(c: Comparison) -> str:
-    """One self-contained page: totals, columns by mismatches, and the first cells of each."""
+_STYLE = (
+    "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse;margin:.5em 0}td,th{border:1px solid #ccc;padding:2px 8px;text-align:left;vertical-align:top}"
+    "td{white-space:pre-wrap;overflow-wrap:anywhere}i{display:block;height:6px;background:#b33}summary{cursor:pointer}"
+)
 
-    def table(df: DataFrame) -> str:
-        head = "".join(f"<th>{html.escape(x)}</th>" for x in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if x is None else str(x))}</td>" for x in r) + "</tr>" for r in df.collect())
-        return f"<table><tr>{head}</tr>{body}</table>"
 
-    parts = [table(c.summary), table(c.column_counts.orderBy(F.desc("mismatches"), "column")), table(samples(c.differences).orderBy("column", "place"))]
-    return f"<!doctype html><meta charset='utf-8'><title>Comparison</title>{''.join(parts)}"
+def _html(head: Iterable[str], rows: Iterable[Iterable[object]]) -> str:
+    cell = lambda x: html.escape("" if x is None else str(x))
+    body = "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in rows)
+    return "<table><tr>" + "".join(f"<th>{cell(x)}</th>" for x in head) + f"</tr>{body}</table>"
+
+
+def _of(df: DataFrame, *order) -> str:
+    return _html(df.columns, (df.orderBy(*order) if order else df).collect())
+
+
+def _by_column(df: DataFrame) -> dict[str, list]:
+    out: dict[str, list] = {}
+    for r in df.collect():
+        out.setdefault(r.column, []).append(r)
+    return out
+
+
+def export_html(c: Comparison, pairs: int = 20, n: int = 20) -> str:
+    """One self-contained page without scripts: totals, shares of the keys' outcomes, match of all cells and of columns, bands, every column's
+    rates, the most mismatches first, and for each changed column its patterns, most frequent pairs of values and first cells.
+
+    What is collected is bounded by the number of columns, pairs and n; texts are cut. The evidence is asked for several times: store() it first.
+    """
+    known = lambda x: "N/A" if x is None else f"{x:.4f}%"
+    rates = match_rates(c).orderBy(F.desc("mismatches"), "column").collect()
+    patterns, found = _by_column(patterns_by_column(c.differences).orderBy("column", F.desc("occurrences"), "pattern")), {}
+    cut = [shortened(F.col(f"{s}_value"), 300).alias(f"{s}_value") for s in ("left", "right")]
+    found = _by_column(top_pairs(c.differences, pairs).orderBy("column", "place").select("column", "pattern", *cut, "occurrences", percent_text(F.col("share")).alias("share"), "pairs"))
+    cells = _by_column(samples(c.differences, n, 300).orderBy("column", "place"))
+    overall, totals = overall_match(c).first(), c.summary.first().asDict()
+    bars = "".join(f"<tr><td>{html.escape(r.column)}</td><td>{r.mismatches}</td><td>{known(r.mismatch_percent)}</td><td>{known(r.match_percent)}</td><td style='width:12em'><i style='width:{r.mismatch_percent or 0:.2f}%'></i></td></tr>" for r in rates)
+    parts = [
+        "<h1>Comparison</h1>", _html(("total", "value"), totals.items()),
+        "<h2>Keys</h2>", _of(key_shares(c).select("outcome", "keys", percent_text(F.col("share")).alias("share"))),
+        "<h2>Match</h2>", _html(("of all cells", "mean of columns"), [(known(overall.overall_match_percent), known(overall.mean_match_percent))]),
+        "<h2>Bands of mismatch</h2>", _of(match_bands(c), "band"),
+        "<h2>Columns</h2>", f"<table><tr><th>column</th><th>mismatches</th><th>mismatch</th><th>match</th><th></th></tr>{bars}</table>",
+    ]
+    for r in rates:
+        if r.mismatches:
+            more = found[r.column][0].pairs - len(found[r.column])
+            parts.append(f"<details><summary>{html.escape(r.column)}: {r.mismatches}</summary>")
+            parts.append("<h3>Patterns</h3>" + _html(("pattern", "occurrences"), [(p.pattern, p.occurrences) for p in patterns[r.column]]))
+            parts.append("<h3>Pairs</h3>" + _html(("pattern", "left", "right", "occurrences", "share"), [p[1:6] for p in found[r.column]]) + (f"<p>{more} more</p>" if more else ""))
+            parts.append("<h3>First cells</h3>" + _html(("key", "left", "right"), [(x.key_json, x.left_value, x.right_value) for x in cells[r.column]]) + "</details>")
+    policy = "<meta http-equiv='Content-Security-Policy' content=\"default-src 'none'; style-src 'unsafe-inline'\">"
+    return f"<!doctype html><html><head><meta charset='utf-8'>{policy}<title>Comparison</title><style>{_STYLE}</style></head><body>{''.join(parts)}</body></html>"
 
 
 def as_csv(rows: Iterable[Iterable[object]]) -> str:

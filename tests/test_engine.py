@@ -533,3 +533,53 @@ def test_rows_of_a_revision(spark):
     kept = revision.Evidence(c.raw_differences, c.matched_keys, c.left_only, c.right_only)
     after = CompareConfig(("id",), containers=(Container("x", (("9",), ("1",), ("4",))),))
     assert tuple(revision.revise(c, kept, after).rows.first()) == (2, 2, 2, 1)
+
+
+def test_json_documents_as_files(spark, tmp_path, monkeypatch):
+    from concord import cli
+    from concord.sources.documents import MAX_BYTES, document_pairs, read_documents, write_documents
+
+    docs = spark.createDataFrame([("a.json", '{"k": [1, 2]}'), ("sub ü/b.json", '"é"'), ("c.json", "[]")], "name string, text string")
+    assert write_documents(docs, str(tmp_path / "l")) == 3 and write_documents(docs, str(tmp_path / "l")) == 3  # again: the same files
+    assert {tuple(r) for r in read_documents(spark, f"{tmp_path}/l/").collect()} == {tuple(r) for r in docs.collect()}
+    (tmp_path / "r" / "sub ü").mkdir(parents=True)
+    (tmp_path / "r" / "a.json").write_bytes("\ufeff{\"k\": [1, 3]}".encode())
+    (tmp_path / "r" / "note.txt").write_text("not read")
+    pairs = {r.name: (r.a, r.b) for r in document_pairs(spark, str(tmp_path / "l"), str(tmp_path / "r")).collect()}
+    assert pairs == {"a.json": ('{"k": [1, 2]}', '{"k": [1, 3]}'), "sub ü/b.json": ('"é"', None), "c.json": ("[]", None)}
+    assert document_pairs(spark, str(tmp_path / "l" / "a.json"), str(tmp_path / "r" / "a.json")).first().name == ""
+    (tmp_path / "none").mkdir()
+    assert read_documents(spark, str(tmp_path / "none")).count() == 0
+    for content, why in ((b"", "empty"), (b"\"\xff\"", "UTF"), (b" " * (MAX_BYTES + 1), "more than")):
+        (tmp_path / "bad.json").write_bytes(content)
+        with pytest.raises(Exception, match=why):
+            read_documents(spark, str(tmp_path / "bad.json")).collect()
+
+    monkeypatch.setattr(cli.SparkSession.Builder, "getOrCreate", lambda self: spark)
+    base = [str(tmp_path / "l" / "a.json"), str(tmp_path / "r" / "a.json"), "--output", str(tmp_path / "out")]
+    assert cli.main(base) == 1 and [tuple(r) for r in spark.read.csv(str(tmp_path / "out/differences.csv"), header=True).select("kind", "left_path").collect()] == [("changed", "$.k[1]")]
+    assert cli.main([base[0], base[0], *base[2:]]) == 0 and cli.main([*base, "--arrays", '[{"path": "$.k", "mode": "odd"}]']) == 2
+
+
+def test_record_of_an_empty_key(spark, tmp_path, monkeypatch, capsys):
+    from concord import cli
+
+    c = compare(spark, "id,b,v", [("1", "x", "a"), ("2", "y", "a")], [("1", "x", "a"), ("2", "y", "a"), ("3", None, "a"), ("", "", "a")], keys="id,b")
+    assert [tuple(r) for r in c.first_empty_keys.collect()] == [("right", 3, '["3",null]')]
+    monkeypatch.setattr(cli.SparkSession.Builder, "getOrCreate", lambda self: spark)
+    (tmp_path / "l.csv").write_text('id,v\n1,"a\nb"\n,c\n')
+    base = [str(tmp_path / "l.csv"), str(tmp_path / "l.csv"), "--keys", "id", "--output", str(tmp_path / "out")]
+    assert cli.main(base) == 2 and "left: record 2: empty key component" in capsys.readouterr().err
+    assert cli.main([*base, "--allow-empty-keys", "--html"]) == 0 and "Bands" in (tmp_path / "out/report.html").read_text()
+
+
+def test_page_of_results(spark):
+    left = [(str(k), "A" if k % 2 else f"<b>{k}", "x", "same") for k in range(60)]
+    right = [(str(k), "a" if k % 2 else f"<b>{k} ", None if k == 3 else "x", "same") for k in range(1, 61)]
+    c = compare(spark, "id,many&more,few,none", left, right)
+    page = export_html(c, pairs=5, n=2)
+    assert "<b>" not in page.replace("<body>", "") and "<script" not in page and "many&amp;more: 59" in page and "few: 1" in page
+    assert "none: " not in page and page.count("<details>") == 2 and "<p>25 more</p>" in page  # 30 pairs, five shown
+    top = analysis.top_pairs(c.differences, 5).where("column = 'many&more'").orderBy("place").collect()
+    assert (top[0].left_value, top[0].right_value, top[0].occurrences, top[0].pairs) == ("A", "a", 30, 30) and len(top) == 5
+    assert "N/A" in export_html(compare(spark, "id,v", [("1", "a")], [("2", "a")]))  # no matched key
