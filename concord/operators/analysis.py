@@ -53,11 +53,12 @@ def top_pairs(differences: DataFrame, n: int = 20) -> DataFrame:
     """(column, place, pattern, left_value, right_value, occurrences, share, pairs): each column's n most frequent pairs of values, ties by the
     values' hashes, with its number of distinct pairs."""
     counts = pattern_counts(differences)
-    own = Window.partitionBy("column")
+    totals = counts.groupBy("column").agg(F.count("*").alias("pairs"), F.sum("occurrences").alias("all"))
     ties = [F.sha2(F.col(f"{s}_value"), 256) for s in ("left", "right")]
-    ranked = counts.withColumns({"place": F.row_number().over(own.orderBy(F.desc("occurrences"), *ties)), "pairs": F.count("*").over(own), "all": F.sum("occurrences").over(own)})
-    top = ranked.where(F.col("place") <= n)
-    return top.select("column", "place", "pattern", "left_value", "right_value", "occurrences", percent(F.col("occurrences"), F.col("all")).alias("share"), "pairs")
+    # A rank alone, so that each task keeps n pairs of a column before they are dealt by it.
+    top = counts.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("occurrences"), *ties))).where(F.col("place") <= n)
+    rows = top.join(F.broadcast(totals), "column")  # a row for each column
+    return rows.select("column", "place", "pattern", "left_value", "right_value", "occurrences", percent(F.col("occurrences"), F.col("all")).alias("share"), "pairs")
 
 
 def changed_cells_per_key(differences: DataFrame) -> DataFrame:
