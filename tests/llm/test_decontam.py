@@ -1,6 +1,8 @@
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 
 from concord.llm import decontam
 
@@ -167,3 +169,92 @@ def test_paraphrases_at_the_very_limit():
             text[o + p] = w
         best, _ = item.check(np.array(text), 0, len(text))
         assert best == len(kept) / len(words)
+
+
+def hand_model(items, texts):
+    """A model without Spark: word vectors are idf times the identity, so that dot products are plain TF-IDF."""
+    vocabulary = {}
+    for w in (w for i in items for w in i):
+        vocabulary.setdefault(w, len(vocabulary))
+    held = [set(decontam.words(t)) for t in texts]
+    df = np.array([sum(w in t for t in held) for w in vocabulary])
+    latent = np.diag(np.log((len(texts) + 1) / (df + 1)) + 1) * (df <= 0.2 * len(texts))[:, None]
+    own = [decontam.Item(k, [vocabulary[w] for w in i], [vocabulary[w] for w in i[-5:]] if k % 2 else []) for k, i in enumerate(items)]
+    queries = np.array([latent[i.ids].sum(0) for i in own])
+    return decontam.Retrieval(decontam.Ids(vocabulary), latent, own, queries, np.sqrt((queries**2).sum(1))), vocabulary
+
+
+def test_words_of_many_texts(monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", "  ", "...", "the THE, 'the' --", "a\x1cthe\x85of　and\xa0in", "İn THE ΣΑΣ ΟΔΟΣ. straße", "the", None, *(" ".join(prose(rng.randrange(200))) for _ in range(60))]
+    vocabulary = {w: n for n, w in enumerate(["the", "of", "and", "i̇n", "σας", "οδος", "straße", *RARE[:500]])}
+    want = [[vocabulary.get(w, -1) for w in decontam.words(t)] for t in texts]
+    for most in (1, 700, 1 << 20):
+        monkeypatch.setattr(decontam, "TEXT_BYTES", most)
+        ids, ends = decontam.Ids(vocabulary).of_all(pa.array([*texts, "cut off"]).slice(0, len(texts)))
+        assert [ids[x:y].tolist() for x, y in zip(ends[:-1], ends[1:], strict=True)] == want
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    ids, ends = decontam.Ids({}).of_all(pa.array([f"a{chr(c)}b" for c in every]))
+    assert np.diff(ends).tolist() == [len(decontam.words(f"a{chr(c)}b")) for c in every]
+
+
+def test_search_of_many_documents_is_that_of_each(monkeypatch):
+    """Passages by plain dot products, and what is found, document by document; nothing crosses from one to the next."""
+    rng = random.Random(7)
+    items = [prose(n) for n in (6, 12, 20, 30, 45, 60, 90, 700)]
+    texts = [" ".join(prose(rng.randrange(400))) for _ in range(120)]
+    for k in range(90):
+        item, at = list(items[k % 8]), rng.randrange(300)
+        for n in rng.sample(range(len(item)), len(item) * (k % 4) // 10):
+            item[n] = rng.choice(RARE)
+        own = prose(300)
+        texts.append(" ".join(own[:at] + item + own[at:]))
+    for item in items:  # one half at the end of a document, the other at the beginning of the next
+        texts += [" ".join(prose(50) + item[: len(item) // 2]), " ".join(item[len(item) // 2 :] + prose(50))]
+    texts += ["", None, " ".join(items[1]), " ".join(items[0][:4]), " ".join(prose(30_000) + items[3] + prose(300))]
+    model, vocabulary = hand_model(items, texts)
+    passages, each = set(), []
+    for r, t in enumerate(texts):
+        ids = model.ids.of(t)
+        n = max(1, -(-len(ids) // decontam.BLOCK))
+        for p in range(max(1, n - 1)):
+            x = ids[p * decontam.BLOCK : p * decontam.BLOCK + decontam.PASSAGE]
+            v = model.latent[x[x >= 0]].sum(0)
+            dot = model.queries @ v
+            passages |= {(r, p, int(k)) for k in np.flatnonzero((dot >= model.cover) & (dot >= decontam.COSINE * model.lengths * np.linalg.norm(v)))}
+        each += [(r, *x) for x in model.leaks(t)]
+    assert len(passages) > 150 and len(each) > 60 and not any(210 <= r < 226 for r, *_ in each)
+    for most in (1000, 1 << 16):
+        monkeypatch.setattr(decontam, "WORDS", most)
+        ids, ends = model.ids.of_all(pa.array(texts))
+        assert sorted(model.leaking(ids, ends)) == sorted(each)
+        assert set(model.near(ids, ends, model.hits(ids, ends))) == passages
+
+
+def test_sums_of_groups():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 1), (1, 1), (500, 4), (5000, 3), (3000, 900)):
+        rows, index, group = rng.integers(0, 99, (50, 7)).astype(np.float32), rng.integers(0, 50, n), np.sort(rng.integers(0, m, n))
+        which, sums = decontam._sums(rows, index, group)
+        want = np.zeros((m, 7))
+        np.add.at(want, group, rows[index])
+        assert which.tolist() == np.unique(group).tolist() and np.array_equal(sums, want[which])
+
+
+def test_few_calls_for_each_document():
+    """The work of a task is done for many documents at once: not tens of calls for each of them."""
+    items = [prose(30) for _ in range(50)]
+    texts = [" ".join(prose(120)) for _ in range(1000)]
+    model, _ = hand_model(items, texts)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        model.leaking(*model.ids.of_all(pa.array(texts)))
+    finally:
+        sys.setprofile(None)
+    assert calls < 20 * len(texts)
