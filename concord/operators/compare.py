@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CompareConfig, align_headers, check, rename
 from ..functions.texts import accepted_by, shown
 from ..scratch import shared_folder
-from ..sources.source import CHUNK, ORDER, Source, listed, literal
+from ..sources.source import CHUNK, ORDER, PACKED, Source, listed, literal
 from ..sources.texts import fingerprint
 
 
@@ -161,8 +161,12 @@ class Comparison:
     def _payload(self, side: str, wanted: DataFrame, columns: list[str]) -> DataFrame:
         """(key_json, the side's texts in some columns) of wanted keys, from the row that counts."""
         source = self.left if side == "l" else self.right
-        rows = self._keyed(source, f"{source.cells(source.at(columns))} as {side}v")
-        return rows.join(wanted, "key_json").where(f"{side}n = 1 or ord = {side}at").select("key_json", f"{side}v")
+        cells = f"{source.cells(source.at(columns))} as {side}v"
+        if source.fields:
+            rows = self._keyed(source, cells)
+            return rows.join(wanted, "key_json").where(f"{side}n = 1 or ord = {side}at").select("key_json", f"{side}v")
+        rows = self._keyed(source, PACKED)  # parted where it is wanted
+        return rows.join(wanted, "key_json").where(f"{side}n = 1 or ord = {side}at").selectExpr("key_json", cells)
 
     @cached_property
     def raw_differences(self) -> DataFrame:

@@ -72,13 +72,19 @@ def _lines_with_signs(sql: str) -> str:
     return sql.replace("l_returnflag, l_linestatus, ord", f"{_FLAG} l_linestatus, ord").replace("l_returnflag, CASE", f"{_FLAG} CASE")
 
 
+#: Files of each side, so many at least, and rows of each at most.
+_FILES, _FILE_ROWS = 4, 1 << 19
+
+
 def csv_duplicates(s: SparkSession, d: str) -> DataFrame:
     """Repeated keys in CSV of several files, records of several lines: the last one in the order of files and bytes counts."""
-    lines = s.read.parquet(f"{d}/lineitem.parquet").select("*", (F.col("_metadata.row_index") + 1).alias("ord"))
-    folder, sides = shared_folder(s, "csv"), []
-    for name, sql in (("left.csv", LINES_LEFT), ("right.csv", LINES_RIGHT)):
+    table = s.read.parquet(f"{d}/lineitem.parquet")
+    lines, rows = table.select("*", (F.col("_metadata.row_index") + 1).alias("ord")), table.count()  # no column is read
+    files, folder, sides = max(_FILES, -(-rows // _FILE_ROWS)), shared_folder(s, "csv"), []
+    for name, sql, least in (("left.csv", LINES_LEFT, 1), ("right.csv", LINES_RIGHT, -rows)):
         df = s.sql(_lines_with_signs(sql).format(order="place").replace("FROM numbered_lines", "FROM {lines}"), lines=lines)
-        write_csv(df.repartitionByRange(4, "place").sortWithinPartitions("place").drop("place"), f"{folder}/{name}")
+        file = F.expr(f"cast((place - {least}L) * {files} div {rows - least + 1} as int)")  # places are known without a look at the rows
+        write_csv(df.repartitionById(files, file).sortWithinPartitions("place").drop("place"), f"{folder}/{name}")
         sides.append(open_source(s, f"{folder}/{name}"))
     return Comparison(*sides, CompareConfig(LINE_KEY, duplicate_policy="last")).raw_differences
 
