@@ -165,8 +165,8 @@ class Comparison:
         if source.fields:
             rows = self._keyed(source, cells)
             return rows.join(wanted, "key_json").where(f"{side}n = 1 or ord = {side}at").select("key_json", f"{side}v")
-        rows = self._keyed(source, PACKED)  # parted where it is wanted
-        return rows.join(wanted, "key_json").where(f"{side}n = 1 or ord = {side}at").selectExpr("key_json", cells)
+        at = wanted.select("key_json", F.col(f"{side}at").alias(ORDER))  # a packed row's place is its own
+        return source.rows.select(ORDER, PACKED).join(at, ORDER).selectExpr("key_json", cells)
 
     @cached_property
     def raw_differences(self) -> DataFrame:

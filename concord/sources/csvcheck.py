@@ -77,6 +77,7 @@ class Block:
 
     data: np.ndarray
     inside: np.ndarray  # the state after each byte
+    quotes: np.ndarray  # where they are
     starts: np.ndarray  # of the lines, and where a line after the last would begin
     before: np.ndarray  # the state before each line
     after: np.ndarray  # and after it
@@ -107,11 +108,10 @@ class Block:
                 odd[starts[1:-1] - 1 - k] = False
             if np.any(odd & (inside == OUTSIDE)):
                 return None
-        at = np.flatnonzero(quote)
-        opened = inside[at] == QUOTED
-        opens, closes = at[opened], at[~opened]
-        prior = data[opens[opens > 0] - 1]
-        following = data[closes[closes < len(data) - 1] + 1]
+        quotes = np.flatnonzero(quote)
+        opens, closes = quotes[state::2], quotes[1 - state :: 2]
+        prior = data[opens[int(np.searchsorted(opens, 1)) :] - 1]
+        following = data[closes[: int(np.searchsorted(closes, len(data) - 1))] + 1]
         # A quote before one that opens, and after one that closes, is its other half: both stand for one.
         if not np.all((prior == sign) | (prior == last) | (prior == _QUOTE)) or not np.all((following == sign) | (following == ord(end[0])) | (following == _QUOTE)):
             return None
@@ -120,7 +120,7 @@ class Block:
                 whole.validate(full=True)
             except pa.ArrowInvalid:
                 return None
-        return cls(data, inside, starts, before, after)
+        return cls(data, inside, quotes, starts, before, after)
 
     def records(self, delimiter: str, end: str, width: int) -> tuple[np.ndarray, pa.Array, np.ndarray, int] | None:
         """Of a block begun outside: (the first line of each record, their packed fields, whether they need another form as
@@ -138,13 +138,13 @@ class Block:
         between = np.flatnonzero((data == sign) & (inside == OUTSIDE))
         if np.any(np.diff(np.searchsorted(between, np.append(at, stop))) != width - 1):
             return None
-        quotes = np.flatnonzero(data == _QUOTE)
-        doubled = np.zeros(len(quotes), bool)  # the second of two
-        doubled[1:] = (np.diff(quotes) == 1) & (inside[quotes[1:]] == QUOTED)
-        gone = [quotes[~doubled], *[at[1:] - 1 - k for k in range(len(end))]]
+        quotes = self.quotes[: np.searchsorted(self.quotes, stop)]
+        opens = quotes[2::2]
         kept = np.ones(stop, bool)
-        for g in gone:
-            kept[g] = False
+        kept[quotes] = False
+        kept[opens[opens - quotes[1 : 2 * len(opens) : 2] == 1]] = True  # the second of two
+        for k in range(len(end)):
+            kept[at[1:] - 1 - k] = False
         signs = (data == ord(ODD)) | (data == ord(SEPARATOR)) & ((inside == QUOTED) | (sign != ord(SEPARATOR)))
         other = np.zeros(len(first), bool)
         other[np.searchsorted(at, np.flatnonzero(signs), "right") - 1] = True
@@ -158,11 +158,9 @@ class Block:
 
 def walk(values: pa.Array, state: int, delimiter: str, end: str) -> tuple[np.ndarray, str]:
     """(the state after each line, what is wrong): lines, some of them perhaps with quotes, begun in a state."""
-    ask = suspect(values)
-    if not ask.any():
-        return np.full(len(values), state, np.uint8), ""
-    if block := Block.of(values, state, delimiter, end):
+    if pc.any(pc.match_substring(values, '"')).as_py() and (block := Block.of(values, state, delimiter, end)):
         return block.after, ""
+    ask = suspect(values)
     after, done = np.empty(len(values), np.uint8), 0
     for k in np.flatnonzero(ask).tolist():
         after[done:k] = state
@@ -364,8 +362,11 @@ def runs(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
 def suspect(values: pa.Array) -> np.ndarray:
     """Lines that need a look: with quotes or other line ends, or blank."""
     odd = pc.equal(pc.binary_length(values), 0)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     for sign in '"\r\n':
-        odd = pc.or_(odd, pc.match_substring(values, sign))
+        if np.any(data == ord(sign)):
+            odd = pc.or_(odd, pc.match_substring(values, sign))
     return odd.to_numpy(zero_copy_only=False)
 
 
